@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import history, lookalike
+from . import history, lookalike, scans
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select(F.lit("posts").alias("rec"), "*").unionByName(questions.select(F.lit("questions").alias("rec"), "*"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "posts").select(F.lit("posts").alias("rec"), F.col("post_id").alias("row_id"), F.col("image_ocr_text").alias("text"))
+    pages = table(spark, sf_dir, "ocr_pages").select(F.lit("ocr_pages").alias("rec"), F.col("page_id").alias("row_id"), "text")
+    return scans.noisy_lines(posts.unionByName(pages).filter("text is not null"), ["rec", "row_id"], "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = history.repeats(table(spark, sf_dir, "posts"), "post_id", "batch_no", history.page_keys("url"))
     jobs = history.repeats(table(spark, sf_dir, "jobs"), "job_id", "batch_no", history.posting_keys("source", "source_id"))
     return posts.select(F.lit("posts").alias("rec"), "*").unionByName(jobs.select(F.lit("jobs").alias("rec"), "*"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
