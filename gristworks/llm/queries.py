@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import history, lookalike, scans
+from . import canon, history, lookalike, scans
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts, jobs = table(spark, sf_dir, "posts"), table(spark, sf_dir, "jobs")
+    fields = [("posts", posts, "post_id", "company", "company"), ("posts", posts, "post_id", "role", "role"), ("jobs", jobs, "job_id", "company", "company"), ("jobs", jobs, "job_id", "city", "city")]
+    return canon.found(fields, table(spark, sf_dir, "canon_entries"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +33,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select(F.lit("posts").alias("rec"), "*").unionByName(jobs.select(F.lit("jobs").alias("rec"), "*"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
