@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, history, lookalike, scans
+from . import canon, history, lookalike, pii, scans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.found(fields, table(spark, sf_dir, "canon_entries"))
 
 
+def post_texts(posts: DataFrame) -> DataFrame:
+    """raw_text and each comment as one text a row: post_id, field, item_no, text."""
+    raw = posts.select("post_id", F.lit("raw_text").alias("field"), F.lit(0).alias("item_no"), F.col("raw_text").alias("text"))
+    comments = posts.select("post_id", F.lit("comments").alias("field"), F.posexplode("comments").alias("item_no", "text"))
+    return raw.unionByName(comments).filter("length(text) > 0")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(post_texts(table(spark, sf_dir, "posts")), ["post_id", "field", "item_no"], "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = lookalike.same_look_pairs(table(spark, sf_dir, "posts"), "post_id", "raw_text")
     questions = lookalike.same_look_pairs(table(spark, sf_dir, "questions"), "question_id", "text")
@@ -28,10 +39,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = history.repeats(table(spark, sf_dir, "posts"), "post_id", "batch_no", history.page_keys("url"))
-    jobs = history.repeats(table(spark, sf_dir, "jobs"), "job_id", "batch_no", history.posting_keys("source", "source_id"))
-    return posts.select(F.lit("posts").alias("rec"), "*").unionByName(jobs.select(F.lit("jobs").alias("rec"), "*"))
+    posts = ("posts", table(spark, sf_dir, "posts"), "post_id", "batch_no", history.page_keys("url"))
+    jobs = ("jobs", table(spark, sf_dir, "jobs"), "job_id", "batch_no", history.posting_keys("source", "source_id"))
+    return history.repeats([posts, jobs])
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
