@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, history, lookalike, pii, scans
+from . import canon, encode, history, lookalike, pii, scans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +44,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats([posts, jobs])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
