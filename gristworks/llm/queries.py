@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, encode, history, lookalike, pii, scans
+from . import canon, encode, history, lookalike, mixing, pii, reading, scans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +48,33 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = encode.encode(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return mixing.mix(docs.select("doc_id", "source", F.size("ids").alias("tokens")), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size (tokens), repeats of each document in the mixture."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares the mixture reaches, beside the targets."""
+    return _mix(spark, sf_dir)[1]
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).filter("level >= 4").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score, level of every document."""
+    return _levels(spark, sf_dir)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_levels": p10_levels}
 ORACLES: dict[str, str] = {}
