@@ -1,0 +1,166 @@
+"""Questions: extraction from posts, merging of repeats, ranking, trends, and the question bank's views.
+
+Order is data here: "first seen" is the order of (post_id, line), carried as ``seq``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.lexicons import DEFAULT_TOPIC
+
+
+def extract(posts: DataFrame) -> DataFrame:
+    """post_id, line_no, text, topic, modality, url, posted_at, company, role of each question of each post.
+
+    A numbered line is a question if its text asks; any other line if it reads like a question or asks.  Of lines that are
+    equal but for case the first counts.  Posts without text give none.
+    """
+    p = posts.select("post_id", "url", "posted_at", "role", X.company(F.col("company")).alias("company"), X.modality().alias("modality"), X.segments(X.body()).alias("s"))
+    lines = p.select("*", F.posexplode("s").alias("line_no", "line")).drop("s")
+    numbered = X.numbered_part(F.col("line"))
+    lines = lines.withColumn("numbered", numbered).withColumn("text", X.clean_question(F.coalesce("numbered", "line")))
+    asks = X.is_question(F.col("text"))
+    keep = F.when(F.col("numbered").isNotNull(), asks).otherwise((X.is_question_line(F.col("line")) | X.is_question(X.clean_question(F.col("line")))) & asks)
+    first = lines.filter(keep).groupBy("post_id", F.lower("text").alias("_k")).agg(F.min_by(F.struct("line_no", "text", "modality", "url", "posted_at", "company", "role"), "line_no").alias("q"))
+    return first.select("post_id", "q.*").withColumn("topic", X.topic(F.col("text")))
+
+
+def ordered_union(values: str, order: str) -> Column:
+    """Distinct elements of the arrays of a group in order of their first appearance."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(values).alias("v"))))
+    return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(r["v"], F.array().cast("array<string>")))))
+
+
+def merge_equal(questions: DataFrame, seq: str = "question_id") -> DataFrame:
+    """Questions with the same comparison form as one: norm, seq, text, topic, modality_origin, freq, latest_posted_at,
+    source_refs, role_tags, company_tags, variants.
+
+    The first by ``seq`` gives text, topic and modality; dates are compared as texts, null and empty ones lose.
+    The tag lists of a group are short; the texts of equal questions are collected as variants.
+    """
+    q = questions.withColumn("norm", X.normalize(F.coalesce("text", F.lit("")))).withColumn("_s", F.col(seq)).withColumn("_t", F.array("text"))
+    g = q.groupBy("norm").agg(
+        F.min("_s").alias("seq"),
+        F.min_by(F.struct("text", "topic", "modality_origin"), "_s").alias("f"),
+        F.sum("freq").alias("freq"),
+        F.max(F.nullif("latest_posted_at", F.lit(""))).alias("latest_posted_at"),
+        ordered_union("source_refs", "_s").alias("source_refs"),
+        ordered_union("role_tags", "_s").alias("role_tags"),
+        ordered_union("company_tags", "_s").alias("company_tags"),
+        ordered_union("_t", "_s").alias("texts"),
+    )
+    return g.select("norm", "seq", "f.*", "freq", "latest_posted_at", "source_refs", "role_tags", "company_tags", F.filter("texts", lambda t: t.isNotNull() & ~t.eqNullSafe(F.col("f.text"))).alias("variants"))
+
+
+def recency_weight(posted: Column, today: Column) -> Column:
+    age = F.datediff(today, X.first_date(posted))
+    return F.when(age.isNull(), 0.2).when(age <= 180, 1.0).when(age <= 365, 0.75).otherwise(0.3)
+
+
+def modality_weight(m: Column) -> Column:
+    return F.when(m == "vision", 0.4).when(m == "ocr", 0.8).otherwise(1.0)
+
+
+def score(merged: DataFrame, today: str) -> DataFrame:
+    """``merged`` with ``score``: frequency x recency x how far its source can be trusted."""
+    w = recency_weight(F.col("latest_posted_at"), F.to_date(F.lit(today))) * modality_weight(F.coalesce("modality_origin", F.lit("text")))
+    return merged.withColumn("score", F.col("freq") * w)
+
+
+def ranked(merged: DataFrame, today: str, top: int | None = None) -> DataFrame:
+    """Questions by falling score, ties in order of first appearance.
+
+    With ``top`` only so many, each with its rank and cluster id: Spark then keeps ``top`` rows a task.  Without it the
+    result is range-partitioned and has no rank, which would need one task for all rows.
+    """
+    s = score(merged, today).orderBy(F.desc("score"), "seq")
+    if top is None:
+        return s
+    s = s.limit(top)
+    rank = F.expr("row_number() over (order by score desc, seq)")
+    return s.withColumn("rank", rank).withColumn("cluster_id", F.format_string("c%03d", F.col("rank")))
+
+
+def confidence(freq: Column) -> Column:
+    return F.when(freq >= 3, "高频").when(freq == 2, "中频").otherwise("低频")
+
+
+def source_kind(ref: Column) -> Column:
+    low = F.lower(ref)
+    return F.when(low.contains("xiaohongshu") | low.contains("xhs"), "xiaohongshu").when(low.contains("nowcoder"), "nowcoder").otherwise("other")
+
+
+def taxonomy(questions: DataFrame) -> DataFrame:
+    """company, role, n, top question (the first by falling frequency, then id) for each pair of tags; untagged ones as 未标注."""
+    none = F.array(F.lit("未标注"))
+    tags = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.col(c)).otherwise(none)
+    q = questions.select("question_id", "text", "freq", F.explode(tags("company_tags")).alias("company"), "role_tags")
+    q = q.select("question_id", "text", "freq", "company", F.explode(tags("role_tags")).alias("role"))
+    first = F.struct((-F.col("freq")).alias("f"), "question_id")
+    return q.groupBy("company", "role").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", first).alias("top_question"))
+
+
+def topics_of(posts: DataFrame) -> DataFrame:
+    """post_id, posted_at, topic: a row for each topic of a post, 综合 for posts without."""
+    t = F.filter(F.coalesce("ai_topics", F.array().cast("array<string>")), lambda x: F.length(x) > 0)
+    return posts.select("post_id", "posted_at", F.explode(F.when(F.size(t) > 0, t).otherwise(F.array(F.lit(DEFAULT_TOPIC)))).alias("topic"))
+
+
+def trends(posts: DataFrame, now: str, recent: int = 30, window: int = 90) -> DataFrame:
+    """topic, recent, baseline, trend, delta_pct: the last ``recent`` days against the rest of ``window``; undated posts count nowhere."""
+    end = F.to_timestamp(F.lit(now))
+    t = topics_of(posts).withColumn("at", X.moment(F.col("posted_at"))).filter("at is not null")
+    new = F.col("at") >= end - F.expr(f"interval {recent} days")
+    old = ~new & (F.col("at") >= end - F.expr(f"interval {window} days"))
+    g = t.groupBy("topic").agg(F.count_if(new).alias("recent"), F.count_if(old).alias("baseline")).filter("recent + baseline > 0")
+    pct = F.bround((F.col("recent") - F.col("baseline")) / F.col("baseline") * 100).cast("int")
+    delta = F.when(F.col("baseline") == 0, 999).when(F.col("recent") == 0, -100).otherwise(pct)
+    g = g.withColumn("delta_pct", delta)
+    label = F.when(F.col("baseline") == 0, "new").when(F.col("recent") == 0, "gone").when(F.col("delta_pct") >= 50, "rising").when(F.col("delta_pct") <= -30, "falling").otherwise("stable")
+    return g.withColumn("trend", label)
+
+
+def related_posts(questions: DataFrame, posts: DataFrame, most: int = 6) -> DataFrame:
+    """question_id, n_refs, related (ids of the first ``most`` distinct referenced posts that exist).  References are post ids as text."""
+    refs = questions.select("question_id", F.posexplode("source_refs").alias("pos", "ref"))
+    hit = refs.join(posts.select(F.col("post_id").cast("string").alias("ref"), "post_id"), "ref")
+    each = hit.groupBy("question_id", "post_id").agg(F.min("pos").alias("pos"))
+    each = each.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_refs"), F.array_sort(F.collect_list(F.struct("pos", "post_id"))).alias("l"))
+    return each.select("question_id", "n_refs", F.array_join(F.transform(F.slice("l", 1, most), lambda x: x["post_id"]), ",").alias("related"))
+
+
+def resume_tokens(c: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), F.lower))
+
+
+def resume_match(questions: DataFrame, resume: str, role: str = "") -> DataFrame:
+    """``questions`` with ``resume_match`` (0 to 1): token overlap, role words (0.15 each, 0.45 at most), 0.2 for core topics."""
+    from ..functions.lexicons import ROLE_TOPICS
+
+    r = F.lit(resume)
+    qt, rt = resume_tokens(F.coalesce("text", F.lit(""))), resume_tokens(r)
+    overlap = F.size(F.array_intersect(qt, rt)) / F.greatest(F.size(qt), F.lit(1))
+    hints = [h for k, hs in ROLE_TOPICS.items() if k.lower() in role.lower() or role.lower() in k.lower() for h in hs]
+    norm = X.normalize(F.coalesce("text", F.lit("")))
+    hits = sum((norm.contains(h).cast("int") for h in hints), F.lit(0))
+    core = F.col("topic").isin("RAG", "Agent", "MCP/协议") & X.normalize(r).rlike("rag|agent|langchain|mcp")
+    total = overlap + F.least(hits * 0.15, F.lit(0.45)) + F.when(core, 0.2).otherwise(0.0)
+    none = (F.size(qt) == 0) | (F.size(rt) == 0)
+    return questions.withColumn("resume_match", F.when(none, 0.0).otherwise(F.bround(F.least(total, F.lit(1.0)), 3)))
+
+
+def predict(questions: DataFrame, resume: str, role: str = "", top: int = 20) -> DataFrame:
+    """The ``top`` questions by 0.55 x relative frequency + 0.45 x resume match: question_id, freq, resume_match, combined, why."""
+    most = questions.agg(F.greatest(F.max("freq"), F.lit(1)).alias("_m"))
+    s = resume_match(questions, resume, role).crossJoin(F.broadcast(most))
+    s = s.withColumn("combined", F.bround(0.55 * F.col("freq") / F.col("_m") + 0.45 * F.col("resume_match"), 3))
+    why = (
+        F.when(F.col("resume_match") >= 0.35, "简历关键词与题目高度重叠")
+        .when(F.col("freq") >= 3, "岗位高频题,建议优先准备")
+        .when(F.col("topic").isin("RAG", "Agent", "MCP/协议") & F.arrays_overlap(resume_tokens(F.lit(resume)), F.array(*map(F.lit, ("rag", "agent", "langchain", "python")))), F.format_string("岗位核心主题(%s)与简历技能栈相关", "topic"))
+        .otherwise("岗位常见题,作为补充准备")
+    )
+    return s.withColumn("why", why).orderBy(F.desc("combined"), F.desc("freq"), "question_id").limit(top).select("question_id", "freq", "resume_match", "combined", "why")

@@ -1,8 +1,8 @@
 """Registered queries: one module a family, each with QUERIES and ORACLES."""
 
-from . import general, texts
+from . import bank, general, texts
 
-FAMILIES = [general, texts]
+FAMILIES = [general, texts, bank]
 QUERIES = {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in FAMILIES for k, f in m.ORACLES.items()}
 

@@ -30,8 +30,8 @@ def lines(x: str) -> str:
     return f"regexp_split_to_array({x}, {lit(LINE_END)})"
 
 
-def each(x: str, f) -> str:
-    return f"list_transform({x}, lambda l: {f('l')})"
+def each(x: str, f, var: str = "l") -> str:
+    return f"list_transform({x}, lambda {var}: {f(var)})"
 
 
 def keep(x: str, f) -> str:
