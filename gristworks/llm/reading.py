@@ -12,7 +12,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,9 @@ _UNIT = re.compile(r"[a-z]+(?:['’][a-z]+)?|[一-鿿]+")
 _PROSE = re.compile(r"[。！？]|[a-z]{2,}[.!?](?:\s|$)|[一-鿿]{6}|(?:[A-Za-z]+ ){5}")
 _CODE = re.compile(r"^\s*(?:def |class |import |from \w+ import|for \w+ in |while |return\b|SELECT |INSERT |[{}\[\]]|```|#include|public |\w+\s*=\s*\S+;?$)")
 
-GRAPH = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
+GRAPH = T.StructType([T.StructField("words", T.ArrayType(T.LongType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
+#: Documents a batch that goes back to the JVM; keeps the worker's memory small.
+CHUNK = 1000
 
 
 def words(text: str | None) -> tuple[list[str], list[float]] | None:
@@ -45,14 +49,29 @@ def words(text: str | None) -> tuple[list[str], list[float]] | None:
 
 @F.pandas_udf(GRAPH)
 def _words(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, int] = {}
+
+    def number(w: str) -> int:
+        h = memo.get(w)
+        if h is None:
+            if len(memo) > 200_000:
+                memo.clear()
+            h = memo[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+        return h
+
+    def row(t: str | None):
+        found = words(t)
+        return (np.array([number(w) for w in found[0]], dtype=np.int64), np.array(found[1], dtype=np.float32)) if found else (None, None)
+
     for s in batches:
-        yield pd.DataFrame([words(t) or (None, None) for t in s], columns=["words", "shares"])
+        for i in range(0, len(s), CHUNK):
+            yield pd.DataFrame([row(t) for t in s.iloc[i : i + CHUNK]], columns=["words", "shares"])
 
 
 def graph(df: DataFrame, key: str, column: str) -> DataFrame:
     """One row a document: doc, its words as hashes, and their shares; documents without prose are left out."""
     g = df.select(F.col(key).alias("doc"), _words(F.col(column)).alias("g")).filter("g.words is not null")
-    return cut(g.select("doc", F.transform("g.words", lambda w: F.xxhash64(w)).alias("w"), F.transform("g.shares", lambda x: x.cast("float")).alias("k")), "words")
+    return cut(g.select("doc", F.col("g.words").alias("w"), F.col("g.shares").alias("k")), "words")
 
 
 def scores(edges: DataFrame, ratings: DataFrame, iterations: int = 3, follow: float = 0.05, broadcast_words: int = 2_000_000) -> DataFrame:
