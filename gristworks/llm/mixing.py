@@ -60,6 +60,8 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, s
         raise ValueError(f"more than {SOURCES} sources")
     sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")).filter("size > 0")
     sized = sized.join(F.broadcast(goal.select("source")), "source", "left_semi")
+    # sizes come from an encoder: they are computed once and read twice
+    sized = cut(sized, "mix-documents")
     # the hash is the seeded order; its top bits are the bucket
     sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_key"))).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
     hist = cut(sized.groupBy("source", "_b").agg(F.sum("size").alias("n")), "mix-sizes")
