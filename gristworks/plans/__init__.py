@@ -1,8 +1,8 @@
 """Registered queries: one module a family, each with QUERIES and ORACLES."""
 
-from . import bank, general, texts, work
+from . import bank, flows, general, texts, work
 
-FAMILIES = [general, texts, bank, work]
+FAMILIES = [general, texts, bank, work, flows]
 QUERIES = {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in FAMILIES for k, f in m.ORACLES.items()}
 
