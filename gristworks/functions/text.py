@@ -13,6 +13,11 @@ LINE_END = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 MARK = "\u0001"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, for expressions that need it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind around."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -90,8 +95,8 @@ def ocr_pages(c: Column) -> Column:
 def plain_pages(c: Column) -> Column:
     """Non-empty pages; a text without labels is one page."""
     pages = F.filter(ocr_pages(c), lambda x: F.length(x) > 0)
-    plain = without_page_labels(c)
-    return F.when(F.size(pages) > 0, pages).when(F.length(plain) > 0, F.array(plain)).otherwise(F.array().cast("array<string>"))
+    alone = let(without_page_labels(c), lambda t: F.when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>")))
+    return let(pages, lambda p: F.when(F.size(p) > 0, p).otherwise(alone))
 
 
 def squeezed(c: Column) -> Column:
@@ -100,21 +105,21 @@ def squeezed(c: Column) -> Column:
 
 def article(locator: str = "locator_text", raw: str = "raw_text", content: str = "content_text") -> Column:
     """The caption that people wrote: the locator text, else the text unless it is scanned."""
-    loc = clean_post(text_or_empty(locator))
     text = F.coalesce(F.nullif(F.col(raw), F.lit("")), F.col(content), F.lit(""))
-    return F.when(F.length(loc) > 0, loc).when(~text.contains("[图片 OCR 第"), clean_post(strip(text))).otherwise(F.lit(""))
+    other = F.when(~text.contains("[图片 OCR 第"), clean_post(strip(text))).otherwise(F.lit(""))
+    return let(clean_post(text_or_empty(locator)), lambda loc: F.when(F.length(loc) > 0, loc).otherwise(other))
 
 
 def merge_with_scan(article_: Column, scan: Column) -> Column:
     """Caption and scanned text as one, the shorter left out where the other holds it (blanks aside)."""
-    a, o = article_, strip(F.array_join(plain_pages(F.coalesce(scan, F.lit(""))), "\n\n"))
-    return (
-        F.when(F.length(a) == 0, o)
-        .when(F.length(o) == 0, a)
-        .when(squeezed(o).contains(squeezed(a)), o)
-        .when(squeezed(a).contains(squeezed(o)), a)
-        .otherwise(F.concat(a, F.lit("\n\n"), o))
-    )
+
+    def both(v: Column) -> Column:
+        a, o, sa, so = v["a"], v["o"], v["sa"], v["so"]
+        return F.when(F.length(a) == 0, o).when(F.length(o) == 0, a).when(so.contains(sa), o).when(sa.contains(so), a).otherwise(F.concat(a, F.lit("\n\n"), o))
+
+    pages = let(strip(F.array_join(plain_pages(scan), "\n\n")), lambda o: F.struct(o.alias("o"), squeezed(o).alias("so")))
+    merged = let(F.struct(article_.alias("a"), squeezed(article_).alias("sa"), pages.alias("p")), lambda v: both({"a": v["a"], "sa": v["sa"], "o": v["p"]["o"], "so": v["p"]["so"]}))
+    return F.when(F.length(scan) > 0, merged).otherwise(article_)
 
 
 def body() -> Column:
@@ -159,35 +164,46 @@ def not_company(c: Column) -> Column:
     return (F.length(c) < 2) | F.lower(c).isin(NOT_COMPANIES) | has(c, NOT_COMPANY) | c.rlike(rf"^(?:[\d.\-]|{WS})+$")
 
 
+def _first_within(c: Column, words: dict[str, str]) -> Column:
+    """What the first of ``words`` (lower case) found in the lower-case text stands for; null without one."""
+    keys, what = F.array(*map(F.lit, words)), F.array(*map(F.lit, words.values()))
+    return let(F.lower(c), lambda low: F.get(what, F.array_position(F.transform(keys, lambda k: low.contains(k)), True) - 1))
+
+
+def _by_length(words: dict[str, str]) -> dict[str, str]:
+    return {w: words[w] for w in sorted(words, key=lambda w: -len(w))}
+
+
 def alias_in(c: Column) -> Column:
     """Company of the longest alias found anywhere in the text; null without one."""
-    low = F.lower(c)
-    return F.coalesce(*[F.when(low.contains(a.lower()), COMPANY_ALIASES[a]) for a in sorted(COMPANY_ALIASES, key=lambda a: -len(a))])
+    words: dict[str, str] = {}
+    for a, parent in COMPANY_ALIASES.items():
+        words.setdefault(a.lower(), parent)
+    return _first_within(c, _by_length(words))
 
 
 def company(c: Column) -> Column:
     """Company a value names: a known alias's parent, else the value itself where it can be one; null otherwise."""
-    raw = strip(c)
-    by_alias: dict[str, list[str]] = {}
-    for a, parent in COMPANY_ALIASES.items():
-        by_alias.setdefault(parent, []).append(a.lower())
-    exact = F.coalesce(*[F.when(F.lower(raw).isin(a), p) for p, a in by_alias.items()])
-    other = F.when(raw.rlike(r"^[\x{4e00}-\x{9fff}A-Za-z0-9·]{2,20}$"), raw)
-    return F.when((F.length(raw) > 0) & ~not_company(raw), F.coalesce(exact, alias_in(raw), other))
+    words = {a.lower(): p for a, p in COMPANY_ALIASES.items()}
+    exact = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+
+    def named(raw: Column) -> Column:
+        other = F.when(raw.rlike(r"^[\x{4e00}-\x{9fff}A-Za-z0-9·]{2,20}$"), raw)
+        return F.when((F.length(raw) > 0) & ~not_company(raw), F.coalesce(F.try_element_at(exact, F.lower(raw)), alias_in(raw), other))
+
+    return let(strip(c), named)
 
 
 def role_id(c: Column) -> Column:
     """Role a text names: the first hint, else the longest keyword of at least 3 characters; null without one."""
-    hint = F.coalesce(*[F.when(has(c, p), r) for r, p in ROLE_HINTS])
-    low = F.lower(squeezed(c))
-    words = {}
+    words: dict[str, str] = {}
     for rid, label, term, keys in ROLES:
         for w in (term, label, *[k for k in keys if len(k) >= 2]):
             w = "".join(w.lower().split())
             if len(w) >= 3:
                 words.setdefault(w, rid)
-    longest = F.coalesce(*[F.when(low.contains(w), words[w]) for w in sorted(words, key=lambda w: -len(w))])
-    return F.coalesce(hint, longest)
+    hint = lambda t: F.coalesce(*[F.when(has(t, p), r) for r, p in ROLE_HINTS])
+    return let(c, lambda t: F.coalesce(hint(t), _first_within(squeezed(t), _by_length(words))))
 
 
 def is_recap(c: Column, images: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.lexicons import ACTIVITY, FOCUS_AI, FOCUS_DATA, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
+from .skew import join_unique
 
 
 def _escape(words: list[str]) -> str:
@@ -122,21 +124,41 @@ def title_tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(bare, rf"(?:[/\\|·]|{WS})+"), lambda t: F.lower(X.strip(t))), lambda t: F.length(t) >= 2)
 
 
-def link_posts(jobs: DataFrame, posts: DataFrame, company_rows: int = 100_000) -> DataFrame:
-    """job_id, n_posts, n_title, first_posts: posts of the same company (equal, or one name within the other).
+#: A longer text is no company name that another could lie within.
+NAME_CHARS = 256
 
-    Companies are matched, not rows: distinct names pair up by containment in a table checked to be at most
-    ``company_rows`` long, then posts and jobs meet through it in aggregates.  n_title counts posts whose text holds a word of
-    the job's title, over distinct (title, post company) pairs.
+
+def _parts(c: Column) -> Column:
+    """Every part of a name, so that containment becomes an equi-join."""
+    n = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))))
+
+
+def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:
+    """job_id, n_posts, first_posts: posts of the same company (equal names, or one within the other, at most NAME_CHARS long).
+
+    Companies are matched, not rows: the distinct names of one side meet the parts of those of the other in an equi-join, and posts are
+    counted a name before they meet the jobs.  Jobs and posts without a company link to nothing.
     """
     name = lambda c: F.lower(X.strip(F.coalesce(X.company(F.col(c)), F.col(c))))
     p = posts.select("post_id", name("company").alias("pc")).filter("length(pc) > 0")
     j = jobs.select("job_id", name("company").alias("jc")).filter("length(jc) > 0")
-    per = p.groupBy("pc").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("post_id")).alias("ids")).withColumn("ids", F.slice("ids", 1, 5))
-    names = j.select("jc").distinct()
-    if names.limit(company_rows + 1).count() > company_rows:
-        raise ValueError("too many company names to compare; canonicalise them first")
-    pairs = per.join(F.broadcast(names), (F.col("pc") == F.col("jc")) | F.col("jc").contains(F.col("pc")) | F.col("pc").contains(F.col("jc")))
-    linked = pairs.groupBy("jc").agg(F.sum("n").alias("n_posts"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-    linked = linked.select("jc", "n_posts", F.array_join(F.slice("ids", 1, 5), ",").alias("first_posts"))
-    return j.join(linked, "jc").select("job_id", "n_posts", "first_posts")
+    per = p.groupBy("pc").agg(F.count(F.lit(1)).alias("n"))
+    names = j.groupBy("jc").agg(F.count(F.lit(1)).alias("_j"))
+    short = lambda df, c: df.filter(F.length(c) <= NAME_CHARS)
+    inside = short(names, "jc").select("jc", F.explode(_parts(F.col("jc"))).alias("pc")).join(per.select("pc"), "pc")
+    around = short(per, "pc").select("pc", F.explode(_parts(F.col("pc"))).alias("jc")).join(names.select("jc"), "jc")
+    pairs = inside.select("jc", "pc").unionByName(around.select("jc", "pc")).unionByName(names.join(per, names["jc"] == per["pc"]).select("jc", "pc")).distinct()
+    total = pairs.join(per, "pc").groupBy("jc").agg(F.sum("n").alias("n_posts"))
+    five = _first_five(p, pairs)
+    linked = names.join(total, "jc").join(five, "jc")
+    return join_unique(j, linked, "jc", "_j").select("job_id", "n_posts", "first_posts")
+
+
+def _first_five(p: DataFrame, pairs: DataFrame) -> DataFrame:
+    """jc, first_posts: the five smallest post ids over all matched names; each name brings its five smallest."""
+    w = Window.partitionBy("pc", "_s").orderBy("post_id")
+    few = p.withColumn("_s", F.pmod(F.xxhash64("post_id"), F.lit(64))).withColumn("_r", F.row_number().over(w)).filter("_r <= 5")
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("pc").orderBy("post_id"))).filter("_r <= 5").select("pc", "post_id")
+    best = pairs.join(few, "pc").withColumn("_r", F.row_number().over(Window.partitionBy("jc").orderBy("post_id"))).filter("_r <= 5")
+    return best.groupBy("jc").agg(F.array_join(F.array_sort(F.collect_list("post_id")), ",").alias("first_posts"))

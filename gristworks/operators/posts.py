@@ -20,8 +20,7 @@ def merged(posts: DataFrame) -> DataFrame:
 
 def cards(posts: DataFrame, title_size: int = 72, preview_size: int = 220) -> DataFrame:
     """post_id, title, preview: the first line that sounds like a title, and what follows it."""
-    t = merged(posts).select("post_id", X.clean_post(F.coalesce(F.nullif("merged", F.lit("")), "article")).alias("t"))
-    t = t.withColumn("ls", F.filter(F.transform(F.split("t", X.LINE_END), X.strip), lambda v: F.length(v) > 0))
+    t = merged(posts).select("post_id", F.filter(F.transform(F.split(X.clean_post(F.coalesce(F.nullif("merged", F.lit("")), "article")), X.LINE_END), X.strip), lambda v: F.length(v) > 0).alias("ls"))
     named = F.filter("ls", lambda v: (F.length(v) >= 6) & v.rlike("面经|面试|[一二三四五]面"))
     long = F.filter("ls", lambda v: F.length(v) >= 4)
     t = t.withColumn("title", F.coalesce(F.get(named, F.lit(0)), F.get(long, F.lit(0)), F.lit("面经分享")))

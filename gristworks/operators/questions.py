@@ -18,14 +18,21 @@ def extract(posts: DataFrame) -> DataFrame:
     A numbered line is a question if its text asks; any other line if it reads like a question or asks.  Of lines that are
     equal but for case the first counts.  Posts without text give none.
     """
-    p = posts.select("post_id", "url", "posted_at", "role", X.company(F.col("company")).alias("company"), X.modality().alias("modality"), X.segments(X.body()).alias("s"))
-    lines = p.select("*", F.posexplode("s").alias("line_no", "line")).drop("s")
-    numbered = X.numbered_part(F.col("line"))
-    lines = lines.withColumn("numbered", numbered).withColumn("text", X.clean_question(F.coalesce("numbered", "line")))
-    asks = X.is_question(F.col("text"))
-    keep = F.when(F.col("numbered").isNotNull(), asks).otherwise((X.is_question_line(F.col("line")) | X.is_question(X.clean_question(F.col("line")))) & asks)
-    first = lines.filter(keep).groupBy("post_id", F.lower("text").alias("_k")).agg(F.min_by(F.struct("line_no", "text", "modality", "url", "posted_at", "company", "role"), "line_no").alias("q"))
-    return first.select("post_id", "q.*").withColumn("topic", X.topic(F.col("text")))
+    def judged(line: Column) -> Column:
+        def one(v: Column) -> Column:
+            line, n = v["line"], v["n"]
+            return X.let(X.clean_question(F.coalesce(n, line)), lambda t: F.struct(t.alias("text"), (X.is_question(t) & (n.isNotNull() | X.is_question_line(line) | X.is_question(X.clean_question(line)))).alias("keep")))
+
+        return X.let(F.struct(line.alias("line"), X.numbered_part(line).alias("n")), one)
+
+    # lines are judged within the array: each once, and only questions become rows
+    seen = F.transform(X.segments(X.body()), lambda line, i: F.struct(i.alias("line_no"), judged(line).alias("q")))
+    kept = F.transform(F.filter(seen, lambda x: x["q"]["keep"]), lambda x: F.struct(x["line_no"].alias("line_no"), x["q"]["text"].alias("text")))
+    # the outer form: the plain one would compute the array a second time for a filter on its size
+    lines = posts.select("post_id", "url", "posted_at", "role", "company", X.modality().alias("modality"), F.explode_outer(kept).alias("l")).filter("l is not null")
+    lines = lines.select("post_id", "url", "posted_at", "role", "company", "modality", "l.*")
+    first = lines.groupBy("post_id", F.lower("text").alias("_k")).agg(F.min_by(F.struct("line_no", "text", "modality", "url", "posted_at", "company", "role"), "line_no").alias("q"))
+    return first.select("post_id", "q.*").withColumn("topic", X.topic(F.col("text"))).withColumn("company", X.company(F.col("company")))
 
 
 def ordered_union(values: str, order: str) -> Column:
