@@ -36,7 +36,6 @@ def salted_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
 
 def salted_collect(df: DataFrame, key: str, order: str, value: str, salts: int = 64) -> DataFrame:
     """First value a key by ``order``, in two steps so that a hot key is spread over ``salts`` tasks."""
-    part = df.groupBy(key, (F.xxhash64(order) % salts).alias("_salt")).agg(
-        F.min(F.struct(order, value)).alias("_first")
-    )
-    return part.groupBy(key).agg(F.min("_first").alias("_first")).select(key, f"_first.{order}", f"_first.{value}")
+    first = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    part = df.groupBy(key, F.pmod(F.xxhash64(order), F.lit(salts)).alias("_salt")).agg(F.min(first).alias("_first"))
+    return part.groupBy(key).agg(F.min("_first").alias("_first")).select(key, F.col("_first.v").alias(value))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and benches; a cluster brings its own settings."""
+_LOCAL: dict[str, str] = {}
+
+
+def local_session(cpus: str | int = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and benches, ``shared`` its folder for checkpoints; a cluster brings its own settings."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gristworks")
@@ -21,6 +26,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared or f"file://{tempfile.mkdtemp(prefix='gristworks-')}")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GRISTWORKS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -31,8 +37,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package and make sure a checkpoint folder exists.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where it is unset (tests,
-    local mode) a folder below the working directory's warehouse is used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; only a local session may leave it unset.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -43,12 +48,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share."""
-    return (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        or "file:///tmp/gristworks-shared"
-    )
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a local session without it gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "local" not in _LOCAL:
+        _LOCAL["local"] = f"file://{tempfile.mkdtemp(prefix='gristworks-')}"
+    return _LOCAL["local"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -236,7 +236,8 @@ def posts_from_html(pages: DataFrame, url: str = "url", html: str = "html") -> D
                 rows.append((u, page.title.strip(), "\n\n".join(page.blocks)))
             yield pd.DataFrame(rows, columns=["url", "title", "body"])
 
-    epoch = F.regexp_extract(html, r'"?createTime"?\s*[:=]\s*"?(\d{10,13})', 1).cast("bigint")
+    epoch = F.regexp_extract(html, r'"?createTime"?\s*[:=]\s*"?(\d{10,13})', 1)
+    epoch = F.nullif(epoch, F.lit("")).cast("bigint")
     day = F.timestamp_seconds(F.when(epoch > 10_000_000_000, F.floor(epoch / 1000)).otherwise(epoch)).cast("date").cast("string")
     texts = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, "url string, title string, body string")
     dated = pages.select(F.col(url).alias("url"), day.alias("posted_at"))
