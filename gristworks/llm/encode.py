@@ -182,7 +182,8 @@ def frequent_words(texts: DataFrame, column: str, most: int = 50_000, least: int
                 c.update(w for w in split.findall(t) if len(w) <= longest)
                 if len(c) > 200_000:  # bounds the worker's memory, not the counts
                     yield flush()
-        yield flush()
+        if c:
+            yield flush()
 
     words = texts.select(F.col(column).alias("t")).filter("length(t) > 0").mapInPandas(count, "w string, n long")
     top = words.groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most)

@@ -313,8 +313,8 @@ def found(texts: DataFrame, keys: list[str], column: str, least: float = 0.5) ->
 def redact(texts: DataFrame, keys: list[str], column: str, out: str = "redacted", least: float = 0.5) -> DataFrame:
     """``texts`` with ``out``: the text with a typed placeholder for each span.  ``keys`` identify a text; null stays null."""
     hits = judged(proposals(texts, keys, column)).filter(F.col("p") >= least)
-    each = hits.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("a", "b", "type"))).alias("_h"))
-    j = texts.join(each, [texts[k].eqNullSafe(each[f"_{k}"]) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    each = hits.groupBy(*[F.col(k).alias(f"__pii_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("a", "b", "type"))).alias("__pii_spots"))
+    j = texts.join(each, [texts[k].eqNullSafe(each[f"__pii_{k}"]) for k in keys], "left").drop(*[f"__pii_{k}" for k in keys])
 
     @F.pandas_udf(T.StringType())
     def run(t: pd.Series, h: pd.Series) -> pd.Series:
@@ -327,4 +327,4 @@ def redact(texts: DataFrame, keys: list[str], column: str, out: str = "redacted"
 
         return pd.Series([one(x, y) for x, y in zip(t, h)], dtype=object)
 
-    return j.withColumn(out, run(F.col(column), "_h")).drop("_h")
+    return j.withColumn(out, run(F.col(column), "__pii_spots")).drop("__pii_spots")

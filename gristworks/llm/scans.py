@@ -23,7 +23,7 @@ from ..session import cut
 MARKER = re.compile(r"\[图片 OCR 第 \d+ 页\]\s*")
 # How a line with nothing but the page's number may look.
 PAGE_NO = re.compile(
-    r"(?:[-–—·.~<《\[(（〔【|]*\s*(?:p(?:a?g[ec])?\.?|no\.?|第)?\s*[\dOoIl]{1,4}\s*(?:页|頁)?\s*(?:(?:of|/|／|共|·)\s*(?:共)?\s*[\dOoIl]{1,4}\s*(?:页|頁)?)?\s*[-–—·.~>》\])）〕】|]*"
+    r"(?:[-–—·.~<《\[(（〔【|]*\s*(?:pa?g[ec]?\.?|p\.|no\.|第)?\s*[\dOoIl]{1,4}\s*(?:页|頁)?\s*(?:(?:of|/|／|共|·)\s*(?:共)?\s*[\dOoIl]{1,4}\s*(?:页|頁)?)?\s*[-–—·.~>》\])）〕】|]*"
     r"|[-–—·(（〔\[]?\s*(?:x{0,3})(?:ix|iv|v?i{0,3})\s*[-–—·)）〕\]]?)",
     re.I,
 )

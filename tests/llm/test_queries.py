@@ -1,0 +1,20 @@
+import pytest
+
+from gristworks.llm.queries import ORACLES, QUERIES
+
+COLUMNS = {
+    "p1_found": ["rec", "row_id", "field", "ref_id"], "p2_found": ["post_id", "field", "item_no", "pii_type"], "p3_found": ["rec", "id_a", "id_b"], "p4_found": ["rec", "row_id", "line_no", "kind"],
+    "p6_found": ["rec", "first_id", "dup_id"], "p8_ids": ["doc_id", "ids"], "p10_found": ["doc_id"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_runs_with_its_columns(spark, small, name):
+    df = QUERIES[name](spark, small)
+    assert name not in COLUMNS or df.columns == COLUMNS[name]
+    n = df.count()
+    assert n > 0 and (not name.endswith("_found") or df.distinct().count() == n)
+
+
+def test_oracles_have_queries():
+    assert set(ORACLES) <= set(QUERIES)
