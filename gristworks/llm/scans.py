@@ -33,7 +33,7 @@ HYPHEN = re.compile(f"[A-Za-z][{HYPHENS}]\\s*$")
 # What a scanner reads -> what was printed (lower case).
 CONFUSIONS = [("c", "e"), ("e", "c"), ("0", "o"), ("1", "l"), ("1", "i"), ("i", "l"), ("l", "i"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("2", "z"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("h", "b"), ("nn", "m")]
 # Printed characters of which both may stand in a text and which a scanner takes for one another.
-SIMILAR = "间问 人入 未末 已己 日曰 大犬 大太 天夫 土士 千干 王玉 主王 侯候 侍待 析折 令今 拨拔 清请 清情 素索 免兔 力刀 园圆 特持 仔存 廷延 拭试 玫攻 玫政 吋时 厡原 顼项 玛码 拴检 拴控 叺以 敉数 口日 目日 贝见 乌鸟 具真 白自 由田 申甲 处外 牛午 向同 比此 住往 线钱 读续 技枝 扰优 推准 阅阐 栽裁 徒徙 壁璧 辩辨 账帐 密蜜 名各 受爱 万方 几儿 几凡 于干 厂广 了子 木本 休体 体休 哪那 这过 设没 没设 洒酒 治冶 幕墓 撒撤 货贷 贷货 要耍 历厉 折拆 析拆 孤狐 堆推 氐低 佘余 晴睛 腊蜡 槽糟 戍成 士上 土上 工二 三二 叭以 抅构 竟竞".split()
+SIMILAR = "间问 人入 未末 已己 日曰 大犬 大太 天夫 土士 千干 王玉 主王 侯候 侍待 析折 令今 拨拔 清请 清情 素索 免兔 力刀 园圆 特持 仔存 廷延 拭试 玫致 玫攻 玫政 吋时 厡原 顼项 玛码 拴检 拴控 叺以 敉数 口日 目日 贝见 乌鸟 具真 白自 由田 申甲 处外 牛午 向同 比此 住往 线钱 读续 技枝 扰优 推准 阅阐 栽裁 徒徙 壁璧 辩辨 账帐 密蜜 名各 受爱 万方 几儿 几凡 于干 厂广 了子 木本 休体 体休 哪那 这过 设没 没设 洒酒 治冶 幕墓 撒撤 货贷 贷货 要耍 历厉 折拆 析拆 孤狐 堆推 氐低 佘余 晴睛 腊蜡 槽糟 戍成 士上 土上 工二 三二 叭以 抅构 竟竞".split()
 _PAIRS: dict[str, set[str]] = {}
 for _p in SIMILAR:
     _PAIRS.setdefault(_p[0], set()).add(_p[1])
@@ -162,7 +162,7 @@ def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: A reading is taken for wrong where what may have been printed is so many times as frequent.
-WORD_RATIO, TRI_RATIO, LEAST = 5, 8, 5
+WORD_RATIO, TRI_RATIO, LEAST = 5, 4, 5
 #: Of a character that is never right, at least this share of the places is explained by another.
 ALWAYS = 0.6
 #: ... and in so many different contexts, for pairs that SIMILAR does not list.
