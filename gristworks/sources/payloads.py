@@ -262,3 +262,58 @@ def discuss_urls(c: Column) -> Column:
 def payload_key(c: Column) -> Column:
     """Size and first five ids of a list, to tell whether a payload was seen."""
     return F.concat(F.size(c).cast("string"), F.lit(":"), F.array_join(F.slice(c, 1, 5), "|"))
+
+
+def notes_from_search_items(texts: DataFrame, column: str = "value", site: str = "https://www.xiaohongshu.com/explore/") -> DataFrame:
+    """Notes of search items (one JSON item a row): only notes with an id; of each image the first listed address, else its default."""
+    card = "struct<title: string, display_title: string, desc: string, time: string, image_list: array<struct<info_list: array<struct<url: string>>, url_default: string>>, tag_list: array<struct<name: string>>>"
+    n = texts.select(F.from_json(column, f"struct<id: string, model_type: string, xsec_token: string, note_card: {card}>").alias("i")).filter("i.model_type = 'note' and length(trim(i.id)) > 0")
+    c = F.col("i.note_card")
+    listed = lambda x: F.get(F.filter(F.transform(x["info_list"], lambda u: F.nullif(u["url"], F.lit(""))), lambda u: u.isNotNull()), F.lit(0))
+    empty = F.array().cast("array<string>")
+    images = F.filter(F.transform(c["image_list"], lambda x: F.coalesce(listed(x), F.nullif(x["url_default"], F.lit("")))), lambda u: u.isNotNull())
+    tags = F.filter(F.transform(c["tag_list"], lambda t: t["name"]), lambda t: F.length(t) > 0)
+    token = F.when(F.length(F.trim("i.xsec_token")) > 0, F.concat(F.lit("?xsec_token="), F.trim("i.xsec_token"))).otherwise(F.lit(""))
+    nid = F.trim("i.id")
+    title = X.strip(F.coalesce(F.nullif(c["title"], F.lit("")), c["display_title"], F.lit("")))
+    return n.select(nid.alias("note_id"), F.concat(F.lit(site), nid, token).alias("note_url"), title.alias("title"), X.strip(F.coalesce(c["desc"], F.lit(""))).alias("desc"), F.coalesce(F.expr("try_cast(i.note_card.time as bigint)"), F.lit(0)).alias("time"), F.coalesce(images, empty).alias("image_list"), F.coalesce(tags, empty).alias("tags"))
+
+
+def upload_millis(c: Column) -> Column:
+    """Milliseconds of an upload time in one of two notations (UTC), else 0."""
+    t = F.coalesce(F.try_to_timestamp(X.strip(c), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(X.strip(c), F.lit("yyyy-MM-dd HH:mm")))
+    return F.coalesce(F.unix_millis(t), F.lit(0))
+
+
+def discuss_url(c: Column, host: str = "nowcoder.com") -> Column:
+    """Canonical discussion URL, or null where the URL is not one of ``host``'s discussions."""
+    u = F.when(c.startswith("//"), F.concat(F.lit("https:"), c)).otherwise(c)
+    i = F.regexp_extract(u, r"/discuss/(\d+)", 1)
+    return F.when(F.lower(F.try_parse_url(u, F.lit("HOST"))).contains(host) & (F.length(i) > 0), F.concat(F.lit(f"https://www.{host}/discuss/"), i))
+
+
+def uuid_of(c: Column) -> Column:
+    """The id in a feed address; null without one."""
+    return F.nullif(F.regexp_extract(c, r"/feed/main/detail/([0-9a-fA-F]{8,64})", 1), F.lit(""))
+
+
+def is_cut(c: Column) -> Column:
+    """Whether a text was cut by the search: empty, with an ellipsis inside, or numbered items in one short line."""
+    gap = c.rlike(r"(?:…|\.{3})\s*\S")
+    lines = F.size(F.filter(F.split(c, X.LINE_END), lambda x: F.length(X.strip(x)) > 0))
+    return F.coalesce(F.length(c) == 0, F.lit(True)) | gap | ((lines < 3) & c.rlike(r"\d+[.、]") & (F.length(c) < 500))
+
+
+def with_full_text(posts: DataFrame, full: DataFrame, url: str = "url", title: str = "title", body: str = "body") -> DataFrame:
+    """``posts`` with ``body`` replaced by the fetched text (``full``: uuid, text) where it was cut; the title goes before it once."""
+    f = full.select(F.col("uuid").alias("_u"), F.col("text").alias("_full"))
+    j = posts.withColumn("_id", uuid_of(F.col(url))).join(f, F.col("_id") == F.col("_u"), "left")
+    head = X.strip(F.coalesce(title, F.lit("")))
+    got = F.when((F.length(head) == 0) | F.col("_full").startswith(head), F.col("_full")).otherwise(F.concat(head, F.lit("\n"), F.col("_full")))
+    return j.withColumn(body, F.when(is_cut(F.col(body)) & (F.length("_full") > 0), got).otherwise(F.col(body))).drop("_id", "_u", "_full")
+
+
+def newest_files(spark: SparkSession, path: str, pattern: str, since: str | None = None, n: int | None = None) -> DataFrame:
+    """Files by falling modification time, ``n`` at most where it is given (the newest exports): value, path, modified."""
+    files = whole_files(spark, path, pattern, since).orderBy(F.desc("modified"), "path")
+    return files.limit(n) if n else files
