@@ -35,10 +35,7 @@ def extract(posts: DataFrame) -> DataFrame:
     return first.select("post_id", "q.*").withColumn("topic", X.topic(F.col("text"))).withColumn("company", X.company(F.col("company")))
 
 
-def ordered_union(values: str, order: str) -> Column:
-    """Distinct elements of the arrays of a group in order of their first appearance."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(values).alias("v"))))
-    return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.coalesce(r["v"], F.array().cast("array<string>")))))
+LISTS = ["source_refs", "role_tags", "company_tags", "texts"]
 
 
 def merge_equal(questions: DataFrame, seq: str = "question_id") -> DataFrame:
@@ -46,20 +43,25 @@ def merge_equal(questions: DataFrame, seq: str = "question_id") -> DataFrame:
     source_refs, role_tags, company_tags, variants.
 
     The first by ``seq`` gives text, topic and modality; dates are compared as texts, null and empty ones lose.
-    The tag lists of a group are short; the texts of equal questions are collected as variants.
+    Lists are united in order of first appearance: their distinct values are found in a map-side aggregate, so that a
+    question with a third of all rows sends each value once a task, and only distinct values meet.
     """
-    q = questions.withColumn("norm", X.normalize(F.coalesce("text", F.lit("")))).withColumn("_s", F.col(seq)).withColumn("_t", F.array("text"))
-    g = q.groupBy("norm").agg(
-        F.min("_s").alias("seq"),
-        F.min_by(F.struct("text", "topic", "modality_origin"), "_s").alias("f"),
-        F.sum("freq").alias("freq"),
-        F.max(F.nullif("latest_posted_at", F.lit(""))).alias("latest_posted_at"),
-        ordered_union("source_refs", "_s").alias("source_refs"),
-        ordered_union("role_tags", "_s").alias("role_tags"),
-        ordered_union("company_tags", "_s").alias("company_tags"),
-        ordered_union("_t", "_s").alias("texts"),
-    )
-    return g.select("norm", "seq", "f.*", "freq", "latest_posted_at", "source_refs", "role_tags", "company_tags", F.filter("texts", lambda t: t.isNotNull() & ~t.eqNullSafe(F.col("f.text"))).alias("variants"))
+    q = questions.withColumn("norm", X.normalize(F.coalesce("text", F.lit("")))).withColumn("_s", F.col(seq))
+    g = q.groupBy("norm").agg(F.min("_s").alias("seq"), F.min_by(F.struct("text", "topic", "modality_origin"), "_s").alias("f"), F.sum("freq").alias("freq"), F.max(F.nullif("latest_posted_at", F.lit(""))).alias("latest_posted_at"))
+
+    def tagged(n: int, c: str) -> Column:
+        values = F.array("text") if c == "texts" else F.coalesce(c, F.array().cast("array<string>"))
+        return F.transform(values, lambda v, i: F.struct(F.lit(n).alias("k"), i.alias("i"), v.alias("v")))
+
+    every = F.flatten(F.array(*[tagged(n, c) for n, c in enumerate(LISTS)]))
+    values = q.select("norm", "_s", F.explode(every).alias("e")).groupBy("norm", "e.k", "e.v").agg(F.min(F.struct("_s", "e.i")).alias("o"))
+    lists = values.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("k", "o", "v"))).alias("all"))
+    of = lambda n: F.transform(F.filter("all", lambda x: x["k"] == n), lambda x: x["v"])
+    m = g.join(lists, "norm", "left")
+    empty = F.array().cast("array<string>")
+    cols = [F.coalesce(of(n), empty).alias(c) for n, c in enumerate(LISTS[:3])]
+    variants = F.filter(F.coalesce(of(3), empty), lambda t: t.isNotNull() & ~t.eqNullSafe(F.col("f.text")))
+    return m.select("norm", "seq", "f.*", "freq", "latest_posted_at", *cols, variants.alias("variants"))
 
 
 def recency_weight(posted: Column, today: Column) -> Column:

@@ -12,13 +12,15 @@ def new_rows(batch: DataFrame, known: DataFrame, key: str, order: str) -> DataFr
     return fresh.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(batch: DataFrame, path: str, key: str, order: str) -> int:
     """Append to the log at ``path`` what it does not hold yet; gives the number of rows added."""
     spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(path)
-    except Exception:
-        known = batch.limit(0)
+    known = spark.read.schema(batch.schema).parquet(path) if _exists(spark, path) else batch.limit(0)
     fresh = new_rows(batch, known, key, order)
     n = fresh.count()
     if n:
