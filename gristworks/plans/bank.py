@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.lexicons import ASK, ASK_CUE, ASK_LINE, FOLLOWUPS, NARRATIVE, NOISE, NUMBERED, OCR_LABEL, QUESTION_DROP, SECTION, WS
 from ..operators import questions as Q
-from ..session import table
+from ..session import spread, table
 from . import sql as S
 
 TODAY = "2024-03-12"
@@ -16,7 +16,7 @@ RESUME = "项目：用 Spark 和 Kafka 搭建实时数仓，负责 Flink 作业\
 
 
 def bank_extract(spark: SparkSession, d: str) -> DataFrame:
-    return Q.extract(table(spark, d, "posts")).select("post_id", "line_no", "text", "topic", "modality")
+    return Q.extract(spread(table(spark, d, "posts"))).select("post_id", "line_no", "text", "topic", "modality")
 
 
 def bank_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -11,28 +11,28 @@ from ..operators import posts as P
 from ..operators import questions as Q
 from ..operators import state as St
 from ..operators import views as V
-from ..session import table
+from ..session import spread, table
 from . import bank as B
 from . import sql as S
 from .texts import ORACLES as _T
 
 
 def post_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts").select("post_id", F.array_join(V.body_lines(F.col("raw_text")), "\f").alias("lines"))
+    return spread(table(spark, d, "posts")).select("post_id", F.array_join(V.body_lines(F.col("raw_text")), "\f").alias("lines"))
 
 
 def post_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts").select("post_id", V.html_lines(F.col("raw_text")).alias("html"))
+    return spread(table(spark, d, "posts")).select("post_id", V.html_lines(F.col("raw_text")).alias("html"))
 
 
 def note_company_role(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "xhs_mediacrawler_export")
+    n = spread(table(spark, d, "xhs_mediacrawler_export"))
     return V.company_role(n, "title", "tags", "desc_text").select("export_row", "found_company", "found_role")
 
 
 def title_forms(spark: SparkSession, d: str) -> DataFrame:
     """Company and role in titles put together from postings: a blank between them, a round after."""
-    j = table(spark, d, "jobs").select("job_id", F.concat(F.coalesce("company", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")), F.lit(" 一面面经")).alias("t"))
+    j = spread(table(spark, d, "jobs")).select("job_id", F.concat(F.coalesce("company", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")), F.lit(" 一面面经")).alias("t"))
     return j.withColumn("p", V.title_parts(F.col("t"))).select("job_id", "p.role")
 
 
@@ -63,7 +63,7 @@ def post_images(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_funnel(spark: SparkSession, d: str) -> DataFrame:
     """All posts, those with text, recaps, those of the data role, and recent ones, in one pass."""
-    p = P.matches_role(P.gated(table(spark, d, "posts")), "data")
+    p = P.matches_role(P.gated(spread(table(spark, d, "posts"))), "data")
     day = X.first_date(F.col("posted_at"))
     recent = day.isNull() | (F.datediff(F.to_date(F.lit(B.TODAY)), day) <= 90)
     kept = F.col("drop_reason").isNull()

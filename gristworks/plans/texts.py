@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.lexicons import ASK, NARRATIVE, OCR_LABEL, QUESTION_DROP, RECAP, TITLE_OFF_ROLE, TITLE_ON_ROLE, WS
 from ..operators import posts as P
-from ..session import table
+from ..session import spread, table
 from . import sql as S
 
 
@@ -23,7 +23,7 @@ def question_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "posts").select("post_id", X.clean_post(F.col("raw_text")).alias("cleaned"))
+    return spread(table(spark, d, "posts")).select("post_id", X.clean_post(F.col("raw_text")).alias("cleaned"))
 
 
 def post_scan_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def post_scan_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_merge_scan(spark: SparkSession, d: str) -> DataFrame:
-    return P.merged(table(spark, d, "posts")).select("post_id", "merged")
+    return P.merged(spread(table(spark, d, "posts"))).select("post_id", "merged")
 
 
 def post_body(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def post_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_cards(spark: SparkSession, d: str) -> DataFrame:
-    return P.cards(table(spark, d, "posts"))
+    return P.cards(spread(table(spark, d, "posts")))
 
 
 def post_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -65,27 +65,27 @@ def post_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_gate(spark: SparkSession, d: str) -> DataFrame:
-    return P.gated(table(spark, d, "posts")).select("post_id", "drop_reason")
+    return P.gated(spread(table(spark, d, "posts"))).select("post_id", "drop_reason")
 
 
 def post_funnel(spark: SparkSession, d: str) -> DataFrame:
-    g = P.gated(table(spark, d, "posts"))
+    g = P.gated(spread(table(spark, d, "posts")))
     return g.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def post_company(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "posts")
+    p = spread(table(spark, d, "posts"))
     text = X.blob("raw_text", "content_text", "locator_text", "image_ocr_text")
     return p.select("post_id", X.company(F.col("company")).alias("company_norm"), X.alias_in(text).alias("mentioned"))
 
 
 def post_role(spark: SparkSession, d: str) -> DataFrame:
-    return P.roles(table(spark, d, "posts")).select("post_id", "role_hint", "head_hint", "off_role")
+    return P.roles(spread(table(spark, d, "posts"))).select("post_id", "role_hint", "head_hint", "off_role")
 
 
 def post_target_role(spark: SparkSession, d: str) -> DataFrame:
     """Whether a post fits the data role, by title, role field and body in this order."""
-    return P.matches_role(table(spark, d, "posts"), "data").select("post_id", "fits")
+    return P.matches_role(spread(table(spark, d, "posts")), "data").select("post_id", "fits")
 
 
 def page_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions.lexicons import ACTIVITY, COMPANY_ALIASES, FOCUS_AI, FOCUS_DATA, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
 from ..operators import jobs as J
 from ..operators import state as St
-from ..session import table
+from ..session import spread, table
 from . import sql as S
 
 
@@ -31,11 +31,11 @@ def pay_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tech_demand(spark: SparkSession, d: str) -> DataFrame:
-    return J.tech_stack(table(spark, d, "jobs"))
+    return J.tech_stack(spread(table(spark, d, "jobs")))
 
 
 def tech_of_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return J.tech_hits(table(spark, d, "jobs")).select("job_id", "label")
+    return J.tech_hits(spread(table(spark, d, "jobs"))).select("job_id", "label")
 
 
 def job_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def job_snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_company(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").select("job_id", X.company(F.col("company")).alias("company_norm"), X.role_id(F.concat_ws(" ", "title", "role")).alias("role_id"))
+    return spread(table(spark, d, "jobs")).select("job_id", X.company(F.col("company")).alias("company_norm"), X.role_id(F.concat_ws(" ", "title", "role")).alias("role_id"))
 
 
 def job_title_tokens(spark: SparkSession, d: str) -> DataFrame:
