@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.lexicons import ACTIVITY, FOCUS_AI, FOCUS_DATA, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
+from ..session import cut
 from .skew import join_unique
 
 
@@ -140,25 +141,27 @@ def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:
     Companies are matched, not rows: the distinct names of one side meet the parts of those of the other in an equi-join, and posts are
     counted a name before they meet the jobs.  Jobs and posts without a company link to nothing.
     """
-    name = lambda c: F.lower(X.strip(F.coalesce(X.company(F.col(c)), F.col(c))))
-    p = posts.select("post_id", name("company").alias("pc")).filter("length(pc) > 0")
-    j = jobs.select("job_id", name("company").alias("jc")).filter("length(jc) > 0")
-    per = p.groupBy("pc").agg(F.count(F.lit(1)).alias("n"))
-    names = j.groupBy("jc").agg(F.count(F.lit(1)).alias("_j"))
+    name = F.lower(X.strip(F.coalesce(X.company(F.col("company")), F.col("company"))))
+    # names are read off the distinct values, not off the rows
+    values = lambda df, n: df.groupBy("company").agg(F.count(F.lit(1)).alias("_n")).select("company", name.alias(n), "_n").filter(F.length(n) > 0)
+    pv, jv = cut(values(posts, "pc"), "post-names"), cut(values(jobs, "jc"), "job-names")
+    per, names = pv.groupBy("pc").agg(F.sum("_n").alias("n")), jv.select("jc").distinct()
     short = lambda df, c: df.filter(F.length(c) <= NAME_CHARS)
     inside = short(names, "jc").select("jc", F.explode(_parts(F.col("jc"))).alias("pc")).join(per.select("pc"), "pc")
-    around = short(per, "pc").select("pc", F.explode(_parts(F.col("pc"))).alias("jc")).join(names.select("jc"), "jc")
+    around = short(per, "pc").select("pc", F.explode(_parts(F.col("pc"))).alias("jc")).join(names, "jc")
     pairs = inside.select("jc", "pc").unionByName(around.select("jc", "pc")).unionByName(names.join(per, names["jc"] == per["pc"]).select("jc", "pc")).distinct()
+    pairs = cut(pairs, "name-pairs")
     total = pairs.join(per, "pc").groupBy("jc").agg(F.sum("n").alias("n_posts"))
-    five = _first_five(p, pairs)
-    linked = names.join(total, "jc").join(five, "jc")
-    return join_unique(j, linked, "jc", "_j").select("job_id", "n_posts", "first_posts")
+    linked = jv.join(total, "jc").join(_first_five(posts, pv, pairs), "jc").select("company", "n_posts", "first_posts", "_n")
+    return join_unique(jobs.select("job_id", "company"), linked, "company", "_n").select("job_id", "n_posts", "first_posts")
 
 
-def _first_five(p: DataFrame, pairs: DataFrame) -> DataFrame:
-    """jc, first_posts: the five smallest post ids over all matched names; each name brings its five smallest."""
-    w = Window.partitionBy("pc", "_s").orderBy("post_id")
+def _first_five(posts: DataFrame, values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """jc, first_posts: the five smallest post ids over all matched names; each written name brings its five smallest."""
+    p = posts.select("company", "post_id").filter("company is not null")
+    w = Window.partitionBy("company", "_s").orderBy("post_id")
     few = p.withColumn("_s", F.pmod(F.xxhash64("post_id"), F.lit(64))).withColumn("_r", F.row_number().over(w)).filter("_r <= 5")
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("pc").orderBy("post_id"))).filter("_r <= 5").select("pc", "post_id")
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("company").orderBy("post_id"))).filter("_r <= 5")
+    few = few.join(values.select("company", "pc"), "company").withColumn("_r", F.row_number().over(Window.partitionBy("pc").orderBy("post_id"))).filter("_r <= 5").select("pc", "post_id")
     best = pairs.join(few, "pc").withColumn("_r", F.row_number().over(Window.partitionBy("jc").orderBy("post_id"))).filter("_r <= 5")
     return best.groupBy("jc").agg(F.array_join(F.array_sort(F.collect_list("post_id")), ",").alias("first_posts"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import quantities, timestamps
-from ..session import table
+from ..session import spread, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.pay_in_yuan(table(spark, sf_dir, "jobs"), "job_id", "salary", "extra", "description").distinct()
+    return quantities.pay_in_yuan(spread(table(spark, sf_dir, "jobs")), "job_id", "salary", "extra", "description").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
