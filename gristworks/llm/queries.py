@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import canon, encode, history, lookalike, mixing, pii, reading, scans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, jobs = table(spark, sf_dir, "posts"), table(spark, sf_dir, "jobs")
+    posts, jobs = spread(table(spark, sf_dir, "posts")), spread(table(spark, sf_dir, "jobs"))
     fields = [("posts", posts, "post_id", "company", "company"), ("posts", posts, "post_id", "role", "role"), ("jobs", jobs, "job_id", "company", "company"), ("jobs", jobs, "job_id", "city", "city")]
     return canon.found(fields, table(spark, sf_dir, "canon_entries"))
 
@@ -23,18 +23,18 @@ def post_texts(posts: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.found(post_texts(table(spark, sf_dir, "posts")), ["post_id", "field", "item_no"], "text")
+    return pii.found(post_texts(spread(table(spark, sf_dir, "posts"))), ["post_id", "field", "item_no"], "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = lookalike.same_look_pairs(table(spark, sf_dir, "posts"), "post_id", "raw_text")
-    questions = lookalike.same_look_pairs(table(spark, sf_dir, "questions"), "question_id", "text")
+    posts = lookalike.same_look_pairs(spread(table(spark, sf_dir, "posts")), "post_id", "raw_text")
+    questions = lookalike.same_look_pairs(spread(table(spark, sf_dir, "questions")), "question_id", "text")
     return posts.select(F.lit("posts").alias("rec"), "*").unionByName(questions.select(F.lit("questions").alias("rec"), "*"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = table(spark, sf_dir, "posts").select(F.lit("posts").alias("rec"), F.col("post_id").alias("row_id"), F.col("image_ocr_text").alias("text"))
-    pages = table(spark, sf_dir, "ocr_pages").select(F.lit("ocr_pages").alias("rec"), F.col("page_id").alias("row_id"), "text")
+    posts = spread(table(spark, sf_dir, "posts")).select(F.lit("posts").alias("rec"), F.col("post_id").alias("row_id"), F.col("image_ocr_text").alias("text"))
+    pages = spread(table(spark, sf_dir, "ocr_pages")).select(F.lit("ocr_pages").alias("rec"), F.col("page_id").alias("row_id"), "text")
     return scans.noisy_lines(posts.unionByName(pages).filter("text is not null"), ["rec", "row_id"], "text")
 
 
@@ -45,11 +45,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+    return encode.encode(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = encode.encode(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    docs = encode.encode(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"), "text")
     return mixing.mix(docs.select("doc_id", "source", F.size("ids").alias("tokens")), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
 
 
@@ -64,7 +64,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "reading_labels"))
+    return reading.reading_levels(spread(table(spark, sf_dir, "documents")), "doc_id", "text", table(spark, sf_dir, "reading_labels"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
