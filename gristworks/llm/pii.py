@@ -51,6 +51,8 @@ AGAINST = {
     "name": r"公司|部门|组",
 }
 TITLES = r"老师|同学|先生|女士|总|经理|哥|姐|工|老板|学长|学姐|师兄|师姐|面试官|主管|导师"
+# What follows makes the word before it part of an organisation's or a place's name.
+ORGANISATION = r"智能|科技|数据|云|医疗|游戏|出行|网络|半导体|金服|金融|传媒|教育|物业|餐饮|公司|集团|银行|证券|基金|大学|学院|研究院|医院|市|区|县|路|街|巷|大道"
 
 _CN_DIGIT = "零〇一二三四五六七八九幺"
 _SEP = r"[-\s.·]?"
@@ -60,7 +62,7 @@ PATTERNS = {
     "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*{AT}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+", re.I),
     "id_number": re.compile(rf"(?<![\dA-Za-z])(?:\d{{6}}[-\s]?(?:18|19|20)\d{{6}}[-\s]?\d{{3}}[\dXx]|[A-Z]{{1,2}}\d{{7,9}})(?![\dA-Za-z])"),
     "phone": re.compile(
-        rf"(?<![\d.])(?:\+?\s?(?:0086|86)[-\s]?)?1{_SEP}\d{{2}}{_SEP}\d{{4}}{_SEP}\d{{4}}(?!\d)"
+        rf"(?<![\d.])(?:(?:\+\s?)?(?:0086|86)[-\s]?)?1{_SEP}\d{{2}}{_SEP}\d{{4}}{_SEP}\d{{4}}(?!\d)"
         rf"|(?<!\d)0\d{{2,3}}[-\s]\d{{7,8}}(?!\d)|\(0\d{{2,3}}\)\s?\d{{7,8}}(?!\d)"
         rf"|\+\d{{1,3}}\s?\(?\d{{2,4}}\)?[-\s]?\d{{3,4}}[-\s]?\d{{3,4}}(?!\d)"
         rf"|(?<![{_CN_DIGIT}])[一幺][{_CN_DIGIT}]{{10}}(?![{_CN_DIGIT}])"
@@ -104,7 +106,8 @@ def _han_names(s: str, given: frozenset[str]) -> Iterator[tuple[int, int, bool,
             known = name in given
             # with only the word before, the name must end where the words do
             closed = e >= len(s) or not "一" <= s[e] <= "鿿"
-            if known or before and (after or closed) or after and (i == 0 or not "一" <= s[i - 1] <= "鿿"):
+            # a given name of one character is too common to stand alone
+            if known and (n == 2 or before or after) or before and (after or closed) or after and (i == 0 or not "一" <= s[i - 1] <= "鿿"):
                 options.append((known, after, closed, n, e, before))
         if options:
             known, after, _, _, e, before = max(options)
@@ -153,7 +156,7 @@ def spans(text: str, given: frozenset[str]) -> list[tuple[str, int, int, str]]:
         lo = max(s.rfind("\n", 0, a) + 1, a - 16)
         left, right = s[lo:a], s[b : b + 12].split("\n")[0]
         yes_before, yes_after, no = _CTX[t]
-        return ["+" if yes_before.search(left) else "0", "+" if yes_after.match(right.lstrip(" ，,）)。")) else "0", "-" if no.search(left[-12:]) or (t == "address" and no.search(right)) else "0"]
+        return ["+" if yes_before.search(left) else "0", "+" if yes_after.match(right.lstrip(" ，,）)。")) else "0", "-" if no.search(re.split("[。，,；;！!？?]", left)[-1][-12:]) or (t == "address" and no.search(right)) else "0"]
 
     def add(t: str, a: int, b: int, votes: list[str], shape: str) -> None:
         if all(b <= x or a >= y for x, y in taken):
@@ -205,7 +208,8 @@ def spans(text: str, given: frozenset[str]) -> list[tuple[str, int, int, str]]:
     for a, e, before, after, known in sorted(_han_names(s, given), key=lambda x: (not x[4], x[0])):
         title = re.match(TITLES, s[e:]) or re.match(TITLES, s[a + (2 if s[a : a + 2] in COMPOUND else 1) : e])
         inside = a > 0 and "一" <= s[a - 1] <= "鿿" and not before
-        votes = ["+" if known else "-", "+" if before else "0", "+" if after else "0", "-" if title else "0", "-" if inside else "0", "0"]
+        body = re.match(ORGANISATION, s[e:])
+        votes = ["+" if known else "-", "+" if before else "0", "+" if after else "0", "-" if title else "0", "-" if inside else "0", "-" if body else "0"]
         add("name", a, e, votes, "han")
     for m in _LATIN_NAME.finditer(s):
         first, last = m[0].split()
@@ -220,27 +224,26 @@ def _sign(c: str) -> int:
     return {"+": 1, "0": 0, "-": -1}[c]
 
 
-def label_model(patterns: list[tuple[str, int]], rounds: int = 40) -> np.ndarray:
-    """Posterior of each vote pattern: reliabilities of the labelers by expectation-maximisation over (pattern, count)."""
+def label_model(patterns: list[tuple[str, int]], rounds: int = 60) -> np.ndarray:
+    """Posterior of each vote pattern: the labelers' reliabilities by expectation-maximisation over (pattern, count).
+
+    A labeler's reliability is how much more often it votes so for spans that are what they seem than for others.  One
+    that abstains says nothing; a vote for a span is never read against it, nor an objection for it, and both count at
+    most 20 to 1, an objection at least 3 to 1.  Pseudo-votes keep rates sane where a class is (nearly) empty.
+    """
     votes = np.array([[_sign(c) for c in p.split("|")[0]] for p, _ in patterns])
     n = np.array([k for _, k in patterns], dtype=float)
-    # at first a labeler's word is taken; silence says nothing; an objection weighs more than a vote
-    score = (votes == 1).sum(1) * 0.8 - (votes == -1).sum(1) * 1.6
-    q = 1 / (1 + np.exp(-(score - 0.4)))
-    anchor = q.copy()
+    # to begin with, votes are taken at their word and an objection outweighs a vote
+    q = 1 / (1 + np.exp(0.4 - (votes == 1).sum(1) * 0.8 + (votes == -1).sum(1) * 1.6))
     for _ in range(rounds):
-        prior = np.clip((q * n).sum() / n.sum(), 0.02, 0.98)
-        log = np.tile(np.log([1 - prior, prior]), (len(n), 1))
-        for j in range(votes.shape[1]):
-            for value in (-1, 0, 1):
-                on = votes[:, j] == value
-                for y, w in ((1, q), (0, 1 - q)):
-                    # pseudo-counts keep a labeler from being turned round: objections stay objections
-                    lean = {1: (3.0, 1.0), 0: (2.0, 2.0), -1: (0.5, 4.0)}[value][0 if y else 1]
-                    log[on, y] += np.log(((w * n)[on].sum() + lean) / ((w * n).sum() + 6))
-        log -= log.max(1, keepdims=True)
-        p = np.exp(log)
-        q = 0.7 * p[:, 1] / p.sum(1) + 0.3 * anchor
+        yes, no = (n * q).sum(), (n * (1 - q)).sum()
+        prior = np.clip(yes / n.sum(), 0.1, 0.9)
+        z = np.full(len(n), np.log(prior / (1 - prior)))
+        for value, (often, seldom), (least, most) in ((1, (8, 3), (1.0, 20.0)), (-1, (1, 6), (1 / 20, 1 / 3))):
+            on = votes == value
+            ratio = (((n * q) @ on + often) / (yes + 12)) / (((n * (1 - q)) @ on + seldom) / (no + 12))
+            z += on @ np.log(np.clip(ratio, least, most))
+        q = 1 / (1 + np.exp(-z))
     return q
 
 

@@ -67,4 +67,4 @@ def test_empty(spark):
 
 def test_em_learns_which_labeler_to_trust():
     q = pii.label_model([("++0|a", 100), ("+0-|a", 100), ("0+0|a", 50)])
-    assert q[0] > 0.8 > 0.3 > q[1]
+    assert q[0] > 0.7 > 0.3 > q[1] and q[2] > 0.5
