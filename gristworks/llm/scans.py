@@ -56,7 +56,7 @@ def pages(text: str) -> list[list[tuple[int, str]]]:
 _FOLD = str.maketrans("015862cе", "olsbbzee")
 
 
-_SENTENCE = re.compile(r"[。！？!?；;]|[.,，:：—]\s*$|[a-z], ")
+_SENTENCE = re.compile(f"[。！？!?；;，]|[.,:：—]\\s*$|[a-z], |[a-z]\\.\\s+[A-Z]|{HYPHEN.pattern}")
 
 
 def title_key(line: str) -> str:
