@@ -167,3 +167,8 @@ ORACLES = {
     "resume_followups": f"""WITH c AS (SELECT [{", ".join(S.lit(t.format(anchor="用 Spark 和 Kafka 搭建实时数仓，负责 Flink 作业")) for t in FOLLOWUPS)}] AS f) SELECT question_id, is_grounded, step, f[step + 1] AS followup FROM (SELECT question_id, resume_match >= 0.2 AS is_grounded FROM ({_PREDICT}) ORDER BY combined DESC, freq DESC, question_id LIMIT 5), c, (SELECT unnest([0,1,2,3]) AS step)""",
     "recent_posts": f"SELECT post_id FROM posts WHERE {_day('posted_at')} IS NULL OR date_diff('day', {_day('posted_at')}, DATE '{TODAY}') <= 90",
 }
+
+ORACLES["bank_extract"] = S.typed(ORACLES["bank_extract"], line_no="INTEGER")
+ORACLES["bank_merge"] = S.typed(ORACLES["bank_merge"], n_variants="INTEGER")
+ORACLES["bank_rank"] = S.typed(ORACLES["bank_rank"], rank="INTEGER", score="DOUBLE")
+ORACLES["bank_scores"] = S.typed(ORACLES["bank_scores"], score="DOUBLE")

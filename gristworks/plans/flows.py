@@ -91,3 +91,7 @@ ORACLES = {
     "stream_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1, 2",
     "stream_new_posts": "SELECT min(post_id) AS post_id, url, arg_min(source, post_id) AS source FROM posts WHERE length(url) > 0 GROUP BY url",
 }
+
+ORACLES["vector_search"] = S.typed(ORACLES["vector_search"], rank="INTEGER")
+ORACLES["source_joblist"] = S.typed(ORACLES["source_joblist"], n_tags="INTEGER", n_desc="INTEGER")
+ORACLES["source_notes"] = S.typed(ORACLES["source_notes"], images="INTEGER", tags="INTEGER")

@@ -143,3 +143,5 @@ ORACLES = {
     "alias_list": "SELECT company, count(*) AS n FROM (VALUES " + ", ".join(f"({S.lit(a)}, {S.lit(c)})" for a, c in COMPANY_ALIASES.items()) + ") t(alias, company) GROUP BY 1",
     "bank_json": "SELECT topic, '{\"n\":' || count(*) || ',\"freq\":' || sum(freq)::BIGINT || ',\"top\":' || arg_min(question_id, (-freq, question_id)) || '}' AS doc FROM questions GROUP BY 1",
 }
+
+ORACLES["prep_list"] = S.typed(ORACLES["prep_list"], place="INTEGER")

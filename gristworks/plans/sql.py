@@ -89,3 +89,8 @@ def role_id(x: str) -> str:
     low = f"lower({squeezed(x)})"
     longest = "CASE " + " ".join(f"WHEN contains({low}, {lit(w)}) THEN {lit(words[w])}" for w in sorted(words, key=lambda w: -len(w))) + " END"
     return f"coalesce({hint}, {longest})"
+
+
+def typed(sql: str, **types: str) -> str:
+    """``sql`` with columns cast to the types the query gives."""
+    return f"SELECT * REPLACE ({', '.join(f'{c}::{t} AS {c}' for c, t in types.items())}) FROM ({sql})"

@@ -148,3 +148,5 @@ ORACLES = {
     "note_pages": f"""SELECT note_id, string_agg('[图片 OCR 第 ' || page_no || ' 页]' || chr(10) || {S.strip("text")}, chr(10)||chr(10) ORDER BY page_no, page_id) AS text, count(*) AS n_pages, coalesce(avg(confidence),0) AS confidence FROM ocr_pages WHERE length({S.strip("coalesce(text,'')")}) > 0 GROUP BY note_id""",
     "needs_vision": "SELECT post_id, url, extraction_quality FROM posts WHERE needs_vision_fallback OR extraction_quality = 'ocr_low_quality'",
 }
+
+ORACLES["post_scan_pages"] = S.typed(ORACLES["post_scan_pages"], n_pages="INTEGER")

@@ -209,3 +209,5 @@ ORACLES = {
     "event_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e), g AS (SELECT user_id, sid, count(*) AS n FROM k GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM g GROUP BY 1",
     "search_queries": "WITH r AS (SELECT name AS role FROM canon_entries WHERE kind = 'role'), c AS (SELECT name AS company FROM canon_entries WHERE kind = 'company') SELECT role || unnest([' 面经',' 面试',' 实习 面经',' 校招 面经']) AS query FROM r UNION SELECT company || ' ' || role || unnest([' 面经',' 实习 面经',' 社招 面经',' 一面',' 二面']) FROM r, c",
 }
+
+ORACLES["notes_normal"] = S.typed(ORACLES["notes_normal"], n_images="INTEGER")
