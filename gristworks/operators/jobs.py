@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.lexicons import ACTIVITY, FOCUS_AI, FOCUS_DATA, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
+from ..functions.lexicons import ACTIVITY, ACTIVITY_LEVELS, FOCUS_AI, FOCUS_DATA, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
 from ..session import cut
 from .skew import join_unique
 
@@ -165,3 +165,22 @@ def _first_five(posts: DataFrame, values: DataFrame, pairs: DataFrame) -> DataFr
     few = few.join(values.select("company", "pc"), "company").withColumn("_r", F.row_number().over(Window.partitionBy("pc").orderBy("post_id"))).filter("_r <= 5").select("pc", "post_id")
     best = pairs.join(few, "pc").withColumn("_r", F.row_number().over(Window.partitionBy("jc").orderBy("post_id"))).filter("_r <= 5")
     return best.groupBy("jc").agg(F.array_join(F.array_sort(F.collect_list("post_id")), ",").alias("first_posts"))
+
+
+def needs_detail(most: int = 50) -> Column:
+    """Whether a list posting still lacks its description: it has an id and at most ``most`` characters of text."""
+    return (F.length(X.strip(F.coalesce("source_id", F.lit("")))) > 0) & (F.length(X.strip(F.coalesce("description", F.lit("")))) <= most)
+
+
+def activity_funnel(jobs: DataFrame, level: str = "week") -> DataFrame:
+    """before, kept, dropped_no_detail, dropped_inactive for a level of activity; an unknown level is an error."""
+    if level not in ACTIVITY_LEVELS:
+        raise ValueError(f"unknown activity level: {level}")
+    j = by_activity(jobs, ACTIVITY_LEVELS[level])
+    unknown = (F.col("activity") == 0) & F.coalesce(F.element_at("extra", "boss_activity_fetched"), F.lit("")).isin("", "false")
+    return j.agg(F.count(F.lit(1)).alias("before"), F.count_if(F.col("kept")).alias("kept"), F.count_if(unknown & ~F.col("kept")).alias("dropped_no_detail"), F.count_if(~F.col("kept") & ~unknown).alias("dropped_inactive"))
+
+
+def focus_funnel(jobs: DataFrame) -> DataFrame:
+    """before, after, dropped of the focus roles."""
+    return focus(jobs).agg(F.count(F.lit(1)).alias("before"), F.count_if("is_focus").alias("after"), F.count_if(~F.col("is_focus")).alias("dropped"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicons import TITLE_OFF_ROLE, TITLE_ON_ROLE, WS
+from ..functions.lexicons import RECAP, TITLE_OFF_ROLE, TITLE_ON_ROLE, WS
 
 #: Roles that rule a post out of the data role.
 WRONG = {"data": ["data_analyst", "ai_app", "llm", "backend", "frontend", "algorithm", "qa", "client", "product"], "ai_app": ["backend", "frontend", "algorithm", "qa", "client", "data", "data_analyst", "product"]}
@@ -79,3 +79,22 @@ def note_texts(pages: DataFrame) -> DataFrame:
     label = F.concat(F.lit("[图片 OCR 第 "), F.col("page_no"), F.lit(" 页]\n"), X.strip(F.col("text")))
     each = F.array_sort(F.collect_list(F.struct("page_no", "page_id", label.alias("l"))))
     return p.groupBy("note_id").agg(F.array_join(F.transform(each, lambda x: x["l"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+
+
+def is_long_recap(text: str, least: int = 490) -> F.Column:
+    """Whether a note tells so much that its pages need not be read: a recap of at least ``least`` characters."""
+    return X.has(F.coalesce(F.col(text), F.lit("")), RECAP) & (F.length(F.coalesce(F.col(text), F.lit(""))) >= least)
+
+
+def with_vision_text(posts: DataFrame, vision: DataFrame) -> DataFrame:
+    """``posts`` with what a vision model read (``vision``: post_id, text, confidence) appended to the scanned text, and its quality.
+
+    A text already held is not repeated; without text the post stays as it is.
+    """
+    v = vision.select(F.col("post_id").alias("_pid"), X.strip(F.col("text")).alias("_v"), "confidence").withColumnRenamed("confidence", "_c")
+    j = posts.join(v, posts["post_id"] == v["_pid"], "left")
+    got = F.length("_v") > 0
+    held = F.coalesce(F.col("image_ocr_text").contains(F.col("_v")), F.lit(False))
+    text = F.when(got & ~held, F.concat_ws("\n\n", F.nullif("image_ocr_text", F.lit("")), "_v")).otherwise(F.col("image_ocr_text"))
+    quality = F.when(got, F.when(F.col("_c") >= 0.5, "vision_ok").otherwise("vision_low")).otherwise(F.col("extraction_quality"))
+    return j.withColumns({"image_ocr_text": text, "extraction_quality": quality, "needs_vision_fallback": F.when(got, False).otherwise(F.col("needs_vision_fallback"))}).drop("_pid", "_v", "_c")

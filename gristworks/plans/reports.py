@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicons import COMPANY_ALIASES, RECAP, ROLES, WS
+from ..operators import jobs as J
 from ..operators import posts as P
 from ..operators import questions as Q
 from ..operators import state as St
@@ -15,6 +16,7 @@ from ..session import spread, table
 from . import bank as B
 from . import sql as S
 from .texts import ORACLES as _T
+from .work import ORACLES as _W
 
 
 def post_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +114,21 @@ def bank_json(spark: SparkSession, d: str) -> DataFrame:
     return q.select("topic", F.to_json(F.struct("n", "freq", "top")).alias("doc"))
 
 
-QUERIES = {f.__name__: f for f in (post_lines, post_html, note_company_role, title_forms, resume_gaps, trend_note, prep_list, mock_questions, post_images, ingest_funnel, batch_capped, job_backfill, job_details, jobs_merged_sources, role_list, alias_list, bank_json)}
+def job_funnels(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the activity and focus filters, side by side."""
+    j = table(spark, d, "jobs")
+    return J.activity_funnel(j, "week").crossJoin(J.focus_funnel(j).select(F.col("after").alias("in_focus"), F.col("dropped").alias("off_focus")))
+
+
+def job_needs_detail(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "jobs").select("job_id", J.needs_detail().alias("needs_detail"))
+
+
+def note_long_recaps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "xhs_mediacrawler_export").select("export_row", P.is_long_recap("desc_text", 60).alias("long_recap"))
+
+
+QUERIES = {f.__name__: f for f in (post_lines, post_html, note_company_role, title_forms, resume_gaps, trend_note, prep_list, mock_questions, post_images, ingest_funnel, batch_capped, job_backfill, job_details, jobs_merged_sources, role_list, alias_list, bank_json, job_funnels, job_needs_detail, note_long_recaps)}
 
 # RE2 looks neither ahead nor behind: the character after the number is put back with it
 _marked = lambda x: S.sub(x, rf"([^\d]){WS}+(\d+[.、)）])([^\d]|$)", "\\1\u0001\\2\\3")
@@ -139,6 +155,10 @@ ORACLES = {
     "job_backfill": "WITH j AS (SELECT job_id, concat_ws('|', title, city) AS k, posted_at FROM jobs), f AS (SELECT k, arg_min(posted_at, job_id) AS v FROM j WHERE length(trim(posted_at)) > 0 GROUP BY k) SELECT job_id, coalesce(nullif(trim(posted_at),''), v) AS posted_at FROM j LEFT JOIN f USING (k)",
     "job_details": "WITH f AS (SELECT source_id, arg_max('详情：' || title, job_id) AS v FROM jobs WHERE job_id % 3 = 0 AND source_id IS NOT NULL GROUP BY source_id) SELECT job_id, coalesce(nullif(v,''), description) AS description FROM jobs LEFT JOIN f USING (source_id)",
     "jobs_merged_sources": f"SELECT {_n('company')} AS company, {_n('title')} AS title, {_n('city')} AS city, min(job_id) AS job_id, count(*) AS n, count(DISTINCT source) AS sources FROM jobs GROUP BY 1, 2, 3",
+    "job_funnels": f"""SELECT a.*, f.in_focus, f.off_focus FROM (SELECT count(*) AS before, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept AND activity = 0 AND fetched IN ('','false')) AS dropped_no_detail, count(*) FILTER (NOT kept AND NOT (activity = 0 AND fetched IN ('','false'))) AS dropped_inactive
+      FROM (SELECT w.*, coalesce(j.extra['boss_activity_fetched'],'') AS fetched FROM ({_W["job_activity"]}) w JOIN jobs j USING (job_id))) a, (SELECT count(*) FILTER (is_focus) AS in_focus, count(*) FILTER (NOT is_focus) AS off_focus FROM ({_W["job_focus"]})) f""",
+    "job_needs_detail": f"SELECT job_id, length({S.strip("coalesce(source_id,'')")}) > 0 AND length({S.strip("coalesce(description,'')")}) <= 50 AS needs_detail FROM jobs",
+    "note_long_recaps": f"SELECT export_row, {S.has("coalesce(desc_text,'')", RECAP)} AND length(coalesce(desc_text,'')) >= 60 AS long_recap FROM xhs_mediacrawler_export",
     "role_list": "SELECT * FROM (VALUES " + ", ".join(f"({S.lit(a)}, {S.lit(b)}, {S.lit(c)}, {len(k)})" for a, b, c, k in ROLES) + ") t(id, label, search_as, n_keywords)",
     "alias_list": "SELECT company, count(*) AS n FROM (VALUES " + ", ".join(f"({S.lit(a)}, {S.lit(c)})" for a, c in COMPANY_ALIASES.items()) + ") t(alias, company) GROUP BY 1",
     "bank_json": "SELECT topic, '{\"n\":' || count(*) || ',\"freq\":' || sum(freq)::BIGINT || ',\"top\":' || arg_min(question_id, (-freq, question_id)) || '}' AS doc FROM questions GROUP BY 1",
