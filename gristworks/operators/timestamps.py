@@ -224,18 +224,20 @@ def normalise(df: DataFrame, key: str, value: str, source: str, seen: str, zones
     small = zones.select(F.col("source").alias("_zs"), F.col("tz_name").alias("_tz")).groupBy("_zs").agg(F.min("_tz").alias("_tz"))
     bounded = small.limit(broadcast_rows + 1).count() <= broadcast_rows
     rows = rows.join(F.broadcast(small) if bounded else small, rows["_source"] == small["_zs"], "left").drop("_zs")
-    parsed = rows.withColumn("_c", _candidates("_value", "_seen", "_tz")).select("_key", "_source", "_seen", "_c")
+    # sources without a zone share one mixture, so there are no more mixtures than zones
+    own = F.when(F.col("_tz").isNotNull(), F.col("_source")).otherwise(F.lit(""))
+    parsed = rows.withColumn("_c", _candidates("_value", "_seen", "_tz")).select("_key", "_source", "_seen", "_c", own.alias("_ms"))
     marks = F.transform("_c", lambda c: F.concat_ws("|", c["rule"], _bucket(c["ms"], F.col("_seen"))))
     counts = (
         parsed.filter(F.size("_c") > 0)
-        .groupBy(F.coalesce("_source", F.lit("")).alias("source"), F.array_join(marks, " ").alias("sig"))
+        .groupBy(F.col("_ms").alias("source"), F.array_join(marks, " ").alias("sig"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # the sets of one source are few, whatever its rows: rules x buckets
     weights = counts.groupBy("source").applyInPandas(em, "source string, rule string, weight double")
     mixture = weights.groupBy(F.col("source").alias("_ms")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "weight"))).alias("_w"))
-    keyed = parsed.withColumn("_ms", F.coalesce("_source", F.lit("")))
-    if bounded:  # sources of a bounded zone table; those beyond it cannot be more than the null source allows
+    keyed = parsed
+    if bounded:
         keyed = keyed.join(F.broadcast(mixture), "_ms", "left")
     else:
         per = counts.groupBy(F.col("source").alias("_ms")).agg(F.sum("n").alias("_n")).join(mixture, "_ms")
