@@ -109,12 +109,21 @@ def fingerprint() -> Column:
 
 
 def first_by(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """The first row by ``order`` of each key; partial aggregation keeps one row a key and task, so hot keys cost nothing."""
+    """The first row by ``order`` of each key; partial aggregation keeps one row a key and task, so hot keys cost nothing.
+
+    Whole rows need a sorted aggregate; where only ``order`` is asked for, ``first_ids`` does with a hash aggregate.
+    """
     names = [f"_k{i}" for i in range(len(keys))]
     k = df.withColumns(dict(zip(names, keys)))
     return k.groupBy(*names).agg(F.min_by(F.struct(*[f"`{c}`" for c in df.columns]), order).alias("_r")).select("_r.*")
 
 
+def first_ids(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
+    """The smallest ``order`` of each key, by a hash aggregate."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    return df.select(order, *[c.alias(n) for n, c in zip(names, keys)]).groupBy(*names).agg(F.min(order).alias(order)).select(order)
+
+
 def cross_source_key() -> list[Column]:
     n = lambda c: F.lower(X.strip(F.coalesce(c, F.lit(""))))
     return [n("company"), n("title"), n("city")]

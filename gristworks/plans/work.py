@@ -57,7 +57,7 @@ def job_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def job_distinct(spark: SparkSession, d: str) -> DataFrame:
     """First posting of each company, title and city, whatever its source."""
-    return J.first_by(table(spark, d, "jobs").select("job_id", "company", "title", "city"), J.cross_source_key(), "job_id").select("job_id")
+    return J.first_ids(table(spark, d, "jobs"), J.cross_source_key(), "job_id")
 
 
 def job_fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def post_distinct(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce(F.nullif(F.col("raw_text"), F.lit("")), F.nullif(F.col("content_text"), F.lit("")), F.col("locator_text"), F.lit(""))
     url = X.strip(F.coalesce("url", F.lit("")))
     key = F.when((F.length(url) > 0) & ~url.rlike(r"^https?://[^/]*/?$"), url).otherwise(F.substring(X.strip(text), 1, 240))
-    return J.first_by(p.select("post_id", key.alias("key")).filter("length(key) > 0"), [F.col("key")], "post_id").select("post_id")
+    return J.first_ids(p.select("post_id", key.alias("key")).filter("length(key) > 0"), [F.col("key")], "post_id")
 
 
 def post_prefer_local(spark: SparkSession, d: str) -> DataFrame:
