@@ -272,7 +272,8 @@ def map_values(df: DataFrame, value: str, kind: str, reference: DataFrame, out:
         for s in batches:
             yield pd.Series([None if v is None or not v.strip() else memo(v) for v in s], dtype=object)
 
-    return df.withColumn(out, run(F.col(value)))
+    # nondeterministic for the optimiser: else it is computed again for the filter that an explode brings
+    return df.withColumn(out, run.asNondeterministic()(F.col(value)))
 
 
 def found(tables: list[tuple[str, DataFrame, str, str, str]], reference: DataFrame) -> DataFrame:
