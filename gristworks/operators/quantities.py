@@ -194,6 +194,10 @@ def _parse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.DataFrame(rows, columns=["low", "low_scale", "high", "high_scale", "period"])
 
 
+# not to be computed a second time for the filter on its result
+_parse = _parse.asNondeterministic()
+
+
 def conversion_factors(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Scale and period conversions; both are constant tables of a few rows."""
     return spark.createDataFrame(SCALES, "scale string, yuan double"), spark.createDataFrame(
