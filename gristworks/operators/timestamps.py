@@ -180,6 +180,9 @@ def _candidates(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
         )
 
 
+# not to be computed a second time for a filter on its result
+_candidates = _candidates.asNondeterministic()
+
 #: How likely a moment is by its distance from when the value was collected: bucket -> likelihood.
 LIKELIHOOD = {"past": 1.0, "older": 0.02, "soon": 0.2, "future": 0.002}
 ITERATIONS = 25
