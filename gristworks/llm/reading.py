@@ -70,7 +70,7 @@ def _words(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def graph(df: DataFrame, key: str, column: str) -> DataFrame:
     """One row a document: doc, its words as hashes, and their shares; documents without prose are left out."""
-    g = df.select(F.col(key).alias("doc"), _words(F.col(column)).alias("g")).filter("g.words is not null")
+    g = df.select(F.col(key).alias("doc"), _words.asNondeterministic()(F.col(column)).alias("g")).filter("g.words is not null")
     return cut(g.select("doc", F.col("g.words").alias("w"), F.col("g.shares").alias("k")), "words")
 
 
