@@ -289,7 +289,8 @@ def proposals(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
         for s in batches:
             yield pd.Series([[{"type": t, "a": a, "b": b, "votes": v} for t, a, b, v in spans(x, given)] if x else [] for x in s], dtype=object)
 
-    rows = texts.select(*keys, F.explode(run(F.col(column))).alias("_s"))
+    # nondeterministic for the optimiser: else it is computed again for the filter that the explode brings
+    rows = texts.select(*keys, run.asNondeterministic()(F.col(column)).alias("_all")).select(*keys, F.explode("_all").alias("_s"))
     return cut(rows.select(*keys, "_s.type", "_s.a", "_s.b", "_s.votes"), "pii-spans")
 
 

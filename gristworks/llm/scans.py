@@ -308,5 +308,5 @@ def noisy_lines(df: DataFrame, keys: list[str], column: str, model: dict | None
         for s in batches:
             yield pd.Series([[{"line_no": n, "kind": k} for n, k in r.lines(x)] for x in s], dtype=object)
 
-    rows = df.filter(F.length(F.trim(column)) > 0).select(*keys, F.explode(run(F.col(column))).alias("_l"))
+    rows = df.filter(F.length(F.trim(column)) > 0).select(*keys, run.asNondeterministic()(F.col(column)).alias("_all")).select(*keys, F.explode("_all").alias("_l"))
     return rows.select(*keys, "_l.line_no", "_l.kind")
