@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+from .skew import join_unique
+
 
 def _ratio(a: str, b: str) -> float:
     """2 x the longest common subsequence by the summed length (0 to 1); two empty texts are equal."""
@@ -45,36 +51,152 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(best, _ratio(both, with_one), _ratio(both, with_two)) if both else best
 
 
-def merge_similar(questions: DataFrame, block: str, threshold: float = 0.72, most: int = 20_000) -> DataFrame:
+class _Clusters:
+    """The clusters of one block so far, indexed by character and by token, so that few of them need the exact ratio.
+
+    Each text that speaks for a cluster is a version; an outdated one stays in the lists and is passed over.  Multiset
+    overlap bounds the common subsequence, shared tokens give the partial ratios exactly, and versions are tried in
+    descending order of the bound until none can win: the result is that of comparing with every cluster.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.texts: list[str] = []  # of each cluster: the text that speaks for it
+        self.ids: list[int] = []  # the first question
+        self.sizes: list[int] = []
+        self.now: list[int] = []  # the current version, -1 for a text without tokens
+        self.words: list[set[str]] = []  # of each version: its tokens, and the cluster
+        self.of = array("q")
+        self.length = array("q")
+        self.live = array("b")
+        self.chars: dict[tuple[str, int], array] = {}  # n-th occurrence of a character -> versions
+        self.tokens: dict[str, array] = {}
+        self.seen: dict[str, tuple[float, int, int]] = {}  # text -> best ratio, its version, versions known then
+
+    def add(self, i: int, t: str) -> int:
+        """The number of the cluster that ``t`` joins or opens; texts come in order."""
+        x = set(t.split())
+        best, version = self._best(t, x) if x else (0.0, -1)
+        if version >= 0 and best >= self.threshold:
+            k = self.of[version]
+            self.sizes[k] += 1
+            if len(t) < len(self.texts[k]):
+                self.texts[k] = t
+                self.live[self.now[k]] = 0
+                self.now[k] = self._version(x, k)
+        else:
+            k = len(self.ids)
+            self.ids.append(i)
+            self.texts.append(t)
+            self.sizes.append(1)
+            self.now.append(self._version(x, k) if x else -1)
+        return k
+
+    def _version(self, x: set[str], k: int) -> int:
+        v = len(self.of)
+        self.words.append(x)
+        self.of.append(k)
+        self.live.append(1)
+        self.length.append(len(" ".join(x)))
+        for f in self._features(x):
+            self.chars.setdefault(f, array("q")).append(v)
+        for w in x:
+            self.tokens.setdefault(w, array("q")).append(v)
+        return v
+
+    @staticmethod
+    def _features(x: set[str]) -> list[tuple[str, int]]:
+        return [(ch, n) for ch, most in Counter(" ".join(x)).items() for n in range(most)]
+
+    def _best(self, t: str, x: set[str]) -> tuple[float, int]:
+        """The largest ratio and the version that has it, ties to the oldest cluster; (0, -1) where none reaches the threshold."""
+        end = len(self.of)
+        best, version, start = self.seen.get(t, (0.0, -1, 0))
+        if version >= 0 and not self.live[version]:
+            best, version, start = 0.0, -1, 0  # the best of then is outdated; otherwise only later versions can beat it
+        if end > start:
+            best, version = self._search(x, start, end, best, version)
+        if len(self.seen) >= 1_000_000:
+            self.seen.clear()  # a memory of results, nothing else
+        self.seen[t] = best, version, end
+        return best, version
+
+    def _search(self, x: set[str], start: int, end: int, best: float, version: int) -> tuple[float, int]:
+        mine = len(" ".join(x))
+        lists = [c[bisect_left(c, start) :] for c in map(self.chars.get, self._features(x)) if c and c[-1] >= start]
+        if not lists:
+            return best, version
+        common = np.bincount(np.concatenate([np.frombuffer(c, np.int64) for c in lists]) - start, minlength=end - start)
+        # views of growing arrays are copied at once: an array with a view cannot grow
+        length, live = np.array(self.length[start:end]), np.array(self.live[start:end], bool)
+        bound = np.where(live, 2 * common / (mine + length), 0.0)
+        shared = np.zeros(end - start, np.int64)
+        for w in x:
+            c = self.tokens.get(w)
+            if c and c[-1] >= start:
+                shared[np.frombuffer(c[bisect_left(c, start) :], np.int64) - start] += len(w) + 1
+        shared = np.maximum(shared - 1, 0)  # the length of the shared tokens, with blanks between them
+        part = np.where(live, 2 * shared / (shared + np.minimum(mine, length)), 0.0)
+
+        def take(s: float, v: int) -> None:
+            nonlocal best, version
+            if s >= self.threshold and s > 0 and (s > best or s == best and self.of[v] < self.of[version]):
+                best, version = s, v
+
+        top = part.max()
+        for v in np.flatnonzero(part == top) if top > 0 and top >= max(best, self.threshold) else ():
+            take(float(top), start + int(v))
+        few = np.flatnonzero((bound >= max(best, self.threshold)) & (bound > part))
+        for v in few[np.argsort(-bound[few], kind="stable")]:
+            if bound[v] < best:
+                break
+            if bound[v] == best and self.of[start + int(v)] > self.of[version]:
+                continue
+            y = self.words[start + int(v)]
+            both = sorted(x & y)
+            take(_ratio(" ".join(both + sorted(x - y)), " ".join(both + sorted(y - x))), start + int(v))
+        return best, version
+
+
+def merge_similar(questions: DataFrame, block: str, threshold: float = 0.72, most: int | None = None) -> DataFrame:
     """question_id, leader_id, cluster text and size: ordered greedy merging within blocks.
 
     A question joins the most similar cluster so far (by its current text) at ``threshold`` or more, else opens one; the
-    shorter text speaks for the cluster.  The order is that of question_id, and the result depends on it by definition,
-    so a block is one task's work: a block of more than ``most`` rows is refused, never cut.
+    shorter text speaks for the cluster.  The order is that of question_id, and the result depends on it by definition
+    (equal texts too may join different clusters), so a block is one task's work.  Its rows pass through in order; the
+    task holds the clusters, their index and the results of recent texts.  With ``most`` a block of more rows is refused, never cut.
     """
     q = questions.select("question_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(block), F.lit("")).alias("block"))
-    largest = q.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a block has {largest} rows, more than {most}; choose a finer block column")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        reps: list[list] = []  # leader, text, members
-        at = {}
-        for i, t in sorted(zip(pdf["question_id"], pdf["text"])):
-            best, where = 0.0, -1
-            for k, r in enumerate(reps):
-                s = token_set_ratio(t, r[1])
-                if s > best:
-                    best, where = s, k
-            if where >= 0 and best >= threshold:
-                reps[where][2].append(i)
-                if len(t) < len(reps[where][1]):
-                    reps[where][1] = t
-            else:
-                reps.append([i, t, [i]])
-        return pd.DataFrame([(m, r[0], r[1], len(r[2])) for r in reps for m in r[2]], columns=["question_id", "leader_id", "cluster_text", "n"])
-
-    return q.groupBy("block").applyInPandas(run, "question_id long, leader_id long, cluster_text string, n long")
+    if most is not None:
+        largest = q.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest > most:
+            raise ValueError(f"a block has {largest} rows, more than {most}; choose a finer block column")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows (question_id, block, k), then at a block's end its clusters (block, k, leader_id, cluster_text, n)
+        def ended(name: str, c: _Clusters) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(c.ids), 10_000):
+                to = slice(at, at + 10_000)
+                ids = c.ids[to]
+                yield pd.DataFrame({"question_id": None, "block": name, "k": range(at, at + len(ids)), "leader_id": ids, "cluster_text": c.texts[to], "n": c.sizes[to]})
+
+        name, c = None, None
+        for b in batches:
+            for new, part in b.groupby("block", sort=False):
+                if new != name:
+                    if c is not None:
+                        yield from ended(name, c)
+                    name, c = new, _Clusters(threshold)
+                k = [c.add(i, t) for i, t in zip(part["question_id"], part["text"])]
+                yield pd.DataFrame({"question_id": part["question_id"].to_numpy(), "block": name, "k": k, "leader_id": None, "cluster_text": None, "n": None})
+        if c is not None:
+            yield from ended(name, c)
+
+    ordered = q.repartition("block").sortWithinPartitions("block", "question_id", "text")
+    both = cut(ordered.mapInPandas(run, "question_id long, block string, k long, leader_id long, cluster_text string, n long"), "clusters")
+    at = F.struct("block", "k").alias("_c")
+    clusters = both.filter("n is not null").select(at, "leader_id", "cluster_text", "n", F.col("n").alias("_n"))
+    return join_unique(both.filter("n is null").select("question_id", at), clusters, "_c", "_n").select("question_id", "leader_id", "cluster_text", "n")
 
 
 def cosine(a: Column, b: Column) -> Column:

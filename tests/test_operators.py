@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -100,6 +101,37 @@ def test_similarity(spark):
         similarity.merge_similar(df, "topic", most=2)
 
 
+def test_clusters_of_a_large_block(spark):
+    # more rows than one block could have before
+    text = F.when(F.col("id") % 1000 == 0, F.concat(F.lit("explain "), F.col("id"))).otherwise(F.lit("what is rag"))
+    df = spark.range(20_010).select(F.col("id").alias("question_id"), text.alias("text"), F.lit("t").alias("topic"))
+    got = similarity.merge_similar(df, "topic", 1.0)
+    assert {(r["cluster_text"], r["leader_id"], r["n"]) for r in got.collect()} == {("what is rag", 1, 19_989)} | {(f"explain {i}", i, 1) for i in range(0, 20_010, 1000)}
+    assert got.count() == 20_010
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.72, 1.0])
+def test_clusters_against_every_comparison(spark, threshold):
+    rng = random.Random(7)
+    pool = [" ".join("".join(rng.choices("abc的", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 4))) for _ in range(30)]
+    rows = [(i, rng.choice(pool), "uv"[i % 2]) for i in range(160)]
+    want = {}
+    for block in "uv":
+        reps = []
+        for i, t, b in rows:
+            if b == block:
+                s, k = max(((similarity.token_set_ratio(t, r[1]), -k) for k, r in enumerate(reps)), default=(0, 0))
+                if s and s >= threshold:
+                    reps[-k][2].append(i)
+                    reps[-k][1] = min(reps[-k][1], t, key=len)
+                else:
+                    reps.append([i, t, [i]])
+        want |= {i: (r[0], r[1], len(r[2])) for r in reps for i in r[2]}
+    df = spark.createDataFrame(rows, "question_id long, text string, topic string").repartition(5)
+    got = {r["question_id"]: (r["leader_id"], r["cluster_text"], r["n"]) for r in similarity.merge_similar(df, "topic", threshold).collect()}
+    assert got == want
+
+
 def test_search_and_cosine(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "k long, v array<float>")
     got = similarity.search(df, df.filter("k in (1, 5)"), "k", "v", 2, block=1).orderBy("rank").collect()
