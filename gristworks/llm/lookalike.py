@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import join_unique
 from ..session import cut
 
 # Letters of other scripts and the Latin letters they look like, pairwise.
@@ -126,21 +127,35 @@ def normalise(df: DataFrame, column: str, out: str = "canonical", most: int = 10
     return df.withColumn(out, canonical_udf(vocabulary(df, column, most))(F.col(column)))
 
 
-def same_look_pairs(df: DataFrame, key: str, column: str, full_pairs: int = 64) -> DataFrame:
+#: Spellings and rows of a class that one slice of its join holds.
+SLICE_SPELLINGS, SLICE_ROWS = 64, 10_000
+
+
+def same_look_pairs(df: DataFrame, key: str, column: str, full_pairs: int | None = None) -> DataFrame:
     """``id_a`` < ``id_b``: rows whose texts differ in code points and read the same.  Blank texts are left out.
 
     Every row is paired with the representative (smallest id) of each other spelling of its class, so exact copies
-    are not expanded against each other.  Classes with more than ``full_pairs`` spellings are linked through
-    the class representative only, which connects the same rows with one pair a row.
+    are not expanded against each other.  A large class is joined in slices of its spellings and of its rows, so that it is
+    not one task's work; what is copied for that is a small part of its pairs.  Only where ``full_pairs`` is given, classes
+    of more spellings are linked through the class representative alone, which connects the same rows with one pair a row.
     """
     rows = df.select(F.col(key).alias("_id"), F.col(column).alias("_t")).filter("length(_t) > 0")
     rows = normalise(rows, "_t", "_c")
     # 16 bytes of each hash keep the shuffle small; texts themselves never move
     rows = rows.filter(~F.col("_c").rlike(r"^\s*$")).select("_id", F.unhex(F.md5("_t")).alias("_x"), F.unhex(F.md5("_c")).alias("_k"))
-    rows = cut(rows, "looks")  # read twice; two hashes and an id a row
-    spellings = rows.groupBy("_k", "_x").agg(F.min("_id").alias("_rep"))
-    classes = spellings.groupBy("_k").agg(F.count(F.lit(1)).alias("_m"), F.min("_rep").alias("_first")).filter("_m > 1")
-    reps = spellings.join(classes, "_k").select("_k", F.col("_x").alias("_x2"), "_rep", "_m", "_first")
-    reps = reps.filter((F.col("_m") <= full_pairs) | (F.col("_rep") == F.col("_first")))
-    pairs = rows.join(reps.drop("_m", "_first"), "_k").filter("_x != _x2 and _id != _rep")
+    rows = cut(rows, "looks")  # read several times; two hashes and an id a row
+    spellings = rows.groupBy("_k", "_x").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    classes = spellings.groupBy("_k").agg(F.count(F.lit(1)).alias("_m"), F.min("_rep").alias("_first"), F.sum("_n").alias("_rows")).filter("_m > 1")
+    reps = join_unique(spellings.drop("_n"), classes.withColumn("_w", F.col("_m")), "_k", "_w")
+    reps = cut(reps.select("_k", F.col("_x").alias("_x2"), "_rep", "_m", "_first", "_rows"), "spellings")
+    parts = lambda c, n: F.ceil(F.col(c) / n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    of_class = reps.groupBy("_k").agg(F.first("_m").alias("_m"), F.first("_rows").alias("_rows"))
+    mine = join_unique(rows, of_class.withColumn("_w", F.col("_rows")), "_k", "_w")
+    mine = mine.select("_k", "_x", "_id", deal("_id", parts("_rows", SLICE_ROWS)).alias("_i"), every(parts("_m", SLICE_SPELLINGS)).alias("_j"))
+    if full_pairs is not None:
+        reps = reps.filter((F.col("_m") <= full_pairs) | (F.col("_rep") == F.col("_first")))
+    reps = reps.select("_k", "_x2", "_rep", every(parts("_rows", SLICE_ROWS)).alias("_i"), deal("_x2", parts("_m", SLICE_SPELLINGS)).alias("_j"))
+    pairs = mine.join(reps, ["_k", "_i", "_j"]).filter("_x != _x2 and _id != _rep")
     return pairs.select(F.least("_id", "_rep").alias("id_a"), F.greatest("_id", "_rep").alias("id_b")).distinct()
