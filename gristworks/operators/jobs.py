@@ -134,18 +134,15 @@ def title_tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(bare, rf"(?:[/\\|·]|{WS})+"), lambda t: F.lower(X.strip(t))), lambda t: F.length(t) >= 2)
 
 
-#: A longer text is no company name that another could lie within.
-NAME_CHARS = 256
-
-
-def _parts(c: Column) -> Column:
-    """Every part of a name, so that containment becomes an equi-join."""
+def _parts(c: Column, lengths: Column) -> Column:
+    """Every part of a name that has one of ``lengths``, so that containment becomes an equi-join."""
     n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))))
+    fit = F.filter(lengths, lambda k: k <= n)
+    return F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k)))))
 
 
 def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:
-    """job_id, n_posts, first_posts: posts of the same company (equal names, or one within the other, at most NAME_CHARS long).
+    """job_id, n_posts, first_posts: posts of the same company (equal names, or one within the other).
 
     Companies are matched, not rows: the distinct names of one side meet the parts of those of the other in an equi-join, and posts are
     counted a name before they meet the jobs.  Jobs and posts without a company link to nothing.
@@ -155,9 +152,10 @@ def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:
     values = lambda df, n: df.groupBy("company").agg(F.count(F.lit(1)).alias("_n")).select("company", name.alias(n), "_n").filter(F.length(n) > 0)
     pv, jv = cut(values(posts, "pc"), "post-names"), cut(values(jobs, "jc"), "job-names")
     per, names = pv.groupBy("pc").agg(F.sum("_n").alias("n")), jv.select("jc").distinct()
-    short = lambda df, c: df.filter(F.length(c) <= NAME_CHARS)
-    inside = short(names, "jc").select("jc", F.explode(_parts(F.col("jc"))).alias("pc")).join(per.select("pc"), "pc")
-    around = short(per, "pc").select("pc", F.explode(_parts(F.col("pc"))).alias("jc")).join(names, "jc")
+    # only parts as long as some name of the other side are looked up; the distinct lengths are one row
+    parts = lambda df, c, of, o: df.crossJoin(F.broadcast(of.agg(F.collect_set(F.length(o)).alias("_l")))).select(c, F.explode(_parts(F.col(c), F.col("_l"))).alias(o))
+    inside = parts(names, "jc", per, "pc").join(per.select("pc"), "pc")
+    around = parts(per, "pc", names, "jc").join(names, "jc")
     pairs = inside.select("jc", "pc").unionByName(around.select("jc", "pc")).unionByName(names.join(per, names["jc"] == per["pc"]).select("jc", "pc")).distinct()
     pairs = cut(pairs, "name-pairs")
     total = pairs.join(per, "pc").groupBy("jc").agg(F.sum("n").alias("n_posts"))
