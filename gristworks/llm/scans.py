@@ -1,8 +1,8 @@
 """Noise in text from scanned pages (problem 4): continuous paragraphs without page furniture and scanner errors.
 
 Method: running headers and footers are lines that repeat, up to digits, signs and misreadings, at page edges
-and hardly anywhere else; page numbers are number lines at the edges; lines are joined by dehyphenation with the vocabulary of the
-corpus, which also corrects misread words and, by the characters around it, misread Chinese characters.
+and hardly anywhere else; page numbers are number lines at the edges; every hyphen at a line's end before an ASCII letter
+joins two lines; the vocabulary of the corpus corrects misread words and, by the characters around it, misread Chinese characters.
 All counts are over every page; the first pass counts in the workers, so a hot line sends one row a task.
 """
 
