@@ -39,8 +39,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = ("posts", table(spark, sf_dir, "posts"), "post_id", "batch_no", history.page_keys("url"))
-    jobs = ("jobs", table(spark, sf_dir, "jobs"), "job_id", "batch_no", history.posting_keys("source", "source_id"))
+    # the key without regard to case, and the core of the id: the other keys of a row follow from them
+    posts = ("posts", table(spark, sf_dir, "posts"), "post_id", "batch_no", {"key": history.page_keys("url")["second"]})
+    jobs = ("jobs", table(spark, sf_dir, "jobs"), "job_id", "batch_no", {"key": history.posting_keys("source", "source_id")["key"]})
     return history.repeats([posts, jobs])
 
 
