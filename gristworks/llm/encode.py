@@ -1,8 +1,9 @@
 """Encoding of the whole corpus with a public tokenizer (problem 8).
 
 Method: a minimal acyclic transducer as the lexicon.  The corpus's frequent words are compiled, with their ids as
-outputs, into an automaton that shares prefixes and suffixes; workers map its file into memory.  Words it does not
-hold are merged exactly by the tokenizer's own ranks, so the ids are the tokenizer's for every text.
+outputs, into an automaton that shares prefixes and suffixes; workers map its file into memory and walk it for all distinct words
+of a stretch of text at once.  Words it does not hold are merged exactly by the tokenizer's own ranks, so the ids are the tokenizer's
+for every text.  The automaton and the ranks are shipped to the executors; only the driver needs the vocabulary's folder.
 
 Empty and null texts have defined ids: none, that is the empty list.
 """
@@ -18,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch
+from ..session import forget_at_end, scratch
 
 #: Where the vocabulary files are; a parameter of every function that needs them.
 TOKENIZERS = "/opt/tokenizers"
@@ -37,12 +39,25 @@ def pattern(folder: str = TOKENIZERS) -> str:
     return next(ast.literal_eval(n.value) for n in tree.body if isinstance(n, ast.Assign) and n.targets[0].id == "PATTERN")
 
 
-def encoding(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
+def _ranks(folder: str, name: str) -> bytes:
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        return f.read()
+
+
+def _encoding(ranks: bytes, pat: str):
     import tiktoken
 
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=pattern(folder), mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=table, special_tokens={})
+
+
+def encoding(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
+    return _encoding(_ranks(folder, name), pattern(folder))
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start .. start + size of all spans, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Transducer:
@@ -145,6 +160,36 @@ class Transducer:
         f = self.final[state]
         return None if f < 0 else out + self.ids[self.start[f] : self.start[f + 1]].tolist()
 
+    def look_up_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(found, number of ids, ids in order of the words) of many words, walked side by side."""
+        if not hasattr(self, "arcs"):
+            self.arcs = np.repeat(np.arange(self.states, dtype=np.int64), np.diff(self.first)) * 256 + self.bytes_
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(size) - size
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        state = np.full(len(words), int(self.final[-1]), np.int64)
+        said: list[tuple[np.ndarray, np.ndarray]] = []  # step by step: words, and what their arcs say
+        for step in range(int(size.max(initial=0))):
+            on = np.flatnonzero((size > step) & (state >= 0))
+            if not len(on) or not len(self.arcs):
+                state[on] = -1
+                continue
+            key = state[on] * 256 + text[at[on] + step]
+            k = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            ok = self.arcs[k] == key
+            state[on] = np.where(ok, self.target[k], -1)
+            out = np.where(ok, self.out[k], 0)
+            said.append((on[out > 0], out[out > 0]))
+        end = np.where(state >= 0, self.final[state], -1)
+        found = end >= 0
+        said.append((np.flatnonzero(end > 0), end[end > 0]))
+        word, out = (np.concatenate(x) for x in zip(*said))
+        word, out = word[found[word]], out[found[word]]
+        order = np.argsort(word, kind="stable")
+        word, out = word[order], out[order]
+        many = (self.start[out + 1] - self.start[out]).astype(np.int64)
+        return found, np.bincount(word, many, len(words)).astype(np.int64), self.ids[_spans(self.start[out].astype(np.int64), many)]
+
     def to_bytes(self) -> bytes:
         """One file: a header of lengths, then the arrays, so that a reader can map it."""
         arrays = [np.ascontiguousarray(getattr(self, f)) for f in self.FIELDS]
@@ -190,10 +235,11 @@ def frequent_words(texts: DataFrame, column: str, most: int = 50_000, least: int
     return [r["w"] for r in top.collect()]
 
 
-def publish(spark: SparkSession, data: bytes) -> str:
+def publish(spark: SparkSession, data: bytes, kind: str = "lexicon") -> str:
     """Put a file into the shared folder and hand it to all executors; returns its name for SparkFiles."""
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}-{os.urandom(4).hex()}.bin"
-    folder = scratch(spark, "lexicon")
+    name = f"{kind}-{hashlib.sha256(data).hexdigest()[:16]}-{os.urandom(4).hex()}.bin"
+    folder = scratch(spark, kind)
+    forget_at_end(spark, folder)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
@@ -203,41 +249,98 @@ def publish(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def encoder_udf(lexicon: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", remember: int = 100_000):
-    """Pandas UDF text -> ids.  Words come from the mapped lexicon or, unseen, from exact merging; a worker remembers the last ones."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(folder, name)
-        lex = Transducer.mapped(SparkFiles.get(lexicon))
-        split = regex.compile(pattern(folder))
-        memo: dict[str, list[int]] = {}
-
-        def ids(text: str) -> list[int]:
-            out: list[int] = []
-            for w in split.findall(text):
-                got = memo.get(w)
-                if got is None:
-                    raw = w.encode("utf-8")
-                    got = lex.look_up(raw) if len(raw) <= 256 else None
-                    if got is None:
-                        got = enc._encode_single_piece(raw)
-                    if len(memo) >= remember:
-                        memo.clear()
-                    if len(w) <= 64:
-                        memo[w] = got
-                out += got
-            return out
-
-        for s in batches:
-            yield pd.Series([ids(t) if t else [] for t in s], dtype=object)
-
-    return run
+#: Words of more bytes than that are merged without asking the lexicon.
+LONGEST = 256
+#: Characters of text that a worker encodes at a time; a longer text is one stretch by itself.
+STRETCH = 1_000_000
+
+
+class Encoder:
+    """Texts -> ids in a worker, with the shipped lexicon and ranks."""
+
+    def __init__(self, lexicon: str, ranks: str, pat: str):
+        self.lexicon = Transducer.mapped(SparkFiles.get(lexicon))
+        with open(SparkFiles.get(ranks), "rb") as f:
+            self.exact = _encoding(f.read(), pat)
+        self.split = regex.compile(pat).findall
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all their ids): from the lexicon, else merged exactly."""
+        raw = [w.encode("utf-8") for w in words]
+        ask = [i for i, w in enumerate(raw) if len(w) <= LONGEST]
+        found, many, ids = self.lexicon.look_up_all([raw[i] for i in ask])
+        held = np.zeros(len(words), bool)
+        held[np.array(ask, dtype=np.int64)[found]] = True
+        size = np.zeros(len(words), np.int64)
+        size[held] = many[found]
+        other = np.flatnonzero(~held)
+        merged = self.exact.encode_ordinary_batch([words[i] for i in other], num_threads=1) if len(other) else []
+        size[other] = [len(x) for x in merged]
+        flat = np.empty(int(size.sum()), np.int32)
+        start = np.cumsum(size) - size
+        flat[_spans(start[held], size[held])] = ids
+        flat[_spans(start[other], size[other])] = np.fromiter((t for x in merged for t in x), np.int32, int(size[other].sum()))
+        return size, flat
+
+    def stretches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For stretches of the texts: (number of words of each text, the words' numbers, and of each distinct word its number of ids, all ids)."""
+        part: list[list[str]] = []
+        chars = 0
+        for t in texts.to_pylist():
+            part.append(self.split(t) if t else [])
+            chars += len(t or "")
+            if chars >= STRETCH:
+                yield self._numbered(part)
+                part, chars = [], 0
+        if part:
+            yield self._numbered(part)
+
+    def _numbered(self, part: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        number: dict[str, int] = {}
+        words = np.fromiter((number.setdefault(w, len(number)) for p in part for w in p), np.int64)
+        return np.fromiter(map(len, part), np.int64, len(part)), words, *self._words(list(number))
+
+
+def encoder_udf(lexicon: str, ranks: str, pat: str):
+    """Arrow UDF text -> ids."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = Encoder(lexicon, ranks, pat)
+        for texts in batches:
+            for n, words, size, ids in e.stretches(texts):
+                ends = np.concatenate([[0], np.cumsum(size[words])])[np.concatenate([[0], np.cumsum(n)])]
+                flat = ids[_spans((np.cumsum(size) - size)[words], size[words])]
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))
+
+
+def counter_udf(lexicon: str, ranks: str, pat: str):
+    """Arrow UDF text -> number of ids, without handing the ids over."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = Encoder(lexicon, ranks, pat)
+        for texts in batches:
+            for n, words, size, _ in e.stretches(texts):
+                total = np.concatenate([[0], np.cumsum(size[words])])[np.concatenate([[0], np.cumsum(n)])]
+                yield pa.array(np.diff(total), pa.int64())
+
+    return F.arrow_udf(run, T.LongType()).asNondeterministic()  # so that a filter on the result does not compute it again
+
+
+def shipped(df: DataFrame, column: str, most: int = 50_000, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> tuple[str, str, str]:
+    """The lexicon of ``column``'s frequent words and the ranks, handed to the executors; and the pattern."""
+    enc, pat = encoding(folder, name), pattern(folder)
+    words = frequent_words(df, column, most, folder=folder)
+    lexicon = Transducer.build({w.encode("utf-8"): ids for w, ids in zip(words, enc.encode_ordinary_batch(words))})
+    return publish(df.sparkSession, lexicon.to_bytes()), publish(df.sparkSession, _ranks(folder, name), "ranks"), pat
 
 
 def encode(df: DataFrame, column: str, out: str = "ids", most: int = 50_000, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """``df`` with ``out``, the ids of ``column`` without special tokens; empty and null texts give the empty list."""
-    words = frequent_words(df, column, most, folder=folder)
-    enc = encoding(folder, name)
-    lexicon = Transducer.build({w.encode("utf-8"): enc._encode_single_piece(w.encode("utf-8")) for w in words})
-    return df.withColumn(out, encoder_udf(publish(df.sparkSession, lexicon.to_bytes()), folder, name)(F.col(column)))
+    return df.withColumn(out, encoder_udf(*shipped(df, column, most, folder, name))(F.col(column)))
+
+
+def sizes(df: DataFrame, column: str, out: str = "tokens", most: int = 50_000, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+    """``df`` with ``out``, the number of ids of ``column``; 0 for empty and null texts.  A filter on it does not compute it twice."""
+    return df.withColumn(out, counter_udf(*shipped(df, column, most, folder, name))(F.col(column)))
