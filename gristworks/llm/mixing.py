@@ -45,6 +45,14 @@ SOURCES = 10_000
 BUCKETS = 4096
 
 
+def goals(targets: DataFrame) -> DataFrame:
+    """source, target_share, max_repeats: one row a source, its shares added; more than ``SOURCES`` are an error."""
+    goal = targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    if goal.limit(SOURCES + 1).count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    return goal
+
+
 def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, seed: int = 42, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents of the mixture, shares): ``key``, source, size, repeats of each document taken at least once; and for
     each source of ``targets`` target_share, max_repeats, size, taken, share.
@@ -54,10 +62,8 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, s
     the same seed gives the same mixture on any cluster.
     """
     spark = docs.sparkSession
-    goal = targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    rows = goal.limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+    goal = goals(targets)
+    rows = goal.collect()
     sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")).filter("size > 0")
     sized = sized.join(F.broadcast(goal.select("source")), "source", "left_semi")
     # sizes come from an encoder: they are computed once and read twice
@@ -73,18 +79,14 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, s
         whole = int(take / have + 1e-9) if have else 0
         plan.append((s, whole, take - whole * have if have else 0.0))
     plan_df = spark.createDataFrame(plan, "source string, whole int, rest double")
-    # prefix sums over the buckets of each source: at most BUCKETS rows a source
-    edge = (
-        hist.withColumn("before", F.expr("sum(n) over (partition by source order by _b) - n"))
-        .join(F.broadcast(plan_df), "source")
-        .withColumn("state", F.when(F.col("before") + F.col("n") <= F.col("rest"), "in").when(F.col("before") < F.col("rest"), "cut").otherwise("out"))
-        .select("source", "_b", "whole", "rest", "before", "state")
-    )
-    marked = sized.join(F.broadcast(edge), ["source", "_b"])  # SOURCES x BUCKETS rows at most, a few thousand a listed source
-    # the one bucket a source in which the rest ends is taken document by document
-    cut_rows = marked.filter("state = 'cut'").withColumn("upto", F.col("before") + F.expr("sum(size) over (partition by source, _b order by _h, _key)"))
+    # prefix sums over the buckets of each source, at most BUCKETS rows a source; of them only the bucket in which the rest ends goes out
+    ends = hist.withColumn("before", F.expr("sum(n) over (partition by source order by _b) - n")).join(F.broadcast(plan_df), "source").filter(F.col("before") + F.col("n") > F.col("rest"))
+    edge = ends.groupBy("source").agg(F.min(F.struct("_b", "before", "whole", "rest")).alias("e")).select("source", F.col("e._b").alias("_end"), "e.before", "e.whole", "e.rest")
+    marked = sized.join(F.broadcast(edge), "source")  # one row a source
+    # that bucket is taken document by document
+    cut_rows = marked.filter("_b = _end").withColumn("upto", F.col("before") + F.expr("sum(size) over (partition by source order by _h, _key)"))
     part = cut_rows.withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int")).drop("upto")
-    rest = marked.filter("state != 'cut'").withColumn("extra", (F.col("state") == "in").cast("int"))
+    rest = marked.filter("_b != _end").withColumn("extra", (F.col("_b") < F.col("_end")).cast("int"))
     taken = rest.unionByName(part).withColumn("repeats", F.col("whole") + F.col("extra")).filter("repeats > 0")
     mixture = cut(taken.select(F.col("_key").alias(key), "source", "size", "repeats"), "mixture")
     got = mixture.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("taken"), F.count(F.lit(1)).alias("documents"))

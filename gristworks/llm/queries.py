@@ -50,8 +50,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = encode.encode(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"), "text")
-    return mixing.mix(docs.select("doc_id", "source", F.size("ids").alias("tokens")), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
+    targets = table(spark, sf_dir, "mix_targets")
+    # only texts of listed sources are tokenized; their sources are few (``mixing`` checks)
+    listed = F.broadcast(mixing.goals(targets).select("source"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(listed, "source", "left_semi"))
+    docs = encode.sizes(docs, "text").select("doc_id", "source", "tokens")
+    return mixing.mix(docs, "doc_id", "source", "tokens", targets)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
