@@ -1,23 +1,31 @@
 """Noise in text from scanned pages (problem 4): continuous paragraphs without page furniture and scanner errors.
 
-Method: running headers and footers are lines that repeat, up to digits, signs and misreadings, at page edges
-and hardly anywhere else; page numbers are number lines at the edges; every hyphen at a line's end before an ASCII letter
-joins two lines; the vocabulary of the corpus corrects misread words and, by the characters around it, misread Chinese characters.
-All counts are over every page; the first pass counts in the workers, so a hot line sends one row a task.
+Method: running headers and footers are lines that repeat at page edges and hardly anywhere else.  They are learned by a key without
+figures, signs and common misreadings; a line at an edge is also one where its key is within a few edits of a learned one, found by
+pieces that both must share.  Lines with nothing but a number at the edges are page numbers where they say so ("- 3 -", "Page 3 of 9") or
+where the numbers of a text's pages follow one another; a bare number that does not fit stays.  A hyphen at a line's end joins the
+lines, and disappears unless the corpus writes the word with it.  The vocabulary of the corpus corrects misread words and, by the
+characters around it, misread Chinese characters.
+
+All counts are over every page; the first pass counts in the workers, so a hot line sends one row a task.  What is learned goes out to the
+workers while each table has at most ``HELD`` rows; larger tables are joined to what each text asks of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import join_unique
 from ..session import cut
 
 MARKER = re.compile(r"\[图片 OCR 第 \d+ 页\]\s*")
@@ -53,37 +61,136 @@ def pages(text: str) -> list[list[tuple[int, str]]]:
     return [p for p in out if any(x.strip() for _, x in p)]
 
 
-_FOLD = str.maketrans("015862cе", "olsbbzee")
+_FOLD = str.maketrans("015862cеi", "olsbbzeel")
+_SENTENCE = re.compile(f"[。！？!?；;，]|[.,:：—]\\s*$|[a-z], |[a-z]\\.\\s+[A-Z]|{HYPHEN.pattern}")
 
 
-_SENTENCE = re.compile(f"[。！？!?；;，]|[.,:：—]\\s*$|[a-z], |[a-z]\\.\\s+[A-Z]|{HYPHEN.pattern}")
+_OTHER = re.compile(r"[^a-z一-鿿015]+")
+_FIGURE = re.compile(r"(?<![a-z])[015]+(?![a-z])|\b[ivx]+\b")
+_FOLDED = re.compile(r"[a-z015]")
+#: Mark of the key of a line that has the signs of a sentence: it takes more to be a title.
+SENTENCE_MARK = "。"
 
 
 def title_key(line: str) -> str:
-    """Empty for a line with the signs of a sentence; else a line without what differs between repetitions: figures, signs, blanks, roman numbers and common misreadings."""
-    if _SENTENCE.search(line):
-        return ""
-    s = re.sub(r"[^A-Za-z一-鿿015]+", " ", line.lower())
-    s = re.sub(r"(?<![a-z])[015]+(?![a-z])|\b[ivx]+\b", " ", s)
-    s = s.replace("rn", "m").replace("vv", "w").replace("cl", "d").translate(_FOLD).replace("i", "l")
-    return s.replace(" ", "")
+    """A line without what differs between repetitions: figures, signs, blanks, roman numbers and common misreadings."""
+    s = _OTHER.sub(" ", line.lower())
+    if _FOLDED.search(s):
+        s = _FIGURE.sub(" ", s).replace("rn", "m").replace("vv", "w").replace("cl", "d").translate(_FOLD)
+    s = s.replace(" ", "")
+    return SENTENCE_MARK + s if s and _SENTENCE.search(line) else s
+
+
+#: Edits in which a line may differ from a title: one for so many characters of its key.
+EDIT_EACH = 8
+MOST_EDITS = 3
+
 
+def _edits(key: str) -> int:
+    return min(len(key) // EDIT_EACH, MOST_EDITS)
 
-def furniture(page: list[tuple[int, str]]) -> tuple[set[int], list[int]]:
-    """Line numbers of page-number lines, and of the outermost other lines (where a running title stands)."""
+
+def pieces(key: str) -> list[str]:
+    """Parts of a title's key, one more than the edits it allows, so that one of them is unharmed in every line that is close enough."""
+    k = _edits(key) + 1
+    cuts = [len(key) * i // k for i in range(k + 1)]
+    return [f"{len(key)}:{i}:{key[a:b]}" for i, (a, b) in enumerate(zip(cuts, cuts[1:]))] if k > 1 else []
+
+
+def asked(key: str) -> Iterator[str]:
+    """Pieces of titles that a line's key may be close to."""
+    for n in range(len(key) - MOST_EDITS, len(key) + MOST_EDITS + 1):
+        d = min(n // EDIT_EACH, MOST_EDITS)
+        if d < abs(n - len(key)) or d < 1:
+            continue
+        for i in range(d + 1):
+            a, b = n * i // (d + 1), n * (i + 1) // (d + 1)
+            for shift in range(-d, d + 1):
+                if 0 <= a + shift and b + shift <= len(key):
+                    yield f"{n}:{i}:{key[a + shift : b + shift]}"
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` edits lead from ``a`` to ``b``; only the band of that width is computed."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = row.get(j, most + 1) + 1
+            if j:
+                best = min(best, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]))
+            new[j] = best
+        if min(new.values()) > most:
+            return False
+        row = new
+    return row.get(len(b), most + 1) <= most
+
+
+_BARE = re.compile(r"\s*(?:([\dOoIl]{1,4})|([ivxIVX]{1,6}))\s*")
+_FIRST = re.compile(r"[\dOoIl]{1,4}(?![A-Za-z])|\b[ivxIVX]{1,6}\b")
+_ROMAN = {"i": 1, "v": 5, "x": 10}
+
+
+def _number(line: str) -> int:
+    """The page number a number line gives; -1 without one."""
+    found = [m[0] for m in _FIRST.finditer(line)]
+    if not found:
+        return -1
+    digits = re.sub("[oO]", "0", re.sub("[Il]", "1", found[0]))
+    if digits.isdigit() and any(c.isdigit() for c in found[0]):
+        return int(digits)
+    values = [_ROMAN.get(c, 0) for c in found[0].lower()]
+    return sum(-v if v < w else v for v, w in zip(values, [*values[1:], 0]))
+
+
+def _outer(page: list[tuple[int, str]]) -> tuple[set[int], list[int]]:
+    """Line numbers of lines that may be page numbers, and of the outermost other lines (where a running title stands)."""
     numbers: set[int] = set()
     edges: list[int] = []
-    for lines in (page, page[::-1]):
-        for n, line in [x for x in lines if x[1].strip()][:2]:
+    filled = [x for x in page if x[1].strip()]
+    for lines in (filled[:2], filled[:-3:-1]):
+        seen = False
+        for n, line in lines:
             if PAGE_NO.fullmatch(line.strip()):
                 numbers.add(n)
-            elif not any(e in edges for e, _ in lines[: lines.index((n, line))]):
+            elif not seen:
                 edges.append(n)
+                seen = True
     return numbers, list(dict.fromkeys(edges))
 
 
-def joined(page: list[tuple[int, str]], skip: set[int]) -> Iterator[tuple[list[tuple[int, int]], str]]:
-    """Paragraphs of a page as text with, for each line in it, (offset in the text, line number)."""
+def furniture(all_pages: list[list[tuple[int, str]]]) -> list[tuple[set[int], list[int]]]:
+    """For each page of a text the line numbers of its page numbers, and of the outermost other lines.
+
+    A bare number must stand in sequence with that of another page.  Where no other page has a number it is taken for one only if the text
+    has at most two pages, which is too few to show a sequence.
+    """
+    outer = [_outer(p) for p in all_pages]
+    lines = [dict(p) for p in all_pages]
+    values = [{n: _number(by[n]) for n in numbers} for by, (numbers, _) in zip(lines, outer)]
+    out = []
+    for i, (numbers, edges) in enumerate(outer):
+        kept = set()
+        for n in numbers:
+            if _BARE.fullmatch(lines[i][n]):
+                others = [(j, v) for j, vs in enumerate(values) if j != i for v in vs.values()]
+                if others and not any(v - values[i][n] == j - i for j, v in others) or not others and len(all_pages) > 2:
+                    continue
+            kept.add(n)
+        if kept != numbers:  # the line that is no page number is then the outermost
+            filled = [n for n, x in all_pages[i] if x.strip() and n not in kept]
+            edges = list(dict.fromkeys([*filled[:1], *filled[-1:]]))
+        out.append((kept, edges))
+    return out
+
+
+_LAST, _NEXT = re.compile(r"[A-Za-z]+$"), re.compile(r"[A-Za-z]+")
+
+
+def joined(page: list[tuple[int, str]], skip: set[int], compounds: Container[str] = ()) -> Iterator[tuple[list[tuple[int, int]], str]]:
+    """Paragraphs of a page as text with, for each line in it, (offset in the text, line number); ``compounds`` keep their hyphen."""
     parts: list[str] = []
     starts: list[tuple[int, int]] = []
     size = 0
@@ -100,6 +207,8 @@ def joined(page: list[tuple[int, str]], skip: set[int]) -> Iterator[tuple[list[t
             last = parts[-1]
             if HYPHEN.search(last) and line[0].isascii() and line[0].isalpha():
                 cut_ = last.rstrip()[:-1]
+                if compounds and f"{_LAST.search(cut_)[0]}-{_NEXT.match(line)[0]}".lower() in compounds:
+                    cut_ += "-"
                 size -= len(last) - len(cut_)
                 parts[-1] = cut_
             elif last[-1].isascii() and line[0].isascii():
@@ -112,36 +221,72 @@ def joined(page: list[tuple[int, str]], skip: set[int]) -> Iterator[tuple[list[t
         yield starts, "".join(parts)
 
 
-def _count(texts: Iterable[str], counts: dict[str, Counter]) -> None:
-    for text in texts:
-        for page in pages(text):
-            numbers, edges = furniture(page)
-            keys = {n: title_key(x) for n, x in page if len(x) <= 60 and n not in numbers}
-            counts["line"].update(k for k in keys.values() if k)
-            counts["edge"].update(k for n in edges if (k := keys.get(n)))
-            for _, para in joined(page, numbers):
-                low = para.lower()
-                counts["word"].update(WORD.findall(low))
-                if HAN.search(low):
-                    counts["tri"].update(t for t in map("".join, zip(low, low[1:], low[2:])) if "一" <= t[1] <= "鿿")
+_COMPOUND = re.compile(r"[a-z]+-[a-z]+")
+
+
+def _hash(key: str) -> int:
+    return xxhash.xxh64_intdigest(key) - (1 << 63)
+
 
+def _count(text: str, counts: dict[str, Counter]) -> Iterator[str]:
+    """Counts lines, edges, words and compounds of a text; gives its paragraphs with Chinese characters, in lower case."""
+    all_pages = pages(text)
+    for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
+        keys = {n: title_key(x) for n, x in page if n not in numbers}
+        counts["line"].update(_hash(k) for k in keys.values() if k)
+        counts["edge"].update(k for n in edges if (k := keys.get(n)))
+        for _, x in page:
+            if "-" in x:
+                counts["compound"].update(_COMPOUND.findall(x.lower()))
+        for _, para in joined(page, numbers):
+            low = para.lower()
+            counts["word"].update(WORD.findall(low))
+            if HAN.search(low):
+                yield low
 
-COUNTS = "kind string, item string, n long"
+
+def _triples(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of all characters in a row of three whose middle one is Chinese; 21 bits a character."""
+    c = np.frombuffer("\n".join(paragraphs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, z = c[:-2], c[1:-1], c[2:]
+    ok = (y >= 0x4E00) & (y <= 0x9FFF) & (x != 10) & (z != 10)
+    return np.unique(x[ok] << 42 | y[ok] << 21 | z[ok], return_counts=True)
+
+
+COUNTS = "kind string, item string, code long, n long"
+#: Characters of which a worker counts triples at a time, and entries it holds before it hands them on: bounds of memory, not of the counts.
+STRETCH, ENTRIES = 2_000_000, 400_000
 
 
 def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, Counter] = {k: Counter() for k in ("line", "edge", "word", "tri")}
+    counts: dict[str, Counter] = {k: Counter() for k in ("line", "edge", "word", "compound")}
+    paragraphs: list[str] = []
+    size = 0
+
+    def triples() -> pd.DataFrame:
+        codes, n = _triples(paragraphs)
+        paragraphs.clear()
+        return pd.DataFrame({"kind": "tri", "item": None, "code": codes, "n": n})
 
     def flush() -> pd.DataFrame:
-        rows = [(k, i, n) for k, c in counts.items() for i, n in c.items()]
+        rows = [(k, None, i, n) if k == "line" else (k, i, _hash(i) if k == "edge" else None, n) for k, c in counts.items() for i, n in c.items()]
         for c in counts.values():
             c.clear()
-        return pd.DataFrame(rows, columns=["kind", "item", "n"])
+        return pd.DataFrame(rows, columns=["kind", "item", "code", "n"]).astype({"code": "Int64"})
 
     for b in batches:
-        _count(b["text"], counts)
-        if sum(map(len, counts.values())) > 400_000:  # bounds the worker's memory, not the counts
+        for text in b["text"]:
+            for p in _count(text, counts):
+                paragraphs.append(p)
+                size += len(p)
+            if size > STRETCH:
+                yield triples()
+                size = 0
+        if sum(map(len, counts.values())) > ENTRIES:
             yield flush()
+    yield triples()
     yield flush()
 
 
@@ -167,48 +312,61 @@ WORD_RATIO, TRI_RATIO, LEAST = 5, 4, 5
 ALWAYS = 0.6
 #: ... and in so many different contexts, for pairs that SIMILAR does not list.
 CONTEXTS = 4
-#: A title stands at the edge in this share of its places, and in so many places at least.
+#: A title stands at the edge in this share of its places, and in so many places at least; a line with the signs of a sentence more surely.
 EDGE_SHARE, EDGE_LEAST = 0.8, 4
-#: Bound of each learned table that is sent to the workers; a larger one raises an error instead of being cut.
-MOST = 2_000_000
-
+SENTENCE_SHARE, SENTENCE_LEAST = 0.95, 24
+#: A title that stands in so many places may also be recognised in lines misread beyond its key.
+FUZZY_LEAST = 24
+#: Rows of a learned table that go out to the workers; a larger one is joined.
+HELD = 200_000
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} {what}; raise scans.MOST and the executors' memory")
-    return rows
 
+def learn(texts: DataFrame, column: str) -> dict[str, DataFrame]:
+    """Titles, misread words and characters, and compounds of the corpus as tables (item, value), from counts over all its pages.
 
-def learn(texts: DataFrame, column: str) -> dict:
-    """Titles, misread words and misread characters of the corpus, from counts over all its pages."""
+    The value of a title is itself where it may also be recognised by its pieces, else null.
+    """
     t = texts.select(F.col(column).alias("text")).filter(F.length(F.trim("text")) > 0)
-    counts = cut(t.mapInPandas(_counting, COUNTS).groupBy("kind", "item").agg(F.sum("n").alias("n")), "scan-counts")
-    of = lambda k: counts.filter(F.col("kind") == k).select("item", "n")
-    edge = of("edge").withColumnRenamed("n", "at_edge").filter(F.col("at_edge") >= EDGE_LEAST)
-    titles = edge.join(of("line"), "item").filter(F.col("at_edge") >= EDGE_SHARE * F.col("n"))
+    counts = cut(t.mapInPandas(_counting, COUNTS).groupBy("kind", "item", "code").agg(F.sum("n").alias("n")), "scan-counts")
+    of = lambda k, *cols: counts.filter(F.col("kind") == k).select(*(cols or ("item", "n")))
+    sentence = F.col("item").startswith(SENTENCE_MARK)
+    edge = of("edge", "item", "code", F.col("n").alias("at_edge")).filter(F.col("at_edge") >= F.when(sentence, SENTENCE_LEAST).otherwise(EDGE_LEAST))
+    titles = edge.join(of("line", "code", "n"), "code").filter(F.col("at_edge") >= F.when(sentence, SENTENCE_SHARE).otherwise(EDGE_SHARE) * F.col("n"))
+    titles = titles.select("item", F.when(F.col("at_edge") >= FUZZY_LEAST, F.col("item")).alias("value"))
     words = of("word")
     suspect = words.filter(F.col("item").rlike("[a-z]") & (F.length("item") > 2)).mapInPandas(_variants, "item string, n long, variant string")
     right = words.filter(F.col("n") >= LEAST).select(F.col("item").alias("variant"), F.col("n").alias("m"))
-    wrong = suspect.join(right, "variant").filter(F.col("m") >= WORD_RATIO * F.col("n")).groupBy("item").agg(F.max_by("variant", "m").alias("right"))
-    tri = of("tri").select(F.concat(F.substring("item", 1, 1), F.substring("item", 3, 1)).alias("around"), F.substring("item", 2, 1).alias("x"), "n")
+    wrong = suspect.join(right, "variant").filter(F.col("m") >= WORD_RATIO * F.col("n")).groupBy("item").agg(F.max_by("variant", "m").alias("value"))
+    plain = words.select(F.col("item").alias("_word"), F.col("n").alias("m"))
+    compounds = of("compound").join(plain, F.replace("item", F.lit("-"), F.lit("")) == F.col("_word"), "left").filter((F.col("n") >= 2) & (F.col("n") > F.coalesce("m", F.lit(0)))).select("item", F.col("item").alias("value"))
+    sign = lambda shift: F.shiftright("code", shift).bitwiseAND(F.lit((1 << 21) - 1))
+    tri = of("tri", "code", "n").select((F.shiftleft(F.shiftright("code", 42), 21) + sign(0)).alias("around"), sign(21).alias("x"), "n")
     # of one context only the most frequent character matters, so contexts never gather in one place
     top = tri.groupBy("around").agg(F.max(F.struct("n", "x")).alias("t")).select("around", F.col("t.n").alias("m"), F.col("t.x").alias("y")).filter(F.col("m") >= LEAST)
     beaten = tri.join(top, "around").filter((F.col("x") != F.col("y")) & (F.col("m") >= TRI_RATIO * F.col("n")))
     total = tri.groupBy("x").agg(F.sum("n").alias("total"))
-    similar = texts.sparkSession.createDataFrame([(a, b) for a, bs in _PAIRS.items() for b in bs], "x string, y string")
+    similar = texts.sparkSession.createDataFrame([(ord(a), ord(b)) for a, bs in _PAIRS.items() for b in bs], "x long, y long")
     per = beaten.groupBy("x", "y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")).join(total, "x")
     per = per.join(F.broadcast(similar.withColumn("known", F.lit(True))), ["x", "y"], "left")
     # a character that only ever stands in one phrase is no evidence, unless the two are known to be mistaken
     per = per.filter((F.col("n") >= ALWAYS * F.col("total")) & (F.col("known") | (F.col("contexts") >= CONTEXTS)))
-    chars = per.groupBy("x").agg(F.max_by("y", "n").alias("y"))
-    places = beaten.join(F.broadcast(similar), ["x", "y"]).select(F.concat(F.substring("around", 1, 1), "x", F.substring("around", 2, 1)).alias("item"), "y")
-    return {
-        "titles": {r["item"] for r in _bounded(titles, "titles")},
-        "words": {r["item"]: r["right"] for r in _bounded(wrong, "misread words")},
-        "chars": {r["x"]: r["y"] for r in _bounded(chars, "misread characters")},
-        "places": {r["item"]: r["y"] for r in _bounded(places, "misread places")},
-    }
+    chars = per.groupBy("x").agg(F.max_by("y", "n").alias("y")).select(_sign("x").alias("item"), _sign("y").alias("value"))
+    around = lambda shift: F.shiftright("around", shift).bitwiseAND(F.lit((1 << 21) - 1))
+    places = beaten.join(F.broadcast(similar), ["x", "y"]).select(F.concat(_sign(around(21)), _sign("x"), _sign(around(0))).alias("item"), _sign("y").alias("value"))
+    return {k: cut(v, f"scan-{k}") for k, v in (("titles", titles), ("words", wrong), ("chars", chars), ("places", places), ("compounds", compounds))}
+
+
+def _sign(code) -> Column:
+    """The character of a code point (``chr`` of the engine knows only 256): its four bytes, read as UTF-32."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def collected(tables: dict[str, DataFrame], held: int = HELD) -> dict | None:
+    """The learned tables for the workers; None where one of them has more than ``held`` rows (characters are bounded by their script)."""
+    rows = {k: t.limit(held + 1).collect() for k, t in tables.items()}
+    if any(len(r) > held for r in rows.values()):
+        return None
+    return {k: {x["item"]: x["value"] for x in r} for k, r in rows.items()}
 
 
 def _case(right: str, seen: str) -> str:
@@ -222,9 +380,30 @@ class Repairer:
 
     def __init__(self, model: dict):
         self.m = model
+        self.compounds = model.get("compounds", ())
+        self.by_piece: dict[str, list[str]] = {}
+        titles = model["titles"]
+        for t in titles.values() if isinstance(titles, dict) else titles:
+            for p in pieces(t or ""):
+                self.by_piece.setdefault(p, []).append(t)
         marks = set(model["chars"]) | set(_PAIRS)
         self.suspects = re.compile(f"[{''.join(sorted(marks))}]") if marks else None
 
+    def is_title(self, line: str) -> bool:
+        """Whether a line at an edge is a learned title, or one misread in a few places."""
+        key = title_key(line)
+        if not key or key in self.m["titles"]:
+            return bool(key)
+        near = {t for p in asked(key) for t in self.by_piece.get(p, ())} if self.by_piece else ()
+        return any(within(key, t, _edits(t)) for t in near)
+
+    def pages(self, text: str) -> Iterator[tuple[list[tuple[int, str]], set[int], set[int]]]:
+        """(page, its page numbers, its titles) by line number."""
+        all_pages = pages(text)
+        for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
+            by = dict(page)
+            yield page, numbers, {n for n in edges if self.is_title(by[n])}
+
     def misreads(self, para: str) -> Iterator[tuple[int, int, str]]:
         """(start, end, what was printed) of wrongly recognised words and characters."""
         low = para.lower()
@@ -243,15 +422,12 @@ class Repairer:
     def lines(self, text: str | None) -> list[tuple[int, str]]:
         """(line number, kind) of header, page_no, hyphen and misread lines."""
         found: list[tuple[int, str]] = []
-        for page in pages(text) if text and text.strip() else []:
-            numbers, edges = furniture(page)
-            by = dict(page)
-            heads = {n for n in edges if title_key(by[n]) in self.m["titles"]}
+        for page, numbers, heads in self.pages(text) if text and text.strip() else ():
             found += [(n, "page_no") for n in numbers] + [(n, "header") for n in heads]
             body = [(n, x) for n, x in page if n not in numbers and n not in heads]
             found += [(n, "hyphen") for (n, x), (_, y) in zip(body, body[1:]) if HYPHEN.search(x) and y[:1].isascii() and y[:1].isalpha()]
             bad = set()
-            for starts, para in joined(page, numbers | heads):
+            for starts, para in joined(page, numbers | heads, self.compounds):
                 for a, b, right in self.misreads(para):
                     on = [n for k, (o, n) in enumerate(starts) if o < b and (k + 1 == len(starts) or starts[k + 1][0] > a)]
                     if len(on) > 1:  # a divided word: only the lines whose part differs
@@ -268,11 +444,8 @@ class Repairer:
         if text is None:
             return None
         out = []
-        for page in pages(text):
-            numbers, edges = furniture(page)
-            by = dict(page)
-            heads = {n for n in edges if title_key(by[n]) in self.m["titles"]}
-            for _, para in joined(page, numbers | heads):
+        for page, numbers, heads in self.pages(text):
+            for _, para in joined(page, numbers | heads, self.compounds):
                 for a, b, right in sorted(self.misreads(para), reverse=True):
                     para = para[:a] + right + para[b:]
                 out.append(para)
@@ -282,31 +455,91 @@ class Repairer:
 LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
 
-def repair(df: DataFrame, column: str, out: str = "repaired", model: dict | None = None) -> DataFrame:
-    """``df`` with ``out``, the repaired text of ``column``."""
-    m = model or learn(df, column)
-
-    @F.pandas_udf(T.StringType())
+def _asks(text: str) -> set[tuple[str, str]]:
+    """(table, item) of all that a text has to ask of the learned tables."""
+    out: set[tuple[str, str]] = set()
+    all_pages = pages(text)
+    for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
+        by = dict(page)
+        heads = {n: k for n in edges if (k := title_key(by[n]))}
+        out |= {("titles", k) for k in heads.values()} | {("pieces", p) for k in heads.values() for p in asked(k)}
+        # whether an edge is a title is not known yet: words at both sides of it may meet or not
+        for skip in {frozenset(numbers), frozenset(numbers | set(heads)), *(frozenset(numbers | {n}) for n in heads)}:
+            for _, para in joined(page, set(skip)):
+                low = para.lower()
+                out |= {("words", w) for w in WORD.findall(low)} | {("places", low[i - 1 : i + 2]) for i, c in enumerate(low) if i and c in _PAIRS}
+        body = [x.strip() for _, x in page]
+        out |= {("compounds", f"{_LAST.search(a[:-1])[0]}-{_NEXT.match(b)[0]}".lower()) for i, a in enumerate(body) if HYPHEN.search(a) for b in body[i + 1 : i + 4] if _NEXT.match(b)}
+        out |= {("words", w) for c in [k for t, k in out if t == "compounds"] for w in c.split("-")}
+    return out
+
+
+def _joined(rows: DataFrame, column: str, tables: dict[str, DataFrame], use, kind) -> DataFrame:
+    """``rows`` with ``_out``: ``use`` of each text, with what it asks of the learned tables joined to it; each distinct text once."""
+    marked = rows.withColumn("_h", F.md5(column))
+    texts = cut(marked.groupBy("_h").agg(F.first(column).alias("_text"), F.count(F.lit(1)).alias("_n")), "scan-texts")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(h, k, i) for h, t in zip(b["_h"], b["_text"]) for k, i in sorted(_asks(t))], columns=["_h", "kind", "item"])
+
+    @F.udf(T.ArrayType(T.StringType()))
+    def cuts(title):
+        return pieces(title)
+
+    titles = tables["titles"].select(F.lit("pieces").alias("kind"), F.explode(cuts(F.coalesce("value", F.lit("")))).alias("item"), "value")
+    learned = titles
+    for k in ("titles", "words", "places", "compounds"):
+        learned = learned.unionByName(tables[k].select(F.lit(k).alias("kind"), "item", "value"))
+    asks = texts.select("_h", "_text").mapInPandas(ask, "_h string, kind string, item string")
+    got = asks.join(learned, ["kind", "item"]).groupBy("_h").agg(F.collect_set(F.struct("kind", "item", "value")).alias("_got"))
+    chars = {r["item"]: r["value"] for r in tables["chars"].collect()}  # one row a Chinese character at most
+
+    @F.pandas_udf(kind)
+    def run(t: pd.Series, g: pd.Series) -> pd.Series:
+        def one(text, got):
+            m = {k: {} for k in ("titles", "words", "places", "compounds", "pieces")}
+            for x in got if got is not None else ():
+                m[x["kind"]][x["value"] if x["kind"] == "pieces" else x["item"]] = x["value"]
+            return use(Repairer({**m, "titles": m["titles"] | m["pieces"], "chars": chars}), text)
+
+        return pd.Series([one(x, y) for x, y in zip(t, g)], dtype=object)
+
+    done = texts.join(got, "_h", "left").select("_h", "_n", run.asNondeterministic()("_text", "_got").alias("_out"))
+    return join_unique(marked, cut(done, "scan-results"), "_h", "_n").drop("_h")
+
+
+def _applied(rows: DataFrame, column: str, model: dict | None, held: int, use, kind) -> DataFrame:
+    """``rows`` with ``_out``, ``use`` of the text of ``column`` by what the corpus (or ``model``) teaches."""
+    if model is None:
+        tables = learn(rows, column)
+        model = collected(tables, held)
+        if model is None:
+            return _joined(rows, column, tables, use, kind)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        r = Repairer(m)
+        r = Repairer(sent.value)
         for s in batches:
-            yield s.map(r.repair, na_action="ignore")
+            yield pd.Series([None if x is None else use(r, x) for x in s], dtype=object)
+
+    return rows.withColumn("_out", run.asNondeterministic()(F.col(column)))
+
 
-    return df.withColumn(out, run(F.col(column)))
+def repair(df: DataFrame, column: str, out: str = "repaired", model: dict | None = None, held: int = HELD) -> DataFrame:
+    """``df`` with ``out``, the repaired text of ``column``; null stays null, a blank text becomes empty."""
+    blank = F.length(F.trim(F.coalesce(column, F.lit("")))) == 0
+    fixed = _applied(df.filter(~blank), column, model, held, lambda r, x: r.repair(x), T.StringType())
+    rest = df.filter(blank).withColumn("_out", F.when(F.col(column).isNotNull(), F.lit("")))
+    return fixed.unionByName(rest).withColumnRenamed("_out", out)
 
 
-def noisy_lines(df: DataFrame, keys: list[str], column: str, model: dict | None = None) -> DataFrame:
+def noisy_lines(df: DataFrame, keys: list[str], column: str, model: dict | None = None, held: int = HELD) -> DataFrame:
     """``keys``, line_no (from 1, split at line feeds), kind: one row for each kind of noise of each line.
 
     Null, empty and blank texts give no rows; repeated rows each give theirs; marker lines are no cases.
     """
-    m = model or learn(df, column)
-
-    @F.pandas_udf(LINES)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        r = Repairer(m)
-        for s in batches:
-            yield pd.Series([[{"line_no": n, "kind": k} for n, k in r.lines(x)] for x in s], dtype=object)
-
-    rows = df.filter(F.length(F.trim(column)) > 0).select(*keys, run.asNondeterministic()(F.col(column)).alias("_all")).select(*keys, F.explode("_all").alias("_l"))
-    return rows.select(*keys, "_l.line_no", "_l.kind")
+    rows = df.filter(F.length(F.trim(column)) > 0).select(*keys, F.col(column).alias("_scan"))
+    found = _applied(rows, "_scan", model, held, lambda r, x: [{"line_no": n, "kind": k} for n, k in r.lines(x)], LINES)
+    return found.select(*keys, F.explode("_out").alias("_l")).select(*keys, "_l.line_no", "_l.kind")

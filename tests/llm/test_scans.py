@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from gristworks.llm import scans
 
 MODEL = {"titles": {scans.title_key("秋招笔记 — vol. 2")}, "words": {"backl0g": "backlog", "gigabytcs": "gigabytes"}, "chars": {"吋": "时"}, "places": {"自已的": "己"}}
@@ -37,3 +41,67 @@ def test_learned_from_the_corpus(spark):
     assert scans.noisy_lines(df.limit(0), ["k"], "text").count() == 0
     fixed = {r["k"]: r["repaired"] for r in scans.repair(df, "text").collect()}
     assert "answer is" in fixed[50] and fixed[51] is None and fixed[52] == ""
+
+
+def found(df, **kw):
+    return {(r["k"], r["line_no"], r["kind"]) for r in scans.noisy_lines(df, ["k"], "text", **kw).collect()}
+
+
+def body(i):
+    """Two lines that no other text has at its edges."""
+    rng = random.Random(i)
+    word = lambda: "".join(rng.choice("adfghkpqtuwy") for _ in range(9))
+    return f"{word()} {word()} is to add a local cache\nand then to measure {word()} {word()}"
+
+
+def test_titles_of_any_length_are_learned(spark):
+    long = "面试经验汇编，第{}辑: a collection of interview write-ups, answers and notes, compiled by many readers over the years"
+    df = spark.createDataFrame([(i, f"{long.format(i)}\n{body(i)}\n- {i} -") for i in range(40)] + [(i, f"Short Diary {i}\n{body(i)}") for i in range(40, 80)], "k long, text string")
+    heads = {(k, n) for k, n, kind in found(df) if kind == "header"}
+    assert heads == {(i, 1) for i in range(80)}
+
+
+def test_titles_misread_beyond_their_key_are_recognised(spark):
+    rows = [(i, f"Backend Handbook of Answers vol. {i}\n{body(i)}") for i in range(40)]
+    rows += [(50, f"Bqckend Hondbook of Answers vol. 3\n{body(1)}"), (51, f"Another line of about that length\n{body(2)}")]
+    heads = {k for k, n, kind in found(spark.createDataFrame(rows, "k long, text string")) if (n, kind) == (1, "header")}
+    assert heads == {*range(40), 50}
+
+
+def test_near_keys_share_a_piece():
+    rng = random.Random(1)
+    for _ in range(300):
+        key = "".join(rng.choice("abcde") for _ in range(rng.randint(8, 60)))
+        other = list(key)
+        for _ in range(scans._edits(key)):
+            i = rng.randrange(len(other))
+            other[i : i + 1] = rng.choice([[], ["x"], [other[i], "y"]])
+        line = "".join(other)
+        assert scans.within(line, key, scans._edits(key)) and set(scans.pieces(key)) & set(scans.asked(line))
+
+
+@pytest.mark.parametrize(
+    ("numbers", "kept"),
+    [(["3", "4", "5"], [1, 1, 1]), (["3", "", "5"], [1, 0, 1]), (["12", "500", "14"], [1, 0, 1]), (["", "500", ""], [0, 0, 0]), (["", "- 2 -", ""], [0, 1, 0]), (["7"], [1]), (["ii", "iii"], [1, 1]), (["12", "500"], [0, 0])],
+)
+def test_numbers_are_page_numbers_where_they_follow_one_another(numbers, kept):
+    text = "".join(f"[图片 OCR 第 {i} 页]\n正文第一行\n正文第二行\n{x}\n" for i, x in enumerate(numbers, 1))
+    assert [len(n) for n, _ in scans.furniture(scans.pages(text))] == kept
+    if not sum(kept) and any(numbers):
+        assert "500" in scans.Repairer(MODEL).repair(text)
+
+
+def test_a_compound_keeps_its_hyphen(spark):
+    rows = [(i, f"a well-known answer about the backlog number {'abcd'[i % 4]}") for i in range(8)] + [(9, "this is a well-\nknown answer and a back-\nlog")]
+    fixed = {r["k"]: r["repaired"] for r in scans.repair(spark.createDataFrame(rows, "k long, text string"), "text").collect()}
+    assert fixed[9] == "this is a well-known answer and a backlog"
+
+
+def test_joined_tables_give_what_tables_in_the_workers_give(spark, small):
+    df = spark.read.parquet(f"{small}/ocr_pages.parquet").selectExpr("page_id AS k", "text", "note_id AS value")
+    df = df.unionByName(df.limit(3))  # repeated rows each give theirs
+    a = sorted(map(tuple, scans.noisy_lines(df, ["k"], "text").collect()))
+    b = sorted(map(tuple, scans.noisy_lines(df, ["k"], "text", held=0).collect()))
+    assert len(a) > 50 and a == b
+    a = sorted(map(repr, scans.repair(df, "text").collect()))
+    assert a == sorted(map(repr, scans.repair(df, "text", held=0).collect()))
