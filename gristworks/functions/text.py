@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicons import (
-    ASK, ASK_CUE, ASK_LINE, COMPANY_ALIASES, DEFAULT_TOPIC, NARRATIVE, NOISE, NOT_COMPANIES, NOT_COMPANY, NUMBERED, OCR_LABEL, QUESTION_DROP, RECAP, ROLE_HINTS, ROLES, SECTION, TOPIC_RULES, WS,
+    ASK, ASK_CUE, ASK_LINE, COMPANY_ALIASES, DEFAULT_TOPIC, NARRATIVE, NOISE, NOT_COMPANIES, NOT_COMPANY, NUMBERED, OCR_LABEL, POSTING_ALIASES, QUESTION_DROP, RECAP, ROLE_HINTS, ROLES, SECTION, TOPIC_RULES, WS,
 )
 
 LINE_END = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -194,6 +194,12 @@ def company(c: Column) -> Column:
     return let(strip(c), named)
 
 
+def posting_company(c: Column) -> Column:
+    """Company of a posting: what a listed alias stands for, else the name as it is; null for null and blank."""
+    exact = F.create_map(*[F.lit(x) for kv in POSTING_ALIASES.items() for x in kv])
+    return let(F.nullif(strip(c), F.lit("")), lambda n: F.coalesce(F.try_element_at(exact, F.lower(n)), n))
+
+
 def role_id(c: Column) -> Column:
     """Role a text names: the first hint, else the longest keyword of at least 3 characters; null without one."""
     words: dict[str, str] = {}

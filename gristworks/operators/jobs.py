@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.lexicons import ACTIVITY, ACTIVITY_LEVELS, FOCUS_AI, FOCUS_DATA, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
+from ..functions.lexicons import ACTIVITY, ACTIVITY_LEVELS, FOCUS_AI, FOCUS_DATA, FOCUS_DATA_NOT, FOCUS_ROLES, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, ROLES, TECH, TITLE_NOISE, WS
 from ..session import cut
 from .skew import join_unique
 
@@ -81,12 +85,37 @@ def by_activity(jobs: DataFrame, least: int = 3) -> DataFrame:
     return jobs.withColumn("activity", activity_score(text)).withColumn("kept", F.col("activity") >= least)
 
 
-def focus(jobs: DataFrame) -> DataFrame:
-    """``jobs`` with is_data and is_focus (data or AI application words in title, tags or description)."""
+def focus_words(roles: list[str]) -> list[str]:
+    """Words that make a posting one of ``roles``: for a single focus role its own, else those of both and the roles' names and keywords."""
+    if roles == ["data"]:
+        return FOCUS_DATA
+    if roles == ["ai_app"]:
+        return FOCUS_AI
+    named = [w.lower() for rid, label, term, keys in ROLES if rid in roles for w in (term, label, *keys)]
+    return [w for w in dict.fromkeys(FOCUS_DATA + FOCUS_AI + named) if len(w) >= 2]
+
+
+def in_roles(roles: list[str]) -> Column:
+    """Whether a posting is one of ``roles``: a word of theirs in title, tags (as they are written) or description.
+
+    Of a single role a posting without description needs a word in title or tags (without regard to case), or, for the data role, 数据
+    in the title without a word that names another trade.
+    """
     tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")
-    blob = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), tags, F.coalesce("description", F.lit(""))))
-    j = jobs.withColumn("_b", blob)
-    return j.withColumn("is_data", F.col("_b").rlike(_escape(FOCUS_DATA))).withColumn("is_focus", F.col("_b").rlike(_escape(FOCUS_DATA + FOCUS_AI))).drop("_b")
+    title, desc = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("description", F.lit("")))
+    blob = F.concat_ws(" ", title, tags, desc)
+    found = blob.rlike(_escape(focus_words(roles)))
+    if len(roles) > 1:
+        return found
+    bare = F.concat_ws(" ", title, F.lower(tags)).rlike(_escape(focus_words(roles)))
+    if roles == ["data"]:
+        bare = bare | (title.contains("数据") & ~title.rlike(_escape(FOCUS_DATA_NOT)))
+    return F.when(F.length(desc) > 0, found).otherwise(bare)
+
+
+def focus(jobs: DataFrame, roles: list[str] | None = None) -> DataFrame:
+    """``jobs`` with is_data (the data role alone) and is_focus (any of ``roles``, the focus roles unless given)."""
+    return jobs.withColumn("is_data", in_roles(["data"])).withColumn("is_focus", in_roles(roles or FOCUS_ROLES))
 
 
 def official_recency(jobs: DataFrame, today: str, window: int = 60, sources: list[str] | None = None) -> DataFrame:
@@ -141,13 +170,67 @@ def _parts(c: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k)))))
 
 
+#: Pairs of a company and a title word that are looked for in one pass over the posts.
+WANTED = 500_000
+#: Posts of a posting that are shown.
+SHOWN = 5
+
+
+def _mentions(posts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """post_id, pc, company, token: posts whose text names ``company`` as written and holds ``token`` (lower case), for the pairs of ``wanted``.
+
+    The names of a block go out as one automaton, and a post is read once a block, whatever the number of names.
+    """
+    spark = posts.sparkSession
+    blob = F.concat(F.lit("\n"), F.coalesce("raw_text", F.lit("")), F.lit("\n"), F.coalesce("content_text", F.lit("")))
+    texts = posts.select("post_id", "pc", blob.alias("t"))
+    blocks = max(1, -(-wanted.count() // WANTED))
+    out = None
+    for i in range(blocks):
+        pairs = wanted.filter(F.pmod(F.xxhash64("company", "token"), F.lit(blocks)) == i).collect()
+        tokens: dict[str, list[str]] = {}
+        for r in pairs:
+            tokens.setdefault(r["company"], []).append(r["token"])
+        sent = spark.sparkContext.broadcast(tokens)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names = ahocorasick.Automaton()
+            for n in sent.value:
+                names.add_word(n, n)
+            names.make_automaton()
+            for b in batches:
+                rows = []
+                for post, pc, text in zip(b["post_id"], b["pc"], b["t"]):
+                    low = None
+                    for name in {n for _, n in names.iter(text)}:
+                        low = text.lower() if low is None else low
+                        rows += [(post, pc, name, t) for t in sent.value[name] if t in low]
+                yield pd.DataFrame(rows, columns=["post_id", "pc", "company", "token"])
+
+        got = texts.mapInPandas(run, "post_id long, pc string, company string, token string") if pairs else spark.createDataFrame([], "post_id long, pc string, company string, token string")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _smallest(rows: DataFrame, keys: list[str], n: int = SHOWN) -> DataFrame:
+    """``keys``, post_id: the ``n`` smallest ids of each key; each of 64 slices of a key brings its smallest, so a hot key is no one task's work."""
+    w = Window.partitionBy(*keys, "_s").orderBy("post_id")
+    few = rows.select(*keys, "post_id", F.pmod(F.xxhash64("post_id"), F.lit(64)).alias("_s")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("post_id")))
+    return few.filter(F.col("_r") <= n).select(*keys, "post_id")
+
+
 def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:
-    """job_id, n_posts, first_posts: posts of the same company (equal names, or one within the other).
+    """job_id, n_posts, first_posts, urls, snippets: the posts about a posting's company and trade; postings without any have no row.
+
+    A post is linked where its company is that of the posting (equal, or one name within the other; null and blank are none), or where its
+    text names the company as the posting writes it and holds a word of the title.  Of the first five posts by id come the distinct urls
+    and the first 400 characters of three texts.
 
-    Companies are matched, not rows: the distinct names of one side meet the parts of those of the other in an equi-join, and posts are
-    counted a name before they meet the jobs.  Jobs and posts without a company link to nothing.
+    Names are matched, not rows: the distinct names of one side meet the parts of those of the other in an equi-join, and posts are
+    counted a name, or a name and title, before they meet the jobs.
     """
-    name = F.lower(X.strip(F.coalesce(X.company(F.col("company")), F.col("company"))))
+    name = F.lower(X.posting_company(F.col("company")))
     # names are read off the distinct values, not off the rows
     values = lambda df, n: df.groupBy("company").agg(F.count(F.lit(1)).alias("_n")).select("company", name.alias(n), "_n").filter(F.length(n) > 0)
     pv, jv = cut(values(posts, "pc"), "post-names"), cut(values(jobs, "jc"), "job-names")
@@ -158,20 +241,35 @@ def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:
     around = parts(per, "pc", names, "jc").join(names, "jc")
     pairs = inside.select("jc", "pc").unionByName(around.select("jc", "pc")).unionByName(names.join(per, names["jc"] == per["pc"]).select("jc", "pc")).distinct()
     pairs = cut(pairs, "name-pairs")
-    total = pairs.join(per, "pc").groupBy("jc").agg(F.sum("n").alias("n_posts"))
-    linked = jv.join(total, "jc").join(_first_five(posts, pv, pairs), "jc").select("company", "n_posts", "first_posts", "_n")
-    return join_unique(jobs.select("job_id", "company"), linked, "company", "_n").select("job_id", "n_posts", "first_posts")
-
-
-def _first_five(posts: DataFrame, values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """jc, first_posts: the five smallest post ids over all matched names; each written name brings its five smallest."""
-    p = posts.select("company", "post_id").filter("company is not null")
-    w = Window.partitionBy("company", "_s").orderBy("post_id")
-    few = p.withColumn("_s", F.pmod(F.xxhash64("post_id"), F.lit(64))).withColumn("_r", F.row_number().over(w)).filter("_r <= 5")
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("company").orderBy("post_id"))).filter("_r <= 5")
-    few = few.join(values.select("company", "pc"), "company").withColumn("_r", F.row_number().over(Window.partitionBy("pc").orderBy("post_id"))).filter("_r <= 5").select("pc", "post_id")
-    best = pairs.join(few, "pc").withColumn("_r", F.row_number().over(Window.partitionBy("jc").orderBy("post_id"))).filter("_r <= 5")
-    return best.groupBy("jc").agg(F.array_join(F.array_sort(F.collect_list("post_id")), ",").alias("first_posts"))
+
+    # posts that name the company in their text
+    titles = jobs.groupBy("company", F.coalesce("title", F.lit("")).alias("title")).agg(F.count(F.lit(1)).alias("_n")).filter(F.length("company") > 0)
+    titles = cut(titles.withColumn("tokens", F.array_distinct(title_tokens(F.col("title")))), "job-titles")
+    worded = titles.select("company", "title", F.explode("tokens").alias("token"))
+    told = _mentions(posts.withColumn("pc", name), cut(worded.select("company", "token").distinct(), "title-words")).join(jv.select("company", "jc"), "company")
+    told = told.join(pairs, ["jc", "pc"], "left_anti")  # those are linked anyway
+    told = cut(told.select("company", "token", "post_id").join(worded, ["company", "token"]).select("company", "title", "post_id").distinct(), "told")
+
+    known = pairs.join(per, "pc").groupBy("jc").agg(F.sum("n").alias("n"))
+    count = told.groupBy("company", "title").agg(F.count(F.lit(1)).alias("m"))
+    total = titles.select("company", "title", "_n").join(jv.select("company", "jc"), "company", "left").join(known, "jc", "left").join(count, ["company", "title"], "left")
+    total = total.withColumn("n_posts", F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).filter("n_posts > 0")
+    # the smallest ids of both kinds: of each written company name, then of each name, then of each posting's
+    few = _smallest(posts.select("company", "post_id").filter("company is not null"), ["company"]).join(pv.select("company", "pc"), "company")
+    few = _smallest(_smallest(few, ["pc"]).join(pairs, "pc"), ["jc"])
+    few = total.select("company", "title", "jc").join(few, "jc").select("company", "title", "post_id").unionByName(_smallest(told, ["company", "title"]))
+    few = _smallest(few, ["company", "title"])
+    text = X.strip(F.coalesce(F.nullif(F.col("raw_text"), F.lit("")), F.col("content_text"), F.lit("")))
+    said = few.join(posts.select("post_id", X.strip(F.coalesce("url", F.lit(""))).alias("url"), F.substring(text, 1, 400).alias("text")), "post_id")
+    shown = F.array_sort(F.collect_list(F.struct("post_id", "url", "text")))
+    shown = said.groupBy("company", "title").agg(shown.alias("s"))
+    of = lambda f: F.filter(F.transform("s", lambda x: x[f]), lambda x: F.length(x) > 0)
+    linked = total.join(shown, ["company", "title"]).select(
+        F.struct("company", "title").alias("_k"), "n_posts", F.array_join(F.transform("s", lambda x: x["post_id"].cast("string")), ",").alias("first_posts"),
+        F.array_join(F.array_distinct(of("url")), "\t").alias("urls"), F.array_join(F.slice(of("text"), 1, 3), "\f").alias("snippets"), "_n",
+    )
+    keyed = jobs.select("job_id", F.struct("company", F.coalesce("title", F.lit("")).alias("title")).alias("_k"))
+    return join_unique(keyed, cut(linked, "linked"), "_k", "_n").select("job_id", "n_posts", "first_posts", "urls", "snippets")
 
 
 def needs_detail(most: int = 50) -> Column:

@@ -6,12 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicons import RECAP, TITLE_OFF_ROLE, TITLE_ON_ROLE, WS
-
-#: Roles that rule a post out of the data role.
-WRONG = {"data": ["data_analyst", "ai_app", "llm", "backend", "frontend", "algorithm", "qa", "client", "product"], "ai_app": ["backend", "frontend", "algorithm", "qa", "client", "data", "data_analyst", "product"]}
-BODY_SIGNS = {"data": "数据开发|数仓|数开|ETL|Spark|Hive|Flink|大数据|数据研发", "ai_app": "Agent|RAG|MCP|LangChain|智能体|大模型应用|LLM"}
-
+from ..functions.lexicons import BODY_SIGNS, RECAP, ROLE_HINTS, TITLE_OFF_ROLE, TITLE_ON_ROLE, WRONG, WS
+from .roles import role_named
 
 def merged(posts: DataFrame) -> DataFrame:
     """``posts`` with ``article`` (the caption) and ``merged`` (caption and scanned text); both empty where nothing is written."""
@@ -50,15 +46,24 @@ def roles(posts: DataFrame) -> DataFrame:
 
 
 def matches_role(posts: DataFrame, role: str) -> DataFrame:
-    """``posts`` with ``fits``: decided by the title, else the role field, else signs in the first 600 characters."""
+    """``posts`` with ``fits``: decided by the title, else the role field.  Then a focus role asks for its signs in the first 600
+    characters; of any other role a post is unless its role field (or, without a role there, its title) names a different one.
+
+    ``role`` is an id or a text that names one; where it names none, every post fits.
+    """
+    preset = role_named(role)
+    if preset is None:
+        return posts.withColumn("fits", F.lit(True))
+    rid = preset[0]
+    wrong = WRONG.get(rid) or list(dict.fromkeys(r for r, _ in ROLE_HINTS if r != rid))
     p = roles(posts).withColumn("_b", F.substring(X.blob("raw_text", "content_text", "locator_text", "image_ocr_text"), 1, 600))
-    wrong = WRONG[role]
+    rest = X.has(F.col("_b"), BODY_SIGNS[rid]) if rid in BODY_SIGNS else ~F.coalesce(F.coalesce("role_hint", "head_hint").isin(wrong), F.lit(False))
     fits = (
         F.when(F.col("head_hint").isin(wrong), False)
-        .when(F.col("head_hint") == role, True)
+        .when(F.col("head_hint") == rid, True)
         .when(F.col("role_hint").isin(wrong), False)
-        .when(F.col("role_hint") == role, True)
-        .otherwise(X.has(F.col("_b"), BODY_SIGNS[role]))
+        .when(F.col("role_hint") == rid, True)
+        .otherwise(rest)
     )
     return p.withColumn("fits", fits).drop("_b")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicons import ACTIVITY, COMPANY_ALIASES, FOCUS_AI, FOCUS_DATA, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, TECH, TITLE_NOISE, WS
+from ..functions.lexicons import ACTIVITY, FOCUS_AI, FOCUS_DATA, FOCUS_DATA_NOT, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, POSTING_ALIASES, ROLES, TECH, TITLE_NOISE, WS
 from ..operators import jobs as J
 from ..operators import state as St
 from ..session import spread, table
@@ -173,9 +173,10 @@ _TECH = f"""SELECT job_id, c.category, c.label FROM (SELECT job_id, {_blob} AS b
 _FP = "coalesce(source,'') || ':' || coalesce(source_id,'')"
 _moment = lambda c: f"(SELECT coalesce(try_strptime(substr(s,1,19), '%Y-%m-%dT%H:%M:%S'), try_strptime(substr(s,1,19), '%Y-%m-%d %H:%M:%S'), CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d\\d-\\d\\d') THEN try_strptime(substr(s,1,10), '%Y-%m-%d') END, CASE WHEN regexp_matches(s, '^\\d{{4}}/\\d\\d/\\d\\d') THEN try_strptime(substr(s,1,10), '%Y/%m/%d') END)::DATE FROM (SELECT {S.strip(c)} AS s))"
 _esc = lambda ws: " OR ".join(f"contains(b, {S.lit(w)})" for w in ws)
-_fb = "lower(coalesce(title,'') || ' ' || array_to_string(coalesce(tags,[]), ' ') || ' ' || coalesce(description,''))"
+_FOCUS = list(dict.fromkeys(FOCUS_DATA + FOCUS_AI + [w.lower() for r in ROLES if r[0] in ("data", "ai_app") for w in (r[1], r[2], *r[3])]))
 _act = S.strip("coalesce(extra['boss_activity_text'], extra['boss_active_desc'], '')")
-_name = f"lower({S.strip(f'coalesce({S.company(chr(99)+'ompany')}, company)')})"
+_name = f"lower(coalesce(CASE lower({S.strip('company')}) {' '.join(f'WHEN {S.lit(a)} THEN {S.lit(c)}' for a, c in POSTING_ALIASES.items())} END, {S.strip('company')}))"
+_tokens = S.keep(S.each(f"""regexp_split_to_array({S.sub(S.strip("coalesce(title,'')"), TITLE_NOISE, "")}, {S.lit(rf"(?:[/\\|·]|{WS})+")})""", lambda v: f"lower({S.strip(v)})"), lambda v: f"length({v}) >= 2")
 
 ORACLES = {
     "pay_parse": f"SELECT job_id, pay_kind, pay_lo, pay_hi, pay_months FROM ({_PAY})",
@@ -185,7 +186,8 @@ ORACLES = {
     "tech_demand": f"SELECT category, label, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM jobs), 1)::DOUBLE AS pct FROM ({_TECH}) GROUP BY 1, 2",
     "tech_of_jobs": f"SELECT job_id, label FROM ({_TECH})",
     "job_activity": f"SELECT job_id, activity, activity >= 3 AS kept FROM (SELECT job_id, CASE {' '.join(f'WHEN regexp_matches({_act}, {S.lit(w)}) THEN {s}' for s, w in ACTIVITY)} ELSE 0 END AS activity FROM jobs)",
-    "job_focus": f"SELECT job_id, {_esc(FOCUS_DATA)} AS is_data, {_esc(FOCUS_DATA + FOCUS_AI)} AS is_focus FROM (SELECT job_id, {_fb} AS b FROM jobs)",
+    "job_focus": f"""SELECT job_id, CASE WHEN length(dl) > 0 THEN {_esc(FOCUS_DATA)} ELSE {_esc(FOCUS_DATA).replace("(b,", "(tt,")} OR (contains(tl, '数据') AND NOT ({" OR ".join(f"contains(tl, {S.lit(w)})" for w in FOCUS_DATA_NOT)})) END AS is_data, {_esc(_FOCUS)} AS is_focus
+      FROM (SELECT *, tl || ' ' || tags_ || ' ' || dl AS b, tl || ' ' || lower(tags_) AS tt FROM (SELECT job_id, lower(coalesce(title,'')) AS tl, array_to_string(coalesce(tags,[]), ' ') AS tags_, lower(coalesce(description,'')) AS dl FROM jobs))""",
     "job_recency": f"""SELECT job_id, CASE WHEN NOT (source IN ('portal','careerweb') OR source LIKE 'portal:%' OR source LIKE 'careerweb:%') THEN 'aggregator' WHEN day IS NULL THEN CASE WHEN source = 'portal' OR source LIKE 'portal:%' THEN 'undated' ELSE 'kept' END WHEN day < DATE '2024-03-12' - INTERVAL 60 DAY THEN 'old' ELSE 'kept' END AS decision FROM (SELECT job_id, coalesce(source,'') AS source, {_moment("posted_at")} AS day FROM jobs)""",
     "job_dates": f"SELECT job_id, {_moment('posted_at')} AS day FROM jobs",
     "job_distinct": f"SELECT min(job_id) AS job_id FROM jobs GROUP BY lower({S.strip('''coalesce(company,'')''')}), lower({S.strip('''coalesce(title,'')''')}), lower({S.strip('''coalesce(city,'')''')})",
@@ -194,10 +196,12 @@ ORACLES = {
     "job_snapshot_counts": "SELECT batch_no, count(*) AS jobs, count(*) FILTER (is_new) AS new, count(*) FILTER (status = 'open') AS open FROM jobs GROUP BY 1",
     "job_company": f"SELECT job_id, {S.company('company')} AS company_norm, {S.role_id('tr')} AS role_id FROM (SELECT *, concat_ws(' ', title, role) AS tr FROM jobs)",
     "job_title_tokens": f"SELECT job_id, array_to_string({S.keep(S.each(f'''regexp_split_to_array({S.sub(S.strip('''coalesce(title,'')'''), TITLE_NOISE, '')}, {S.lit(rf'(?:[/\\|·]|{WS})+')})''', lambda v: f'lower({S.strip(v)})'), lambda v: f'length({v}) >= 2')}, ' ') AS tokens FROM jobs",
-    "job_posts": f"""WITH p AS (SELECT post_id, pc FROM (SELECT post_id, {_name} AS pc FROM posts) WHERE length(pc) > 0), j AS (SELECT job_id, jc FROM (SELECT job_id, {_name} AS jc FROM jobs) WHERE length(jc) > 0),
-      per AS (SELECT pc, count(*) AS n FROM p GROUP BY 1), l AS (SELECT jc, pc, n FROM (SELECT DISTINCT jc FROM j), per WHERE pc = jc OR contains(jc, pc) OR contains(pc, jc)), s AS (SELECT jc, sum(n)::BIGINT AS n_posts FROM l GROUP BY 1),
-      f AS (SELECT jc, string_agg(post_id::VARCHAR, ',' ORDER BY post_id) AS first_posts FROM (SELECT l.jc, p.post_id, row_number() OVER (PARTITION BY l.jc ORDER BY p.post_id) AS k FROM l JOIN p USING (pc)) WHERE k <= 5 GROUP BY 1)
-      SELECT job_id, n_posts, first_posts FROM j JOIN s USING (jc) JOIN f USING (jc)""",
+    "job_posts": f"""WITH p AS (SELECT post_id, {_name} AS pc, chr(10) || coalesce(raw_text,'') || chr(10) || coalesce(content_text,'') AS b, {S.strip("coalesce(url,'')")} AS url, substr({S.strip("coalesce(nullif(raw_text,''),content_text,'')")},1,400) AS t FROM posts),
+      j AS (SELECT job_id, company, {_name} AS jc, {_tokens} AS tokens FROM jobs),
+      l AS (SELECT job_id, post_id, url, t, row_number() OVER (PARTITION BY job_id ORDER BY post_id) AS k FROM j, (SELECT *, lower(b) AS low FROM p) p WHERE length(jc) > 0 AND length(pc) > 0 AND (pc = jc OR contains(jc, pc) OR contains(pc, jc)) OR length(company) > 0 AND contains(b, company) AND len(list_filter(tokens, lambda x: contains(low, x))) > 0),
+      u AS (SELECT job_id, string_agg(url, chr(9) ORDER BY k) AS urls FROM (SELECT job_id, url, min(k) AS k FROM l WHERE k <= 5 AND length(url) > 0 GROUP BY 1, 2) GROUP BY 1),
+      s AS (SELECT job_id, string_agg(t, chr(12) ORDER BY k) AS snippets FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k) AS i FROM l WHERE k <= 5 AND length(t) > 0) WHERE i <= 3 GROUP BY 1)
+      SELECT g.*, coalesce(urls,'') AS urls, coalesce(snippets,'') AS snippets FROM (SELECT job_id, count(*) AS n_posts, string_agg(CASE WHEN k <= 5 THEN post_id::VARCHAR END, ',' ORDER BY k) AS first_posts FROM l GROUP BY 1) g LEFT JOIN u USING (job_id) LEFT JOIN s USING (job_id)""",
     "post_distinct": f"SELECT min(post_id) AS post_id FROM (SELECT post_id, CASE WHEN length(u) > 0 AND NOT regexp_full_match(u, 'https?://[^/]*/?') THEN u ELSE substr({S.strip('''coalesce(nullif(raw_text,''),nullif(content_text,''),locator_text,'')''')},1,240) END AS k FROM (SELECT *, {S.strip('''coalesce(url,'')''')} AS u FROM posts)) WHERE length(k) > 0 GROUP BY k",
     "post_prefer_local": "SELECT url, min(post_id) AS place, arg_min(post_id, (len(coalesce(asset_paths,[])) = 0, post_id)) AS post_id FROM posts WHERE length(url) > 0 GROUP BY url",
     "posts_new_in_batch": "WITH p AS (SELECT *, max(batch_no) OVER () AS b FROM posts) SELECT min(post_id) AS post_id, url FROM p WHERE batch_no = b AND url IS NOT NULL AND url NOT IN (SELECT url FROM p WHERE batch_no < b AND url IS NOT NULL) GROUP BY url",
