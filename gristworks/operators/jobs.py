@@ -8,12 +8,11 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.lexicons import ACTIVITY, ACTIVITY_LEVELS, FOCUS_AI, FOCUS_DATA, FOCUS_DATA_NOT, FOCUS_ROLES, OFFICIAL_SOURCES, PAY_DAILY, PAY_MONTHLY, PAY_MONTHS, PAY_RANGES, ROLES, TECH, TITLE_NOISE, WS
 from ..session import cut
-from .skew import join_unique
+from .skew import first_n, join_unique
 
 
 def _escape(words: list[str]) -> str:
@@ -212,12 +211,8 @@ def _mentions(posts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _smallest(rows: DataFrame, keys: list[str], n: int = SHOWN) -> DataFrame:
-    """``keys``, post_id: the ``n`` smallest ids of each key; each of 64 slices of a key brings its smallest, so a hot key is no one task's work."""
-    w = Window.partitionBy(*keys, "_s").orderBy("post_id")
-    few = rows.select(*keys, "post_id", F.pmod(F.xxhash64("post_id"), F.lit(64)).alias("_s")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("post_id")))
-    return few.filter(F.col("_r") <= n).select(*keys, "post_id")
+def _smallest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return first_n(rows, keys, "post_id", SHOWN).drop("place")
 
 
 def link_posts(jobs: DataFrame, posts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_new(batch: DataFrame, path: str, key: str, order: str) -> int:
-    """Append to the log at ``path`` what it does not hold yet; gives the number of rows added."""
+    """Append to the log at ``path`` what it does not hold yet; gives the number of rows added.
+
+    Of the log only the key column is read, and what is new is computed once: the rows are counted as they are written.
+    """
     spark = batch.sparkSession
     known = spark.read.schema(batch.schema).parquet(path) if _exists(spark, path) else batch.limit(0)
-    fresh = new_rows(batch, known, key, order)
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    return n
+    seen = Observation()
+    new_rows(batch, known, key, order).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def with_is_new(current: DataFrame, prior: DataFrame, key: str) -> DataFrame:
@@ -42,9 +43,11 @@ def may_replace(prior_rows: int, new_rows_: int, least: int = 50, share: float =
 def guarded_write(df: DataFrame, path: str, least: int = 50, share: float = 0.4) -> bool:
     """Replace the table at ``path`` unless the guard objects; gives whether it was written.
 
-    The new data are written beside the old and swapped in, so a failure half-way leaves the old table.
+    The new data are written beside the old, the old are moved aside, the new take their place, and only then the old are deleted.  A
+    failure leaves the old table in its place or aside, where ``recover`` (called here and before reading) finds it.
     """
     spark = df.sparkSession
+    recover(spark, path)
     staged = path.rstrip("/") + ".new"
     df.write.mode("overwrite").parquet(staged)
     n = spark.read.parquet(staged).count()
@@ -54,13 +57,35 @@ def guarded_write(df: DataFrame, path: str, least: int = 50, share: float = 0.4)
     prior = spark.read.parquet(path).count() if fs.exists(fs_path(path)) else 0
     ok = may_replace(prior, n, least, share) if prior else True
     if ok:
-        fs.delete(fs_path(path), True)
+        aside = fs_path(path.rstrip("/") + ".old")
+        if fs.exists(fs_path(path)):
+            fs.rename(fs_path(path), aside)
         fs.rename(fs_path(staged), fs_path(path))
+        fs.delete(aside, True)
     else:
         fs.delete(fs_path(staged), True)
     return ok
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back a table that a broken swap left aside; delete what it left over otherwise."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = fs_path(path.rstrip("/") + ".old")
+    if fs.exists(aside):
+        if fs.exists(fs_path(path)):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, fs_path(path))
+
+
+def snapshot_rows(current: DataFrame, prior: DataFrame, key: str) -> DataFrame:
+    """``current`` with is_new, to be written as the next snapshot; an empty one must not follow one with rows and is an error."""
+    if current.isEmpty() and not prior.isEmpty():
+        raise ValueError("an empty snapshot must not replace one with postings")
+    return with_is_new(current, prior, key)
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``base`` with the rows of ``changes`` in place of those with the same key."""
     return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
@@ -96,5 +121,19 @@ def fill_missing(rows: DataFrame, known: DataFrame, key: str, value: str) -> Dat
     return rows.join(k, rows[key] == k["_k"], "left").withColumn(value, v).drop("_k", "_v")
 
 
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)
+def due(runs: DataFrame, key: str, last: str, today: str, n: int, days: int = 1) -> DataFrame:
+    """The first ``n`` keys (by ``place``) that have not run for ``days``, never ran or have an unreadable date; of all keys where none is due."""
+    d = runs.withColumn("_due", F.coalesce(F.datediff(F.to_date(F.lit(today)), F.try_to_timestamp(last, F.lit("yyyy-MM-dd")).cast("date")) >= days, F.lit(True)))
+    any_due = d.agg(F.max("_due").alias("_any"))
+    return d.crossJoin(F.broadcast(any_due)).filter(F.col("_due") | ~F.col("_any")).orderBy("place").limit(n).select(key)
+
+
+def union_of(known: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """``key``, added: the sorted set of both, blanks left out; added tells what was not known."""
+    k = lambda df, new: df.select(F.trim(F.col(key).cast("string")).alias(key), F.lit(new).alias("_new"))
+    return k(known, 0).unionByName(k(more, 1)).filter(F.length(key) > 0).groupBy(key).agg((F.min("_new") == 1).alias("added"))
+
+
+def last_in_place(log: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key with ``place``, the order of its first one."""
+    return log.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*log.columns), order).alias("_r"), F.min(order).alias("place")).select("_r.*", "place")

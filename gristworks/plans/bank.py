@@ -12,6 +12,7 @@ from ..session import spread, table
 from . import sql as S
 
 TODAY = "2024-03-12"
+KINDS = {"redleaf": ["redleaf"], "forum": ["nookboard", "hallwaychat"]}
 RESUME = "项目：用 Spark 和 Kafka 搭建实时数仓，负责 Flink 作业\n技能：Python, RAG, LangChain, Hive, Redis"
 
 
@@ -40,7 +41,7 @@ def bank_taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bank_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Frequency of topics, the 12 largest; the default topic goes last if it would be first."""
+    """Frequency of topics, the 12 largest."""
     t = table(spark, d, "questions").groupBy(F.coalesce(F.nullif(X.strip(F.col("topic")), F.lit("")), F.lit("综合")).alias("topic")).agg(F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("n"))
     return t.orderBy(F.desc("freq"), "topic").limit(12)
 
@@ -52,8 +53,11 @@ def bank_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bank_source_kinds(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "posts").select(F.explode(F.array("url", "source")).alias("ref"))
-    return p.groupBy(Q.source_kind(F.coalesce("ref", F.lit(""))).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Sources of the references of all questions, read off the address of the post that a reference names; other without one."""
+    refs = table(spark, d, "questions").select(F.explode("source_refs").alias("ref"))
+    p = table(spark, d, "posts").select(F.col("post_id").cast("string").alias("ref"), "url")
+    kind = Q.source_kind(F.coalesce("url", F.lit("")), KINDS)
+    return refs.join(p, "ref", "left").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bank_related(spark: SparkSession, d: str) -> DataFrame:
@@ -97,9 +101,9 @@ def resume_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resume_followups(spark: SparkSession, d: str) -> DataFrame:
-    """Follow-up chains of the five likeliest questions."""
+    """Follow-up chains of the five likeliest questions, anchored in the first thing the resume tells of."""
     p = Q.predict(table(spark, d, "questions"), RESUME, "数据开发", top=5)
-    anchor = "用 Spark 和 Kafka 搭建实时数仓，负责 Flink 作业"
+    anchor = (Q.resume_anchors(RESUME) or ["简历中的核心项目"])[0]
     chain = F.array(*[F.lit(t.format(anchor=anchor)) for t in FOLLOWUPS])
     return p.select("question_id", (F.col("resume_match") >= 0.2).alias("is_grounded"), F.posexplode(chain).alias("step", "followup"))
 
@@ -151,7 +155,7 @@ ORACLES = {
       (SELECT *, unnest(CASE WHEN len(coalesce(company_tags,[])) > 0 THEN company_tags ELSE ['未标注'] END) AS company FROM questions)) GROUP BY 1, 2""",
     "bank_topics": f"SELECT coalesce(nullif({S.strip('topic')},''),'综合') AS topic, sum(freq)::BIGINT AS freq, count(*) AS n FROM questions GROUP BY 1 ORDER BY freq DESC, topic LIMIT 12",
     "bank_stats": "SELECT count(*) AS total, count(*) FILTER (freq >= 3) AS high, count(*) FILTER (freq = 2) AS medium, count(*) FILTER (freq < 2) AS low, sum(len(source_refs))::BIGINT AS refs FROM questions",
-    "bank_source_kinds": "SELECT CASE WHEN contains(lower(r),'xiaohongshu') OR contains(lower(r),'xhs') THEN 'xiaohongshu' WHEN contains(lower(r),'nowcoder') THEN 'nowcoder' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT coalesce(unnest([url, source]),'') AS r FROM posts) GROUP BY 1",
+    "bank_source_kinds": "SELECT CASE WHEN contains(lower(u),'redleaf') THEN 'redleaf' WHEN contains(lower(u),'nookboard') OR contains(lower(u),'hallwaychat') THEN 'forum' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT unnest(source_refs) AS ref FROM questions) q LEFT JOIN (SELECT post_id::VARCHAR AS ref, coalesce(url,'') AS u FROM posts) p USING (ref) GROUP BY 1",
     "bank_related": """WITH r AS (SELECT q.question_id, min(q.pos) AS pos, p.post_id FROM (SELECT question_id, unnest(source_refs) AS ref, generate_subscripts(source_refs,1) AS pos FROM questions) q JOIN posts p ON p.post_id::VARCHAR = q.ref GROUP BY ALL)
       SELECT question_id, count(*) AS n_refs, string_agg(CASE WHEN k <= 6 THEN post_id::VARCHAR END, ',' ORDER BY pos) AS related FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos, post_id) AS k FROM r) GROUP BY 1""",
     "bank_by_company": "SELECT question_id FROM questions WHERE len(coalesce(company_tags,[])) = 0 OR list_has_any(company_tags, ['溯煦云','笙棠云'])",

@@ -41,7 +41,7 @@ def source_joblist(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "jobs")
     item = F.struct(F.col("job_id").cast("string").alias("encryptJobId"), F.col("title").alias("jobName"), F.col("company").alias("brandName"), F.col("city").alias("cityName"), F.col("salary").alias("salaryDesc"), F.col("tags").alias("jobLabels"), F.col("description").alias("jobDesc"))
     # a payload holds one page of results
-    pages = j.groupBy("batch_no", "source", (F.col("job_id") % 64).alias("page")).agg(F.collect_list(item).alias("jobList"))
+    pages = j.groupBy("batch_no", "source", F.floor(F.col("job_id") / 500).alias("page")).agg(F.collect_list(item).alias("jobList"))
     texts = pages.select(F.to_json(F.struct(F.lit(0).alias("code"), F.struct("jobList").alias("zpData"))).alias("value"))
     return P.jobs_from_joblist(texts).select("source_id", "title", "company", "city", "salary", F.size("tags").alias("n_tags"), F.length("description").alias("n_desc"))
 
@@ -50,7 +50,7 @@ def source_posts(spark: SparkSession, d: str) -> DataFrame:
     """Posts written as JSON lists and read back with the model's defaults."""
     p = table(spark, d, "posts")
     cols = [c.split(" ")[0] for c in P.POST.split(", ")]
-    pages = p.groupBy((F.col("post_id") % 200).alias("page"), "batch_no").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
+    pages = p.groupBy(F.floor(F.col("post_id") / 500).alias("page"), "batch_no").agg(F.to_json(F.collect_list(F.struct(*cols))).alias("value"))
     return P.posts_from_json(pages).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content_text")).alias("chars"), F.count_if(F.size("asset_paths") == 0).alias("no_assets"))
 
 
@@ -58,14 +58,14 @@ def source_notes(spark: SparkSession, d: str) -> DataFrame:
     """Notes written in their native form and read back in the common one."""
     n = table(spark, d, "xhs_mediacrawler_export")
     item = F.struct("note_id", "note_url", "title", F.col("desc_text").alias("desc"), "time", F.array_join("image_list", ",").alias("image_list"), "tags")
-    pages = n.groupBy((F.col("export_row") % 100).alias("page")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    pages = n.groupBy(F.floor(F.col("export_row") / 500).alias("page")).agg(F.to_json(F.collect_list(item)).alias("value"))
     r = P.notes_from_json(pages, "https://www.redleaf.example/note/")
     return r.groupBy("note_url").agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("time"), F.max(F.size("image_list")).alias("images"), F.max(F.size("tags")).alias("tags"))
 
 
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by a stream over the events."""
-    r = ingest.run_complete(ingest.windowed_counts(ingest.table_stream(spark, d, "events"), "ts", "event_type"), spark, "event-counts")
+    r = ingest.run_updates(ingest.windowed_counts(ingest.table_stream(spark, d, "events"), "ts", "event_type"), spark, ["w", "event_type"], "event-counts")
     return r.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -12,6 +12,7 @@ from ..operators import posts as P
 from ..operators import questions as Q
 from ..operators import state as St
 from ..operators import views as V
+from ..operators.skew import first_n
 from ..session import spread, table
 from . import bank as B
 from . import sql as S
@@ -74,8 +75,7 @@ def ingest_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_capped(spark: SparkSession, d: str) -> DataFrame:
     """First five posts of each batch and source: the cap is a query's page size."""
-    p = table(spark, d, "posts").select("batch_no", "source", "post_id")
-    return p.withColumn("n", F.expr("row_number() over (partition by batch_no, source order by post_id)")).filter("n <= 5").select("batch_no", "source", "post_id")
+    return first_n(table(spark, d, "posts"), ["batch_no", "source"], "post_id", 5).select("batch_no", "source", "post_id")
 
 
 def job_backfill(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,10 @@ from ..session import spread, table
 from . import sql as S
 
 
+#: An address that every page of a site has, and so none's.
+HOME = "https://www.nookboard.example/"
+
+
 def pay_parse(spark: SparkSession, d: str) -> DataFrame:
     return J.with_pay(table(spark, d, "jobs")).select("job_id", "pay_kind", "pay_lo", "pay_hi", "pay_months")
 
@@ -99,8 +103,12 @@ def post_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def post_prefer_local(spark: SparkSession, d: str) -> DataFrame:
-    """Of posts with one url the first with images of its own, else the first; it keeps the first's place."""
-    p = table(spark, d, "posts").filter("length(url) > 0").select("url", "post_id", (F.size(F.coalesce("asset_paths", F.array().cast("array<string>"))) == 0).alias("bare"))
+    """Of posts with one url (else one start of text) the first with local images, else the first; it keeps the first's place."""
+    p = table(spark, d, "posts")
+    url = X.strip(F.coalesce("url", F.lit("")))
+    key = F.when((F.length(url) > 0) & (url != HOME), url).otherwise(F.substring(F.coalesce(F.nullif(F.col("raw_text"), F.lit("")), F.col("content_text"), F.lit("")), 1, 200))
+    local = F.exists(F.coalesce("asset_paths", F.array().cast("array<string>")), lambda a: (F.length(X.strip(a)) > 0) & ~F.lower(X.strip(a)).startswith("http"))
+    p = p.select(key.alias("url"), "post_id", (~local).alias("bare")).filter("length(url) > 0")
     return p.groupBy("url").agg(F.min("post_id").alias("place"), F.min_by("post_id", F.struct("bare", "post_id")).alias("post_id"))
 
 
@@ -203,7 +211,8 @@ ORACLES = {
       s AS (SELECT job_id, string_agg(t, chr(12) ORDER BY k) AS snippets FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k) AS i FROM l WHERE k <= 5 AND length(t) > 0) WHERE i <= 3 GROUP BY 1)
       SELECT g.*, coalesce(urls,'') AS urls, coalesce(snippets,'') AS snippets FROM (SELECT job_id, count(*) AS n_posts, string_agg(CASE WHEN k <= 5 THEN post_id::VARCHAR END, ',' ORDER BY k) AS first_posts FROM l GROUP BY 1) g LEFT JOIN u USING (job_id) LEFT JOIN s USING (job_id)""",
     "post_distinct": f"SELECT min(post_id) AS post_id FROM (SELECT post_id, CASE WHEN length(u) > 0 AND NOT regexp_full_match(u, 'https?://[^/]*/?') THEN u ELSE substr({S.strip('''coalesce(nullif(raw_text,''),nullif(content_text,''),locator_text,'')''')},1,240) END AS k FROM (SELECT *, {S.strip('''coalesce(url,'')''')} AS u FROM posts)) WHERE length(k) > 0 GROUP BY k",
-    "post_prefer_local": "SELECT url, min(post_id) AS place, arg_min(post_id, (len(coalesce(asset_paths,[])) = 0, post_id)) AS post_id FROM posts WHERE length(url) > 0 GROUP BY url",
+    "post_prefer_local": f"""SELECT url, min(post_id) AS place, arg_min(post_id, (bare, post_id)) AS post_id FROM (SELECT post_id, len(list_filter(coalesce(asset_paths,[]), lambda a: length(trim(a)) > 0 AND NOT starts_with(lower(trim(a)), 'http'))) = 0 AS bare,
+      CASE WHEN length({S.strip("coalesce(url,'')")}) > 0 AND {S.strip("coalesce(url,'')")} <> '{HOME}' THEN {S.strip("coalesce(url,'')")} ELSE substr(coalesce(nullif(raw_text,''),content_text,''),1,200) END AS url FROM posts) WHERE length(url) > 0 GROUP BY url""",
     "posts_new_in_batch": "WITH p AS (SELECT *, max(batch_no) OVER () AS b FROM posts) SELECT min(post_id) AS post_id, url FROM p WHERE batch_no = b AND url IS NOT NULL AND url NOT IN (SELECT url FROM p WHERE batch_no < b AND url IS NOT NULL) GROUP BY url",
     "notes_normal": f"""SELECT export_row, coalesce(nullif(note_id,''), string_split({S.sub("note_url", "/+$", "")}, '/')[-1]) AS note_key, coalesce(nullif(note_url,''), 'https://www.redleaf.example/note/' || nullif(note_id,'')) AS url, len(list_filter(coalesce(image_list,[]), lambda x: length(x) > 0)) AS n_images,
       concat_ws(chr(10), nullif({S.strip("title")},''), nullif({S.strip("desc_text")},''), nullif(array_to_string(tags,' '),'')) AS locator FROM xhs_mediacrawler_export WHERE coalesce(note_id,'') <> '' OR coalesce(note_url,'') <> ''""",

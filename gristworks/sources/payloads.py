@@ -143,31 +143,40 @@ def jobs_from_flat_posts(texts: DataFrame, column: str = "value", company: str =
     )
 
 
-def jobs_from_found(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Postings of nested results (company blocks with positions); blocks that are not ok are skipped; a city may be a text or a list."""
+def jobs_from_found(texts: DataFrame, column: str = "value", most: int | None = None) -> DataFrame:
+    """Postings of nested results (company blocks with positions); blocks that are not ok are skipped; a city may be a text or a list.
+
+    With ``most`` a block brings so many positions at most.
+    """
     pos = "struct<post_id: string, id: string, title: string, project: string, recruit_label: string, direction: string, bgs: string, work_cities: string, apply_url: string, url: string>"
     b = texts.select(F.explode(F.from_json(column, f"struct<results: array<struct<company: string, ok: boolean, positions: array<{pos}>>>>")["results"]).alias("b")).filter("b.ok")
-    j = b.select(F.col("b.company").alias("key"), F.explode("b.positions").alias("p")).select("key", "p.*").withColumn("pid", F.coalesce(_none(F.col("post_id")), _none(F.col("id")))).filter("pid is not null and length(trim(title)) > 0")
+    j = b.select(F.col("b.company").alias("key"), F.explode(F.slice("b.positions", 1, most) if most else F.col("b.positions")).alias("p")).select("key", "p.*").withColumn("pid", F.coalesce(_none(F.col("post_id")), _none(F.col("id")))).filter("pid is not null and length(trim(title)) > 0")
     title = X.strip(F.col("title"))
     city = F.when(F.col("work_cities").startswith("["), F.array_join(F.from_json("work_cities", "array<string>"), " ")).otherwise(F.col("work_cities"))
     url = F.coalesce(_none(F.col("apply_url")), _none(F.col("url")), F.concat_ws(":", F.lit("job-pro"), "key", "pid"))
     return _job(j, source=F.concat(F.lit("job_pro:"), F.col("key")), source_id=F.col("pid"), url=url, title=title, role=title, company=F.coalesce(X.company(F.col("key")), F.col("key")), description=F.lit(""), city=_none(city), tags=F.array_compact(F.array(*[_none(F.col(c)) for c in ("project", "recruit_label", "direction", "bgs")])), extra=_extra(job_pro_key=F.col("key"), apply_url=url))
 
 
-def posts_from_moments(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Posts of search payloads whose ``data`` is one object or a list; a moment counts before content; the first of each id."""
+def posts_from_moments(texts: DataFrame, column: str = "value", order: str | None = None, query: str | None = None, most: int | None = None) -> DataFrame:
+    """Posts of search payloads whose ``data`` is one object or a list; a moment counts before content; the first of each id.
+
+    The first is that of the smallest ``order`` (the payload's text unless given), then of its place in the payload, whatever the partitions.
+    With ``most`` a query (column ``query``) brings so many posts at most, before repeats across queries are dropped.
+    """
     card = "struct<momentData: struct<id: string, uuid: string, title: string, newTitle: string, content: string, newContent: string, createdAt: bigint, imgMoment: array<struct<src: string>>>, contentData: struct<id: string, uuid: string, title: string, newTitle: string, content: string, newContent: string, createTime: bigint, showTime: bigint, contentImageUrls: array<string>>>"
-    raw = texts.select(F.monotonically_increasing_id().alias("n"), F.explode(F.from_json(column, "struct<records: array<struct<data: string>>>")["records"]["data"]).alias("d"))
+    raw = texts.select(F.col(order or column).alias("n"), F.col(query or column).alias("q"), F.posexplode(F.from_json(column, "struct<records: array<struct<data: string>>>")["records"]["data"]).alias("r", "d"))
     many = F.when(F.col("d").startswith("["), F.from_json("d", f"array<{card}>")).otherwise(F.array(F.from_json("d", card)))
-    c = raw.select("n", F.posexplode(many).alias("i", "c"))
+    c = raw.select("n", "q", "r", F.posexplode(many).alias("i", "c"))
     m, o = F.col("c.momentData"), F.col("c.contentData")
     tidy = lambda x: X.strip(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)<br\s*/?>", "\n"), "<[^>]+>", ""))
     use_m = m["id"].isNotNull() | m["uuid"].isNotNull()
     pick = lambda f, g=None: F.when(use_m, f(m)).otherwise((g or f)(o))
     images = F.when(use_m, F.transform(m["imgMoment"], lambda x: x["src"])).otherwise(o["contentImageUrls"])
-    p = c.select("n", "i", pick(lambda x: x["id"]).alias("id"), pick(lambda x: x["uuid"]).alias("uuid"), tidy(pick(lambda x: F.coalesce(x["title"], x["newTitle"]))).alias("t"), tidy(pick(lambda x: F.coalesce(x["content"], x["newContent"]))).alias("b"), pick(lambda x: x["createdAt"], lambda x: F.coalesce(x["createTime"], x["showTime"])).alias("at"), F.coalesce(images, F.array().cast("array<string>")).alias("img"))
+    p = c.select("q", F.struct("n", "r", "i").alias("n"), pick(lambda x: x["id"]).alias("id"), pick(lambda x: x["uuid"]).alias("uuid"), tidy(pick(lambda x: F.coalesce(x["title"], x["newTitle"]))).alias("t"), tidy(pick(lambda x: F.coalesce(x["content"], x["newContent"]))).alias("b"), pick(lambda x: x["createdAt"], lambda x: F.coalesce(x["createTime"], x["showTime"])).alias("at"), F.coalesce(images, F.array().cast("array<string>")).alias("img"))
     p = p.filter("id is not null or uuid is not null").filter("length(t) > 0 or length(b) > 0 or size(img) > 0")
-    p = p.groupBy(F.coalesce("id", "uuid").alias("k")).agg(F.min_by(F.struct("id", "uuid", "t", "b", "at", "img"), F.struct("n", "i")).alias("p")).select("p.*")
+    if most:  # a query's results are a few pages
+        p = p.withColumn("_k", F.expr("row_number() over (partition by q order by n)")).filter(F.col("_k") <= most)
+    p = p.groupBy(F.coalesce("id", "uuid").alias("k")).agg(F.min_by(F.struct("id", "uuid", "t", "b", "at", "img"), "n").alias("p")).select("p.*")
     url = F.when(F.length("uuid") > 0, F.concat(F.lit("https://www.nowcoder.com/feed/main/detail/"), F.col("uuid"))).otherwise(F.concat(F.lit("https://www.nowcoder.com/feed/detail/"), F.col("id")))
     kind = F.when((F.size("img") > 0) & (F.length("b") < 40), "image").when(F.size("img") > 0, "mixed").otherwise("text")
     text = F.concat_ws("\n", F.nullif("t", F.lit("")), F.nullif("b", F.lit("")))
@@ -175,7 +184,7 @@ def posts_from_moments(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def posts_from_html(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, title, raw_text, posted_at of forum pages: heading, block texts without consecutive repeats, the embedded epoch."""
+    """url, title, raw_text, posted_at of forum pages: heading, block texts without consecutive repeats, the embedded epoch; a row a page."""
     from collections.abc import Iterator
     from html.parser import HTMLParser
 
@@ -229,19 +238,18 @@ def posts_from_html(pages: DataFrame, url: str = "url", html: str = "html") -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for u, h in zip(b["u"], b["h"]):
+            for u, h, d in zip(b["u"], b["h"], b["d"]):
                 page = Page()
                 page.feed(h or "")
                 page.flush()
-                rows.append((u, page.title.strip(), "\n\n".join(page.blocks)))
-            yield pd.DataFrame(rows, columns=["url", "title", "body"])
+                rows.append((u, page.title.strip(), "\n\n".join(page.blocks), d))
+            yield pd.DataFrame(rows, columns=["url", "title", "body", "posted_at"])
 
     epoch = F.regexp_extract(html, r'"?createTime"?\s*[:=]\s*"?(\d{10,13})', 1)
     epoch = F.nullif(epoch, F.lit("")).cast("bigint")
     day = F.timestamp_seconds(F.when(epoch > 10_000_000_000, F.floor(epoch / 1000)).otherwise(epoch)).cast("date").cast("string")
-    texts = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, "url string, title string, body string")
-    dated = pages.select(F.col(url).alias("url"), day.alias("posted_at"))
-    return texts.join(dated, "url").select("url", "title", F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("body", F.lit(""))).alias("raw_text"), "posted_at")
+    texts = pages.select(F.col(url).alias("u"), F.col(html).alias("h"), day.alias("d")).mapInPandas(run, "url string, title string, body string, posted_at string")
+    return texts.select("url", "title", F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("body", F.lit(""))).alias("raw_text"), "posted_at")
 
 
 def posts_from_markdown(texts: DataFrame, hints: list[str] | None = None, column: str = "value", url: str = "url") -> DataFrame:
@@ -280,8 +288,8 @@ def notes_from_search_items(texts: DataFrame, column: str = "value", site: str =
 
 
 def upload_millis(c: Column) -> Column:
-    """Milliseconds of an upload time in one of two notations (UTC), else 0."""
-    t = F.coalesce(F.try_to_timestamp(X.strip(c), F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(X.strip(c), F.lit("yyyy-MM-dd HH:mm")))
+    """Milliseconds of an upload time, with or without seconds or the time of day (UTC), else 0."""
+    t = F.coalesce(*[F.try_to_timestamp(X.strip(c), F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")])
     return F.coalesce(F.unix_millis(t), F.lit(0))
 
 
@@ -313,6 +321,96 @@ def with_full_text(posts: DataFrame, full: DataFrame, url: str = "url", title: s
     return j.withColumn(body, F.when(is_cut(F.col(body)) & (F.length("_full") > 0), got).otherwise(F.col(body))).drop("_id", "_u", "_full")
 
 
+def notes_from_details(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Notes of detail payloads (one JSON object a row): the fields as they are, missing ones empty, the upload time in milliseconds."""
+    n = texts.select(F.from_json(column, "struct<note_id: string, note_url: string, title: string, desc: string, upload_time: string, image_list: array<string>, tags: array<string>>").alias("n")).select("n.*")
+    empty = F.array().cast("array<string>")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return n.select(text("note_id"), text("note_url"), text("title"), text("desc"), upload_millis(F.col("upload_time")).alias("time"), F.coalesce("image_list", empty).alias("image_list"), F.coalesce("tags", empty).alias("tags"))
+
+
+def note_key(note_id: Column, url: Column) -> Column:
+    """A note's id, else the last part of its address, else unknown."""
+    last = F.element_at(F.split(F.regexp_replace(F.coalesce(url, F.lit("")), "/+$", ""), "/"), -1)
+    return F.coalesce(F.nullif(note_id, F.lit("")), F.nullif(last, F.lit("")), F.lit("unknown"))
+
+
+def _plain_html(c: Column) -> Column:
+    """Text of a piece of HTML, one line a text node; entities of the five signs are undone."""
+    t = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"<[^>]+>", "\n")
+    for sign, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), (" ", "&nbsp;"), ("&", "&amp;")):
+        t = F.replace(t, F.lit(name), F.lit(sign))
+    return F.array_join(F.filter(F.transform(F.split(t, "\n"), X.strip), lambda x: F.length(x) > 0), "\n")
+
+
+def full_text_of(c: Column) -> Column:
+    """Text of a fetched feed page: the element of class feed-content-text, else the content in the page's embedded state, else empty."""
+    shown = F.regexp_extract(c, r'(?is)<div[^>]*class="[^"]*\bfeed-content-text\b[^"]*"[^>]*>(.*?)</div>', 1)
+    state = F.regexp_extract(c, r"(?s)window\.__INITIAL_STATE__=(\{.+?\});", 1)
+    at = "$.prefetchData.2.ssrCommonData.contentData."
+    held = F.coalesce(F.nullif(F.get_json_object(state, at + "content"), F.lit("")), F.get_json_object(state, at + "newContent"))
+    return F.coalesce(F.when(F.length(shown) > 0, _plain_html(shown)), F.when(F.length(held) > 0, _plain_html(held)), F.lit(""))
+
+
+def hints_of_report(texts: DataFrame, column: str = "value") -> DataFrame:
+    """hint: what a saved report says it is about: queries, description, and of each post the role and the start of its text."""
+    r = texts.select(F.from_json(column, "struct<queries: array<string>, description: string, posts: array<struct<role: string, raw_text: string, content_text: string>>>").alias("r"))
+    start = lambda p: F.substring(F.coalesce(F.nullif(p["raw_text"], F.lit("")), p["content_text"]), 1, 120)
+    of_posts = F.flatten(F.transform(F.coalesce("r.posts", F.array().cast("array<struct<role: string, raw_text: string, content_text: string>>")), lambda p: F.array(p["role"], start(p))))
+    hints = F.concat(F.coalesce("r.queries", F.array().cast("array<string>")), F.array("r.description"), of_posts)
+    return r.select(F.explode(F.filter(hints, lambda h: F.length(h) > 0)).alias("hint"))
+
+
+def relabelled(jobs: DataFrame, source: str, company: str) -> DataFrame:
+    """Postings of a shared payload form under the source and company that sent them."""
+    return jobs.withColumns({"source": F.lit(source), "company": F.lit(company)})
+
+
+# Fields that may hold the date of a posting, in the order in which they are tried.
+DATE_FIELDS = ["publish_time", "publishTime", "release_time", "releaseTime", "create_time", "createTime", "created_at", "createdAt", "update_time", "updateTime", "updated_at", "updatedAt", "post_time", "online_time", "publish_date", "release_date", "posted_at", "postedAt", "gmtCreate", "gmtModified"]
+
+
+def day_of(c: Column) -> Column:
+    """Day of a value of any kind, written as text: an epoch in seconds or milliseconds, a day at its start in one of three notations; else null."""
+    t = X.strip(c)
+    n = F.when(t.rlike(r"^\d{1,18}$"), t).cast("bigint")
+    epoch = F.when(n.isNotNull(), F.timestamp_seconds(F.when(n > 10_000_000_000, F.floor(n / 1000)).otherwise(n)).cast("date").cast("string"))
+    text = F.coalesce(*[F.try_to_timestamp(F.substring(t, 1, 10), F.lit(f)).cast("date").cast("string") for f in ("yyyy/MM/dd", "yyyy.MM.dd")])
+    return F.coalesce(epoch, F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(t, 1, 10)), text)
+
+
+def payload_day(c: Column, depth: int = 3) -> Column:
+    """Day that a JSON payload gives: the first field with a date, in order of ``DATE_FIELDS``; objects within it (to ``depth``) come after its own fields."""
+    def at(level: Column) -> Column:
+        return F.coalesce(*[day_of(F.try_element_at(level, F.lit(f))) for f in DATE_FIELDS])
+
+    level = F.from_json(c, "map<string, string>")
+    found = [at(level)]
+    inner = F.filter(F.map_values(level), lambda v: v.startswith("{"))
+    for _ in range(depth):
+        below = F.transform(inner, lambda v: F.from_json(v, "map<string, string>"))
+        found.append(F.get(F.filter(F.transform(below, at), lambda d: d.isNotNull()), F.lit(0)))
+        inner = F.filter(F.flatten(F.transform(below, F.map_values)), lambda v: v.startswith("{"))
+    return F.coalesce(*found)
+
+
+def portal_type(url: Column) -> Column:
+    """3 for a campus portal, else 2."""
+    return F.when(F.lower(F.coalesce(url, F.lit(""))).contains("/campus/"), 3).otherwise(2)
+
+
+def file_kind(content: Column) -> Column:
+    """Kind of an uploaded file by its first bytes: pdf, png, jpeg, webp, else text."""
+    h = F.hex(F.substring(content, 1, 12))
+    return F.when(h.startswith("25504446"), "pdf").when(h.startswith("89504E470D0A1A0A"), "png").when(h.startswith("FFD8FF"), "jpeg").when(h.rlike("^52494646.{8}57454250"), "webp").otherwise("text")
+
+
+def resume_text(content: Column, least: int = 10) -> Column:
+    """struct(text, needs_vision) of an uploaded resume; other kinds than text need a reader, and so does a text of fewer than ``least`` characters."""
+    t = X.strip(F.when(file_kind(content) == "text", F.decode(content, "UTF-8")).otherwise(F.lit("")))
+    return X.let(F.coalesce(t, F.lit("")), lambda v: F.struct(v.alias("text"), (F.length(v) < least).alias("needs_vision")))
+
+
 def newest_files(spark: SparkSession, path: str, pattern: str, since: str | None = None, n: int | None = None) -> DataFrame:
     """Files by falling modification time, ``n`` at most where it is given (the newest exports): value, path, modified."""
     files = whole_files(spark, path, pattern, since).orderBy(F.desc("modified"), "path")

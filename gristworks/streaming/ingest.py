@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.state import append_new
-from ..session import scratch
+from ..session import forget_at_end, scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
@@ -39,12 +39,19 @@ def windowed_counts(stream: DataFrame, time: str, by: str, size: str = "1 day",
     return s.groupBy(F.window("_t", size).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def run_complete(result: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an aggregate stream to its end and give its last complete result."""
+def run_updates(result: DataFrame, spark: SparkSession, keys: list[str], name: str) -> DataFrame:
+    """Run an aggregate stream to its end in update mode and give the last state of each of its groups.
+
+    In this mode the watermark holds: late rows are dropped, and the state of closed windows is freed.  Each micro-batch writes the groups it
+    changed under its own number, so a batch that is replayed replaces itself.
+    """
     out, checkpoint = scratch(spark, name), scratch(spark, name + "-state")
-    q = result.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    for path in (out, checkpoint):
+        forget_at_end(spark, path)
+    q = result.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    rows = spark.read.schema(result.schema.add("batch", "long")).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*result.columns), "batch").alias("_r")).select("_r.*")
 
 
 def sessions(stream: DataFrame, key: str, wants_more: str, most: int = 2) -> DataFrame:

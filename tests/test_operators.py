@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -163,10 +165,65 @@ def test_stream_sessions_agree_with_islands(spark, tmp_path):
     assert {r["s"]: r["answered"] for r in got} == batch
 
 
-def test_windowed_counts_take_late_rows(spark):
-    df = spark.createDataFrame([(datetime(2024, 1, 1, 5), "a", 1.0), (datetime(2024, 1, 2), "a", 2.0)], "ts timestamp, k string, value double")
-    got = df.groupBy(F.window("ts", "1 day"), "k").count()
-    assert got.count() == 2
+def test_windowed_counts_take_late_rows_until_the_watermark(spark, tmp_path):
+    """A row within the allowed lateness counts; one whose window has closed does not, and a later result replaces an earlier one."""
+    src = str(tmp_path / "in")
+    schema = "ts timestamp, k string, value double"
+    day = lambda d, h: datetime(2024, 1, d, h)
+    for rows in ([(day(1, 5), "a", 1.0)], [(day(1, 23), "a", 2.0), (day(2, 0), "a", 4.0)], [(day(1, 22), "a", 8.0), (day(5, 0), "a", 16.0)], [(day(5, 1), "a", 64.0)], [(day(1, 6), "a", 32.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in order of their times; a batch is judged by the watermark of the one before
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = ingest.run_updates(ingest.windowed_counts(stream, "ts", "k"), spark, ["w", "k"], "late")
+    assert {(r["w"]["start"].day, r["n"], r["total"]) for r in got.collect()} == {(1, 3, 11.0), (2, 1, 4.0), (5, 2, 80.0)}
+
+
+def test_guarded_write_and_recovery(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    df = lambda n: spark.range(n)
+    assert state.guarded_write(df(100), at) and not state.guarded_write(df(10), at) and spark.read.parquet(at).count() == 100
+    assert state.guarded_write(df(60), at) and spark.read.parquet(at).count() == 60
+    os.rename(at, at + ".old")  # as if the swap had broken between its two steps
+    state.recover(spark, at)
+    assert spark.read.parquet(at).count() == 60 and not os.path.exists(at + ".old")
+
+
+def test_append_new_counts_what_it_writes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "n long, k string")
+    assert [state.append_new(rows, f"{tmp_path}/log", "k", "n") for _ in range(2)] == [2, 0]
+
+
+def test_numbered_and_first_n(spark):
+    df = spark.createDataFrame([(i, i * 7 % 10 if i % 3 else None) for i in range(300)], "i long, v long").repartition(7)
+    want = [r[0] for r in sorted(((r["i"], r["v"]) for r in df.collect()), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    got = sorted((r["place"], r["i"]) for r in skew.numbered(df, [F.desc_nulls_last("v"), F.col("i")]).collect())
+    assert [i for _, i in got] == want and [p for p, _ in got] == list(range(1, 301))
+    few = {(r["v"], r["i"]) for r in skew.first_n(df.filter("v is not null"), ["v"], "i", 2).collect()}
+    assert len(few) == 20 and skew.numbered(df.limit(0), [F.col("i")]).count() == 0
+
+
+def test_links_by_the_text_of_a_post(spark):
+    j = spark.createDataFrame([(1, "云霁", "数据开发工程师"), (2, "云霁", "前端"), (3, "淘天集团", "算法")], "job_id long, company string, title string")
+    p = spark.createDataFrame([(10, None, "云霁 数据 一面面经", None, " u1 "), (11, "云霁", "", "正文", "u1"), (12, "阿里巴巴", "x", None, None)], "post_id long, company string, raw_text string, content_text string, url string")
+    got = {r["job_id"]: (r["n_posts"], r["first_posts"], r["urls"], r["snippets"]) for r in jobs.link_posts(j, p).collect()}
+    # a posting's 淘天集团 is not turned into its parent; the text names the company and a word of the first title only
+    assert got == {1: (2, "10,11", "u1", "云霁 数据 一面面经\f正文"), 2: (1, "11", "u1", "正文")}
+    assert jobs.link_posts(j.limit(0), p).count() == 0 and jobs.link_posts(j, p.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("role", "text", "field", "want"), [("backend", "前端面经", None, False), ("backend", "面经", "Java 后端", True), ("backend", "面经", "算法工程师", False), ("qa", "面经", None, True), ("data", "面经", None, False), ("data", "面经，问了 Spark", None, True), ("ai_app", "数仓面经", None, False), ("客户端", "嵌入式面经", None, True), ("未知岗", "x", None, True)])
+def test_any_role_can_be_matched(spark, role, text, field, want):
+    from gristworks.operators import posts
+
+    p = spark.createDataFrame([(text, field)], "raw_text string, role string").withColumns({c: F.lit(None).cast("string") for c in ("content_text", "locator_text", "image_ocr_text")})
+    assert posts.matches_role(p, role).first()["fits"] is want
+
+
+def test_focus_of_postings(spark):
+    rows = [(1, "应用工程师", None, [], True, False), (2, "数据岗", None, [], False, True), (3, "数据分析师", None, [], False, False), (4, "x", "要会 Spark", [], True, True), (5, "x", None, ["langGraph"], True, False), (6, "x", "y", ["Spark"], False, False), (7, "x", None, ["Spark"], False, True)]
+    df = spark.createDataFrame([r[:4] for r in rows], "job_id long, title string, description string, tags array<string>")
+    got = {r["job_id"]: (r["is_focus"], r["is_data"]) for r in jobs.focus(df).collect()}
+    assert got == {r[0]: (r[4], r[5]) for r in rows}
 
 
 def test_vision_texts(spark):
@@ -186,7 +243,7 @@ def test_unknown_activity_level(spark):
 def test_links_of_long_company_fields(spark):
     long = "we are hiring " * 30 + "acmesoft" + " and more" * 30
     assert len(long) > 256
-    j = spark.createDataFrame([(1, "acmesoft"), (2, long), (3, "other"), (4, None)], "job_id long, company string")
-    p = spark.createDataFrame([(10, long), (11, "acmesoft"), (12, ""), (13, None)], "post_id long, company string")
+    j = spark.createDataFrame([(1, "acmesoft"), (2, long), (3, "other"), (4, None)], "job_id long, company string").withColumn("title", F.lit("数据开发"))
+    p = spark.createDataFrame([(10, long), (11, "acmesoft"), (12, ""), (13, None)], "post_id long, company string").withColumns({c: F.lit(None).cast("string") for c in ("raw_text", "content_text", "url")})
     got = {r["job_id"]: (r["n_posts"], r["first_posts"]) for r in jobs.link_posts(j, p).collect()}
     assert got == {1: (2, "10,11"), 2: (2, "10,11")}
