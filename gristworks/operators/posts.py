@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicons import BODY_SIGNS, RECAP, ROLE_HINTS, TITLE_OFF_ROLE, TITLE_ON_ROLE, WRONG, WS
+from ..functions.lexicons import BODY_SIGNS, RECAP, ROLE_HINTS, ROLES, TITLE_OFF_ROLE, TITLE_ON_ROLE, WRONG, WS
 from .roles import role_named
 
 def merged(posts: DataFrame) -> DataFrame:
@@ -54,18 +54,29 @@ def matches_role(posts: DataFrame, role: str) -> DataFrame:
     preset = role_named(role)
     if preset is None:
         return posts.withColumn("fits", F.lit(True))
-    rid = preset[0]
+    return _with_start(posts).withColumn("fits", _fits(preset[0])).drop("_b")
+
+
+def fitting_roles(posts: DataFrame) -> DataFrame:
+    """post_id, role_id: every role of the catalogue that a post fits; what names a role is read once for all of them."""
+    each = F.array_compact(F.array(*[F.when(_fits(rid), F.lit(rid)) for rid, *_ in ROLES]))
+    return _with_start(posts).select("post_id", F.explode(each).alias("role_id"))
+
+
+def _with_start(posts: DataFrame) -> DataFrame:
+    return roles(posts).withColumn("_b", F.substring(X.blob("raw_text", "content_text", "locator_text", "image_ocr_text"), 1, 600))
+
+
+def _fits(rid: str) -> Column:
     wrong = WRONG.get(rid) or list(dict.fromkeys(r for r, _ in ROLE_HINTS if r != rid))
-    p = roles(posts).withColumn("_b", F.substring(X.blob("raw_text", "content_text", "locator_text", "image_ocr_text"), 1, 600))
     rest = X.has(F.col("_b"), BODY_SIGNS[rid]) if rid in BODY_SIGNS else ~F.coalesce(F.coalesce("role_hint", "head_hint").isin(wrong), F.lit(False))
-    fits = (
+    return (
         F.when(F.col("head_hint").isin(wrong), False)
         .when(F.col("head_hint") == rid, True)
         .when(F.col("role_hint").isin(wrong), False)
         .when(F.col("role_hint") == rid, True)
         .otherwise(rest)
     )
-    return p.withColumn("fits", fits).drop("_b")
 
 
 def page_quality(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Registered queries: one module a family, each with QUERIES and ORACLES."""
 
-from . import bank, flows, general, reports, texts, work
+from . import bank, catalog, flows, general, pages, reports, texts, work
 
-FAMILIES = [general, texts, bank, work, flows, reports]
+FAMILIES = [general, texts, bank, work, flows, reports, catalog, pages]
 QUERIES = {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in FAMILIES for k, f in m.ORACLES.items()}
 

@@ -89,7 +89,7 @@ def job_details(spark: SparkSession, d: str) -> DataFrame:
     """Postings whose description comes from a detail payload, the last of each id."""
     j = table(spark, d, "jobs").select("job_id", "source_id", "description")
     pay = F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.struct(F.concat(F.lit("详情："), "title").alias("postDescription")).alias("jobInfo")).alias("zpData")))
-    details = table(spark, d, "jobs").filter("job_id % 3 = 0 and source_id is not null").select("source_id", F.col("job_id").alias("seq"), pay.alias("value"))
+    details = table(spark, d, "jobs").filter("source_id is not null").select("source_id", F.col("job_id").alias("seq"), pay.alias("value"))
     return V.attach_details(j, details).select("job_id", "description")
 
 
@@ -153,7 +153,7 @@ ORACLES = {
       SELECT count(*) AS "all", count(*) FILTER (drop_reason IS DISTINCT FROM 'junk') AS with_text, count(*) FILTER (drop_reason IS NULL) AS recaps, count(*) FILTER (drop_reason IS NULL AND fits) AS in_role, count(*) FILTER (drop_reason IS NULL AND fits AND post_id IN ({B.ORACLES["recent_posts"]})) AS recent FROM g""",
     "batch_capped": "SELECT batch_no, source, post_id FROM posts QUALIFY row_number() OVER (PARTITION BY batch_no, source ORDER BY post_id) <= 5",
     "job_backfill": "WITH j AS (SELECT job_id, concat_ws('|', title, city) AS k, posted_at FROM jobs), f AS (SELECT k, arg_min(posted_at, job_id) AS v FROM j WHERE length(trim(posted_at)) > 0 GROUP BY k) SELECT job_id, coalesce(nullif(trim(posted_at),''), v) AS posted_at FROM j LEFT JOIN f USING (k)",
-    "job_details": "WITH f AS (SELECT source_id, arg_max('详情：' || title, job_id) AS v FROM jobs WHERE job_id % 3 = 0 AND source_id IS NOT NULL GROUP BY source_id) SELECT job_id, coalesce(nullif(v,''), description) AS description FROM jobs LEFT JOIN f USING (source_id)",
+    "job_details": "WITH f AS (SELECT source_id, arg_max('详情：' || title, job_id) AS v FROM jobs WHERE source_id IS NOT NULL GROUP BY source_id) SELECT job_id, coalesce(nullif(v,''), description) AS description FROM jobs LEFT JOIN f USING (source_id)",
     "jobs_merged_sources": f"SELECT {_n('company')} AS company, {_n('title')} AS title, {_n('city')} AS city, min(job_id) AS job_id, count(*) AS n, count(DISTINCT source) AS sources FROM jobs GROUP BY 1, 2, 3",
     "job_funnels": f"""SELECT a.*, f.in_focus, f.off_focus FROM (SELECT count(*) AS before, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept AND activity = 0 AND fetched IN ('','false')) AS dropped_no_detail, count(*) FILTER (NOT kept AND NOT (activity = 0 AND fetched IN ('','false'))) AS dropped_inactive
       FROM (SELECT w.*, coalesce(j.extra['boss_activity_fetched'],'') AS fetched FROM ({_W["job_activity"]}) w JOIN jobs j USING (job_id))) a, (SELECT count(*) FILTER (is_focus) AS in_focus, count(*) FILTER (NOT is_focus) AS off_focus FROM ({_W["job_focus"]})) f""",

@@ -374,7 +374,8 @@ def day_of(c: Column) -> Column:
     """Day of a value of any kind, written as text: an epoch in seconds or milliseconds, a day at its start in one of three notations; else null."""
     t = X.strip(c)
     n = F.when(t.rlike(r"^\d{1,18}$"), t).cast("bigint")
-    epoch = F.when(n.isNotNull(), F.timestamp_seconds(F.when(n > 10_000_000_000, F.floor(n / 1000)).otherwise(n)).cast("date").cast("string"))
+    seconds = F.when(n > 10_000_000_000, F.floor(n / 1000)).otherwise(n)
+    epoch = F.when(seconds < 253_402_300_800, F.timestamp_seconds(seconds).cast("date").cast("string"))  # the year 10000
     text = F.coalesce(*[F.try_to_timestamp(F.substring(t, 1, 10), F.lit(f)).cast("date").cast("string") for f in ("yyyy/MM/dd", "yyyy.MM.dd")])
     return F.coalesce(epoch, F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(t, 1, 10)), text)
 
