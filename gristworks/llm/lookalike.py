@@ -2,8 +2,10 @@
 
 Method: a trie of the corpus's plain words is traversed with a weighted edit automaton in which look-alike letters
 substitute and ignorable characters disappear at no cost, so that a token comes out as the vocabulary's spelling it
-cannot be told apart from; tokens no vocabulary word matches are normalised by table.  Widths of a character, kinds
-of blank and ignorables go by table everywhere.  Case, accents, and raised or circled figures stay distinct.
+cannot be told apart from; tokens no vocabulary word matches are normalised by table.  A sign that looks like several (or like
+two letters together) costs something for all but the first, so the vocabulary decides where a table could not: ӏnfra is Infra, heӏӏo
+hello.  Widths of a character, kinds of blank and ignorables go by table everywhere.  Case, accents, and raised or circled figures
+stay distinct.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ LOOKALIKES = dict(
         "ABEZHIKMNOPTYXoavpucj" "ABESIJKMHOPCTYXaeopcyxsijdhqwl",
     )
 )
+# What else a letter of another script may be taken for beside Latin letters and figures, at a cost.
+ALSO = {"ӏ": ["I", "1"], "І": ["l", "1"], "Ι": ["l", "1"], "О": ["0"], "Ο": ["0"], "о": ["0"], "ο": ["0"], "З": ["3"], "Ч": ["4"], "б": ["6"], "ӕ": ["ae"], "Ӕ": ["AE"], "ю": ["io"], "Ю": ["IO", "lO"], "Ы": ["bl", "bI"]}
+#: Cost of such a reading, and what a token may cost in all.
+ALSO_COST, MOST_COST = 1, 3
 # Characters that leave no mark on screen, besides all of category Cf.
 IGNORABLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
 #: Decompositions that change only the width or the code point of a sign, not its look.
@@ -61,11 +67,13 @@ def look() -> dict[int, str]:
     return {ord(a): b for a, b in LOOKALIKES.items()}
 
 
-_SUSPECT = re.compile(f"[A-Za-z0-9]*[{re.escape(''.join(LOOKALIKES))}][A-Za-z0-9{re.escape(''.join(LOOKALIKES))}]*")
+_SIGNS = re.escape("".join(dict.fromkeys([*LOOKALIKES, *ALSO])))
+_SUSPECT = re.compile(f"[A-Za-z0-9]*[{_SIGNS}][A-Za-z0-9{_SIGNS}]*")
+_PLAIN = re.compile("[A-Za-z0-9]")
 
 
 class Lexicon:
-    """A trie of plain words and the zero-cost traversal."""
+    """A trie of plain words and its weighted traversal."""
 
     def __init__(self, words: dict[str, int]):
         self.root: dict = {}
@@ -76,17 +84,32 @@ class Lexicon:
             node[""] = n
 
     def spelling(self, token: str) -> str | None:
-        """The most frequent word at cost 0 of ``token``; substitution by a look-alike and skipping an ignorable are free."""
-        states = [(self.root, "")]
+        """The cheapest word that ``token`` may be read as, of equally cheap ones the most frequent; None where there is none.
+
+        Substitution by a look-alike and skipping an ignorable are free; a sign's other readings cost, and are tried only in a token
+        that has plain letters too.
+        """
+        mixed = bool(_PLAIN.search(token))
+        states = [(self.root, "", 0)]
         for ch in token:
             if ch in IGNORABLE:
                 continue
-            same = (ch, LOOKALIKES[ch]) if ch in LOOKALIKES else (ch,)
-            states = [(node[c], word + c) for node, word in states for c in same if c in node]
+            ways = [(ch, 0)] + ([(LOOKALIKES[ch], 0)] if ch in LOOKALIKES else []) + ([(x, ALSO_COST) for x in ALSO.get(ch, ())] if mixed else [])
+            after = []
+            for node, word, cost in states:
+                for piece, more in ways:
+                    n = node
+                    for c in piece:
+                        n = n.get(c)
+                        if n is None:
+                            break
+                    if n is not None and cost + more <= MOST_COST:
+                        after.append((n, word + piece, cost + more))
+            states = after
             if not states:
                 return None
-        words = [(node[""], word) for node, word in states if "" in node]
-        return min(words, key=lambda x: (-x[0], x[1]))[1] if words else None
+        words = [(cost, -node[""], word) for node, word, cost in states if "" in node]
+        return min(words)[2] if words else None
 
 
 def canonical(text: str | None, lexicon: Lexicon | None = None) -> str | None:
