@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,9 +95,9 @@ class Entries:
         self.names: dict[str, set[int]] = {}
         full: dict[str, set[int]] = {}
         stems: dict[str, set[int]] = {}
-        han = sorted({tidy(n) for _, n, _ in entries if n}, key=len)
-        tails = self._tails([tidy(n) for _, n, _ in entries if n]) if kind == "company" else []
-        for ref, name, name_en in entries:
+        han = sorted({tidy(e[1]) for e in entries if e[1]}, key=len)
+        tails = self._tails([tidy(e[1]) for e in entries if e[1]]) if kind == "company" else []
+        for ref, name, name_en, *own in entries:
             zh, en = tidy(name or ""), tidy(name_en or "")
             for x in (zh, en, en.replace(" ", ""), en.replace(" ", "-")):
                 if x:
@@ -110,9 +111,9 @@ class Entries:
             if kind == "city" and en:
                 for k in range(2, len(en) - 1):
                     stems.setdefault(f"{en[:k]} {en[k:]}", set()).add(ref)
+            for x in own[0] if own else SHORT_ROLES.get(name_en or "", []) if kind == "role" else []:
+                stems.setdefault(tidy(x), set()).add(ref)
             if kind == "role":
-                for x in SHORT_ROLES.get(name_en or "", []):
-                    stems.setdefault(x, set()).add(ref)
                 if zh.endswith(("开发", "工程师")):
                     stems.setdefault(zh.removesuffix("工程师").removesuffix("开发") + "研发", set()).add(ref)
                 if en.endswith(" engineer"):
@@ -127,9 +128,11 @@ class Entries:
                 node = node.setdefault(ch, {})
             node[""] = (x, refs, reach(x) if x in full or kind != "role" and len(x) > 5 and not _HAN.search(x) and " " not in x else 0)
         self.han = {x: full[x] for x in han}
-        self.inside = re.compile("|".join(re.escape(x) for x in sorted(self.han, key=len, reverse=True))) if han else None
-        latin = sorted((x for x in full if not _HAN.search(x)), key=len, reverse=True)
-        self.latin = re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, latin)) + r")(?![a-z])") if latin else None
+        # whole names within longer values: one automaton over all of them, whatever their number
+        self.whole = ahocorasick.Automaton()
+        for x in {*self.han, *(x for x in full if not _HAN.search(x))} - {""}:
+            self.whole.add_word(x, x)
+        self.whole.make_automaton()
 
     @staticmethod
     def _tails(names: list[str]) -> list[str]:
@@ -167,6 +170,20 @@ class Entries:
         walk(self.root, first, None, "")
         return found
 
+    def inside(self, s: str) -> set[str]:
+        """Whole names within a value: those in Chinese anywhere, others as whole words; leftmost and longest first, not overlapping."""
+        hits = []
+        for end, x in self.whole.iter(s) if len(self.whole) else ():
+            a, b = end - len(x) + 1, end + 1
+            if x in self.han or not (a and "a" <= s[a - 1] <= "z" or b < len(s) and "a" <= s[b] <= "z"):
+                hits.append((x in self.han, a, -len(x), x))
+        out, upto = set(), {True: 0, False: 0}
+        for han, a, size, x in sorted(hits):
+            if a >= upto[han]:
+                out.add(x)
+                upto[han] = a - size
+        return out
+
     def _bare(self, s: str) -> list[str]:
         """The value with its additions taken off step by step."""
         out = [s]
@@ -230,8 +247,7 @@ class Entries:
         if whole and (s in self.exact or self.kind != "company"):
             return whole
         # the whole name of an entry inside a longer value (a place before it, a second spelling after it)
-        spots = [m for f in (self.inside, self.latin) if f for m in f.finditer(s)]
-        longest = {m[0] for m in spots}
+        longest = self.inside(s)
         longest = {x for x in longest if not any(x != y and x in y for y in longest)}
         named = set().union(*(self.full[x] for x in longest)) if longest else set()
         if self.kind == "role" and len(named) > 1 and whole:
@@ -246,28 +262,38 @@ class Entries:
         return set()
 
 
-def entries_of(reference: DataFrame, most: int = 50_000) -> dict[str, list[tuple]]:
-    """The reference list by kind, on the driver; it is a curated list, and more than ``most`` entries are an error."""
+def entries_of(reference: DataFrame, most: int = 50_000, aliases: DataFrame | None = None) -> dict[str, list[tuple]]:
+    """The reference list by kind, on the driver; it is a curated list, and more than ``most`` entries are an error.
+
+    ``aliases``: ref_id, alias, further names of entries; where it is given it stands in place of the short names of roles known here.
+    """
+    own: dict[int, list[str]] = {}
+    if aliases is not None:
+        named = aliases.select("ref_id", "alias").filter("ref_id is not null and length(alias) > 0").limit(20 * most + 1).collect()
+        if len(named) > 20 * most:
+            raise ValueError(f"more than {20 * most} aliases")
+        for r in named:
+            own.setdefault(r["ref_id"], []).append(r["alias"])
     rows = reference.select("kind", "ref_id", "name", "name_en").filter("ref_id is not null").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the reference list has more than {most} entries")
     out: dict[str, list[tuple]] = {}
     for r in rows:
-        out.setdefault(r["kind"], []).append((r["ref_id"], r["name"], r["name_en"]))
+        out.setdefault(r["kind"], []).append((r["ref_id"], r["name"], r["name_en"], *([own.get(r["ref_id"], [])] if aliases is not None else [])))
     return out
 
 
-def map_values(df: DataFrame, value: str, kind: str, reference: DataFrame, out: str = "refs", remember: int = 200_000) -> DataFrame:
+def map_values(df: DataFrame, value: str, kind: str, reference: DataFrame, out: str = "refs", remember: int = 200_000, aliases: DataFrame | None = None) -> DataFrame:
     """``df`` with ``out``: the ids that ``value`` means, [0] where it means no entry, null for null and blank values.
 
     No shuffle: each worker remembers the last ``remember`` distinct values, so a value with a third of all rows
     is searched once a worker.
     """
-    entries = entries_of(reference).get(kind, [])
+    sent = df.sparkSession.sparkContext.broadcast(entries_of(reference, aliases=aliases).get(kind, []))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Entries(kind, entries)
+        index = Entries(kind, sent.value)
         memo = lru_cache(maxsize=remember)(index.meant)
         for s in batches:
             yield pd.Series([None if v is None or not v.strip() else memo(v) for v in s], dtype=object)

@@ -63,6 +63,27 @@ def test_search_is_the_distance_of_brute_force():
         assert e.search(w) == want
 
 
+def test_aliases_are_a_table(spark):
+    ref = spark.createDataFrame([(1, "role", "采购", "Buyer"), (2, "role", "后端开发", "Backend Engineer")], "ref_id int, kind string, name string, name_en string")
+    rows = spark.createDataFrame([(1, "买手"), (2, "BE"), (3, "资深买手-华东方向")], "k long, v string")
+    of = lambda **kw: {r["k"]: r["refs"] for r in canon.map_values(rows, "v", "role", ref, **kw).collect()}
+    assert of() == {1: [0], 2: [2], 3: [0]}
+    assert of(aliases=spark.createDataFrame([(1, "买手"), (None, "x"), (9, "y")], "ref_id int, alias string")) == {1: [1], 2: [0], 3: [1]}
+
+
+def test_names_inside_against_regular_expressions():
+    import random
+    import re
+
+    rng = random.Random(3)
+    e = canon.Entries("company", COMPANIES)
+    latin = sorted((x for x in e.full if not canon._HAN.search(x)), key=len, reverse=True)
+    both = [re.compile("|".join(map(re.escape, sorted(e.han, key=len, reverse=True)))), re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, latin)) + r")(?![a-z])")]
+    for _ in range(300):
+        s = "".join(rng.choice([*e.full, " ", "a", "的", "-"]) for _ in range(rng.randint(0, 6)))
+        assert e.inside(s) == {m[0] for p in both for m in p.finditer(s)}, s
+
+
 def test_found(spark):
     ref = spark.createDataFrame([(i, "city", n, e) for i, n, e in CITIES], "ref_id int, kind string, name string, name_en string")
     rows = spark.createDataFrame([(1, "泽岭", "x"), (2, None, "x"), (3, "  ", "x"), (4, "泽岭市", "x"), (4, "泽岭市", "x"), (5, "泽岭/沐港", "x"), (6, "月球", "x")], "job_id long, city string, refs string")
