@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import join_unique
 from ..session import cut
 from .lookalike import IGNORABLE
 
@@ -265,8 +266,8 @@ GIVEN_BOUND = 200_000
 _SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("votes", T.StringType())]))
 
 
-def given_names(texts: DataFrame, column: str, families: int = 2, least: int = 3) -> frozenset[str]:
-    """Given names that words around announce at least ``least`` times with ``families`` family names, over all texts."""
+def given_names(texts: DataFrame, column: str, families: int = 2, least: int = 3) -> DataFrame:
+    """given: names that words around announce at least ``least`` times with ``families`` family names, over all texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -274,23 +275,64 @@ def given_names(texts: DataFrame, column: str, families: int = 2, least: int = 3
 
     pairs = texts.select(F.col(column).alias("t")).filter("t is not null").mapInPandas(run, "given string, family string")
     known = pairs.groupBy("given", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("given").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("f"))
-    rows = known.filter((F.col("f") >= families) & (F.col("n") >= least)).select("given").limit(GIVEN_BOUND + 1).collect()
-    if len(rows) > GIVEN_BOUND:
-        raise ValueError(f"more than {GIVEN_BOUND} given names; raise pii.GIVEN_BOUND")
-    return frozenset(r["given"] for r in rows)
+    return cut(known.filter((F.col("f") >= families) & (F.col("n") >= least)).select("given"), "given-names")
 
 
-def proposals(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """``keys``, type, a, b, votes of every proposed span, written to the shared folder."""
-    given = given_names(texts, column)
+def _as_rows(found_: list[tuple[str, int, int, str]]) -> list[dict]:
+    return [{"type": t, "a": a, "b": b, "votes": v} for t, a, b, v in found_]
+
+
+def maybe_given(text: str) -> set[str]:
+    """All that may be a given name in a text: what follows a family name, and words of Latin names."""
+    s, _ = plain(text)
+    out: set[str] = set()
+    for m in _HAN_NAME.finditer(s):
+        i = m.start() + (2 if s[m.start() : m.start() + 2] in COMPOUND else 1)
+        out |= {s[i : i + 1], s[i : i + 2]}
+    for m in _LATIN_NAME.finditer(s):
+        out |= set(m[0].split())
+    return out
+
+
+def _spans_by_join(texts: DataFrame, column: str, given: DataFrame) -> DataFrame:
+    """``texts`` with ``_all``, the spans of each text, where the given names are too many for the workers: each distinct text asks for its own."""
+    marked = texts.withColumn("_h", F.md5(column))
+    each = cut(marked.filter(F.length(column) > 0).groupBy("_h").agg(F.first(column).alias("_text"), F.count(F.lit(1)).alias("_n")), "pii-texts")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(h, g) for h, t in zip(b["_h"], b["_text"]) for g in maybe_given(t)], columns=["_h", "given"])
+
+    mine = each.select("_h", "_text").mapInPandas(ask, "_h string, given string").join(given, "given").groupBy("_h").agg(F.collect_set("given").alias("_given"))
 
     @F.pandas_udf(_SPANS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([[{"type": t, "a": a, "b": b, "votes": v} for t, a, b, v in spans(x, given)] if x else [] for x in s], dtype=object)
+    def run(t: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([_as_rows(spans(x, frozenset(y if y is not None else ()))) for x, y in zip(t, g)], dtype=object)
+
+    done = each.join(mine, "_h", "left").select("_h", "_n", run.asNondeterministic()("_text", "_given").alias("_all"))
+    return join_unique(marked, cut(done, "pii-found"), "_h", "_n").drop("_h")
 
-    # nondeterministic for the optimiser: else it is computed again for the filter that the explode brings
-    rows = texts.select(*keys, run.asNondeterministic()(F.col(column)).alias("_all")).select(*keys, F.explode("_all").alias("_s"))
+
+def proposals(texts: DataFrame, keys: list[str], column: str, held: int = GIVEN_BOUND) -> DataFrame:
+    """``keys``, type, a, b, votes of every proposed span, written to the shared folder.
+
+    The learned given names go out to the workers while they are at most ``held``; more are joined to what each text asks for.
+    """
+    known = given_names(texts, column)
+    few = known.limit(held + 1).collect()
+    if len(few) > held:
+        spotted = _spans_by_join(texts, column, known)
+    else:
+        sent = texts.sparkSession.sparkContext.broadcast(frozenset(r["given"] for r in few))
+
+        @F.pandas_udf(_SPANS)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield pd.Series([_as_rows(spans(x, sent.value)) if x else [] for x in s], dtype=object)
+
+        # nondeterministic for the optimiser: else it is computed again for the filter that the explode brings
+        spotted = texts.withColumn("_all", run.asNondeterministic()(F.col(column)))
+    rows = spotted.select(*keys, F.explode("_all").alias("_s"))
     return cut(rows.select(*keys, "_s.type", "_s.a", "_s.b", "_s.votes"), "pii-spans")
 
 
