@@ -204,7 +204,7 @@ ORACLES = {
     "source_flat": f"""SELECT job_id::VARCHAR AS source_id, {S.strip("title")} AS title, length(concat_ws(chr(10) || chr(10), nullif({S.strip("description")},''), nullif({S.strip("experience")},'')))::INT AS chars, nullif({S.strip("city")},'') AS city, CASE WHEN job_id % 2 = 0 OR job_id % 3 = 0 THEN strftime({_utc}, '%Y-%m-%d') END AS posted_at, coalesce(nullif({S.strip("education")},''),'') AS tags FROM jobs WHERE length(trim(title)) > 0""",
     "source_found": f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY company, job_id // 500 ORDER BY job_id) AS k FROM jobs WHERE length(company) > 0) SELECT 'job_pro:' || company AS source, job_id::VARCHAR AS source_id, {S.strip("title")} AS title, nullif({S.strip("city")},'') AS city, coalesce(nullif({S.strip("education")},''),'') AS tags, false AS open, CASE WHEN job_id % 5 = 0 THEN 'u' ELSE 'job-pro:' END AS link FROM p WHERE (job_id // 500) % 4 <> 1 AND k <= 100 AND length(trim(title)) > 0""",
     "source_questions": "SELECT coalesce(topic,'') AS topic, count(*) AS n, sum(CASE WHEN question_id % 3 > 0 THEN coalesce(freq,1) ELSE 1 END)::BIGINT AS freq, sum(coalesce(len(source_refs),0))::BIGINT AS refs, count(*) FILTER (coalesce(answer,'') = '') AS open FROM questions GROUP BY 1",
-    "full_texts": """SELECT post_id, CASE WHEN c AND length(raw_text) > 300 THEN '题' || chr(10) || '全' || post_id ELSE body END AS body, c AS is_cut FROM (SELECT *, coalesce(post_id % 2 = 0, true) OR body IS NULL AS c FROM (SELECT post_id, CASE WHEN post_id % 2 = 0 THEN '1. ' || substr(regexp_replace(raw_text, '[\\t-\\r .…0-9]', '', 'g'),1,20) || '…2. 乙' ELSE '一行' || chr(10) || '二行' || chr(10) || '三行' END AS body FROM posts))""",
+    "full_texts": """SELECT post_id, CASE WHEN c AND length(raw_text) > 300 THEN '题' || chr(10) || '全' || post_id ELSE body END AS body, c AS is_cut FROM (SELECT *, coalesce(post_id % 2 = 0, true) OR body IS NULL AS c FROM (SELECT post_id, raw_text, CASE WHEN post_id % 2 = 0 THEN '1. ' || substr(regexp_replace(raw_text, '[\\t-\\r .…0-9]', '', 'g'),1,20) || '…2. 乙' ELSE '一行' || chr(10) || '二行' || chr(10) || '三行' END AS body FROM posts))""",
     "discuss_links": r"""SELECT post_id, CASE WHEN regexp_matches(lower(url), '^(?:https?:)?//[^/]*nookboard\.example') AND regexp_matches(url, '/discuss/\d+') THEN 'https://www.nookboard.example/discuss/' || regexp_extract(url, '/discuss/(\d+)', 1) END AS own, CASE WHEN length(i) > 0 THEN 'https://www.nowcoder.com/discuss/' || i || ',' ELSE '' END || 'https://www.nowcoder.com/discuss/7' AS named FROM (SELECT post_id, url, regexp_extract(coalesce(url,''), '(\d{5,})', 1) AS i FROM posts)""",
     "payload_keys": "SELECT batch_no, job_id // 100 AS p, count(*) || ':' || array_to_string((list_sort(list(job_id)))[1:5], '|') AS key FROM jobs GROUP BY 1, 2",
     "vision_texts": f"""SELECT post_id, md5(CASE WHEN got AND NOT coalesce(contains(image_ocr_text, v), false) THEN concat_ws(chr(10) || chr(10), nullif(image_ocr_text,''), v) ELSE image_ocr_text END) AS text, CASE WHEN got THEN CASE WHEN post_id % 2 = 0 THEN 'vision_ok' ELSE 'vision_low' END ELSE extraction_quality END AS extraction_quality, CASE WHEN got THEN false ELSE needs_vision_fallback END AS needs_vision_fallback

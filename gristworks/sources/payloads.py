@@ -297,7 +297,9 @@ def discuss_url(c: Column, host: str = "nowcoder.com") -> Column:
     """Canonical discussion URL, or null where the URL is not one of ``host``'s discussions."""
     u = F.when(c.startswith("//"), F.concat(F.lit("https:"), c)).otherwise(c)
     i = F.regexp_extract(u, r"/discuss/(\d+)", 1)
-    return F.when(F.lower(F.try_parse_url(u, F.lit("HOST"))).contains(host) & (F.length(i) > 0), F.concat(F.lit(f"https://www.{host}/discuss/"), i))
+    # blanks after an address do not make it another one, as they would for a strict parser
+    named = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    return F.when(named.contains(host) & (F.length(i) > 0), F.concat(F.lit(f"https://www.{host}/discuss/"), i))
 
 
 def uuid_of(c: Column) -> Column:
