@@ -174,22 +174,25 @@ def _by_length(words: dict[str, str]) -> dict[str, str]:
     return {w: words[w] for w in sorted(words, key=lambda w: -len(w))}
 
 
-def alias_in(c: Column) -> Column:
-    """Company of the longest alias found anywhere in the text; null without one."""
+def alias_in(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Company of the longest alias found anywhere in the text; null without one.  ``aliases`` come on top of the listed ones."""
     words: dict[str, str] = {}
-    for a, parent in COMPANY_ALIASES.items():
+    for a, parent in {**COMPANY_ALIASES, **(aliases or {})}.items():
         words.setdefault(a.lower(), parent)
     return _first_within(c, _by_length(words))
 
 
-def company(c: Column) -> Column:
-    """Company a value names: a known alias's parent, else the value itself where it can be one; null otherwise."""
-    words = {a.lower(): p for a, p in COMPANY_ALIASES.items()}
+def company(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Company a value names: a known alias's parent, else the value itself where it can be one; null otherwise.
+
+    ``aliases`` (a user's own, alias -> company) come on top of the listed ones and before them.
+    """
+    words = {a.lower(): p for a, p in {**COMPANY_ALIASES, **(aliases or {})}.items()}
     exact = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
 
     def named(raw: Column) -> Column:
         other = F.when(raw.rlike(r"^[\x{4e00}-\x{9fff}A-Za-z0-9·]{2,20}$"), raw)
-        return F.when((F.length(raw) > 0) & ~not_company(raw), F.coalesce(F.try_element_at(exact, F.lower(raw)), alias_in(raw), other))
+        return F.when((F.length(raw) > 0) & ~not_company(raw), F.coalesce(F.try_element_at(exact, F.lower(raw)), alias_in(raw, aliases), other))
 
     return let(strip(c), named)
 

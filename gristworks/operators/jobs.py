@@ -78,6 +78,27 @@ def activity_score(c: Column) -> Column:
     return F.coalesce(out, F.lit(0))
 
 
+def activity_of(text: Column, online: Column) -> Column:
+    """Activity of a posting: by its text, else 5 for a recruiter who is online; 0 without either."""
+    t = X.strip(F.coalesce(text, F.lit("")))
+    return F.when(F.length(t) > 0, activity_score(t)).when(F.coalesce(online, F.lit(False)), 5).otherwise(0)
+
+
+def skill_coverage(jobs: DataFrame, questions: DataFrame, enough: int = 3, shown: int = 3) -> DataFrame:
+    """job_id, skill, coverage (0 none, 0.5 few, 1 enough questions), related: technologies a posting names, and the questions that name them.
+
+    Both sides are brought to the catalogue's labels, which are few; postings never meet questions.
+    """
+    q = questions.select(F.col("question_id").alias("job_id"), F.lit("").alias("title"), F.col("text").alias("description"), F.array().cast("array<string>").alias("tags"))
+    hits = tech_hits(q).select(F.col("label").alias("skill"), F.col("job_id").alias("question_id")).distinct()
+    per = hits.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    best = first_n(hits, ["skill"], "question_id", shown).groupBy("skill").agg(F.array_join(F.transform(F.array_sort(F.collect_list("question_id")), lambda x: x.cast("string")), ",").alias("related"))
+    skills = tech_hits(jobs).select("job_id", F.col("label").alias("skill")).distinct()
+    j = skills.join(F.broadcast(per.join(best, "skill")), "skill", "left")  # one row a label of the catalogue
+    cover = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).when(F.col("n") < enough, 0.5).otherwise(1.0)
+    return j.select("job_id", "skill", cover.alias("coverage"), F.coalesce("related", F.lit("")).alias("related"))
+
+
 def by_activity(jobs: DataFrame, least: int = 3) -> DataFrame:
     """``jobs`` with activity and kept."""
     text = X.strip(F.coalesce(F.element_at("extra", "boss_activity_text"), F.element_at("extra", "boss_active_desc"), F.lit("")))

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicons import AI_ROLE_MARKERS, FOCUS_ROLES, NOT_DATA_ROLES, OFF_ROLE_MARKERS, PRESET_COMPANIES, ROLE_ALIASES, ROLES
+from ..functions.lexicons import ACTIVITY, AI_ROLE_MARKERS, FOCUS_ROLES, NOT_DATA_ROLES, OFF_ROLE_MARKERS, PRESET_COMPANIES, ROLE_ALIASES, ROLES, TECH
 from ..operators import banks as K
 from ..operators import posts as P
 from ..operators import questions as Q
 from ..operators import roles as R
 from ..operators import similarity as Sim
 from ..operators import state as St
+from ..operators import jobs as J
 from ..operators.jobs import first_ids
 from ..operators.skew import numbered
-from ..session import spread, table
+from ..session import scratch, spread, table
 from ..sources import payloads as Pay
 from . import bank as B
 from . import sql as S
@@ -285,7 +286,65 @@ def notes_last(spark: SparkSession, d: str) -> DataFrame:
     return St.last_in_place(n, "note_id", "export_row").select("note_id", "export_row", "title", "place")
 
 
-QUERIES = {f.__name__: f for f in (role_ids, post_annotated, post_role_set, post_fits_roles, post_off_bank, company_presets, topic_options, company_order, job_order, post_order, question_order, snapshot_list, snapshot_jobs, bank_list, banks_for_role, report_taxonomy, report_clusters, pending_answers, question_answers, post_verdicts, clusters_rejoined, sources_union, keyword_union, tag_union, job_queries, portal_types, corpus_hints, bank_clean, source_diagnosis, role_batches, dates_coerced, payload_dates, uploads, search_in_label, queue_due, queue_stalest, known_ids, notes_last)}
+def jd_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How well questions cover the technologies that postings ask for."""
+    return J.skill_coverage(spread(table(spark, d, "jobs")), table(spark, d, "questions"))
+
+
+def posts_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Posts saved as JSON twice, the second in place of the first, and read back."""
+    at = scratch(spark, "saved-posts")
+    p = table(spark, d, "posts").drop("post_id", "batch_no", "crawled_at")
+    Pay.save_json(p.limit(3), at)
+    Pay.save_json(p, at)
+    lines = spark.read.text(at).select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"))
+    return Pay.posts_from_json(lines).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw_text")).alias("chars"), F.sum(F.size("comments")).alias("comments"))
+
+
+def post_company_label(spark: SparkSession, d: str) -> DataFrame:
+    """Company shown for a post: its own, else one its text names, else 未标注; with an alias of one's own."""
+    p = spread(table(spark, d, "posts"))
+    text = X.blob("raw_text", "content_text", "locator_text", "image_ocr_text")
+    own = {"舟鹿": "舟鹿智能"}
+    return p.select("post_id", F.coalesce(X.company(F.col("company"), own), X.alias_in(text, own), F.lit("未标注")).alias("label"))
+
+
+def question_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as rows of the bank's page: topic and confidence with their defaults, references by kind of source."""
+    q = table(spark, d, "questions")
+    refs = q.select("question_id", F.explode("source_refs").alias("ref"))
+    p = table(spark, d, "posts").select(F.col("post_id").cast("string").alias("ref"), "url")
+    kinds = refs.join(p, "ref", "left").groupBy("question_id", Q.source_kind(F.coalesce("url", F.lit("")), B.KINDS).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    named = kinds.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "n"))), ",").alias("source_kinds"))
+    topic = F.coalesce(F.nullif(X.strip(F.coalesce("topic", F.lit(""))), F.lit("")), F.lit("综合"))
+    return q.join(named, "question_id", "left").select("question_id", topic.alias("topic"), Q.confidence(F.coalesce("freq", F.lit(1))).alias("confidence"), F.coalesce("source_kinds", F.lit("")).alias("source_kinds"))
+
+
+def verdict_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """Posts by what becomes of them with saved verdicts, and those of the kept ones that fit the data role."""
+    v = post_verdicts(spark, d)
+    fits = P.matches_role(spread(table(spark, d, "posts")), "data").select("post_id", "fits")
+    return v.join(fits, "post_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("in_role"))
+
+
+def post_preset(spark: SparkSession, d: str) -> DataFrame:
+    """Role of a post by its field, else by its head."""
+    return P.roles(spread(table(spark, d, "posts"))).select("post_id", F.coalesce("role_hint", "head_hint").alias("role_id"))
+
+
+def job_activity_any(spark: SparkSession, d: str) -> DataFrame:
+    """Activity of postings by text, else by who is online (here: postings of odd batches)."""
+    j = table(spark, d, "jobs")
+    return j.select("job_id", J.activity_of(F.element_at("extra", "boss_active_desc"), F.col("batch_no") % 2 == 1).alias("activity"))
+
+
+def vision_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 posts that wait for a vision model, with four images at most each; both are the limits of a run."""
+    p = table(spark, d, "posts").filter("needs_vision_fallback and size(asset_paths) > 0").orderBy("post_id").limit(50)
+    return p.select("post_id", F.array_join(F.slice("asset_paths", 1, 4), ",").alias("images"))
+
+
+QUERIES = {f.__name__: f for f in (jd_coverage, posts_saved, post_company_label, question_rows, verdict_funnel, post_preset, job_activity_any, vision_queue, role_ids, post_annotated, post_role_set, post_fits_roles, post_off_bank, company_presets, topic_options, company_order, job_order, post_order, question_order, snapshot_list, snapshot_jobs, bank_list, banks_for_role, report_taxonomy, report_clusters, pending_answers, question_answers, post_verdicts, clusters_rejoined, sources_union, keyword_union, tag_union, job_queries, portal_types, corpus_hints, bank_clean, source_diagnosis, role_batches, dates_coerced, payload_dates, uploads, search_in_label, queue_due, queue_stalest, known_ids, notes_last)}
 
 _case = lambda x, pairs: f"CASE {x} {' '.join(f'WHEN {S.lit(a)} THEN {S.lit(b)}' for a, b in pairs)} END"
 _LABELS = [(x, r[0]) for r in ROLES for x in dict.fromkeys((r[1], r[2]))]
@@ -320,7 +379,20 @@ _ANSWERS = f"SELECT question_id, coalesce(nullif(answer,''), (SELECT min(b.answe
 _norm = S.normalize("coalesce(text,'')")
 _spoken = lambda r: "(" + " OR ".join(f"contains(h, {S.lit(a)}) OR (length(h) > 0 AND contains({S.lit(a)}, h))" for a in K.role_aliases(r)) + ")"
 
+_VERDICTS = f"""WITH p AS (SELECT g.post_id, g.drop_reason, p.source, p.raw_text, coalesce(nullif(p.url,''), sha256(coalesce(p.raw_text,''))) AS key FROM posts p JOIN ({_T["post_gate"]}) g USING (post_id)), v AS (SELECT key, arg_max(length(raw_text) > 200, post_id) AS keep FROM p WHERE source IN ('redleaf','pondtalk') AND raw_text IS NOT NULL GROUP BY 1)
+      SELECT post_id, CASE WHEN drop_reason = 'junk' THEN 'junk' WHEN keep THEN 'kept' WHEN NOT keep THEN 'ai_dropped' ELSE coalesce(drop_reason,'kept') END AS outcome FROM p LEFT JOIN v USING (key)"""
+_tech = lambda b, key, t: f"SELECT DISTINCT {key}, c.label FROM (SELECT {key}, {b} AS b FROM {t}) j, (VALUES {', '.join(f'({S.lit(n)}, {S.lit(p)})' for _, items in TECH for n, p in items)}) c(label, p) WHERE regexp_matches(j.b, c.p, 'i')"
 ORACLES = {
+    "jd_coverage": f"""WITH h AS ({_tech("lower('' || ' ' || coalesce(text,'') || ' ')", "question_id", "questions")}), n AS (SELECT label, count(*) AS n, array_to_string((list_sort(list(question_id)))[1:3], ',') AS related FROM h GROUP BY 1)
+      SELECT job_id, j.label AS skill, CASE WHEN n IS NULL THEN 0.0 WHEN n < 3 THEN 0.5 ELSE 1.0 END::DOUBLE AS coverage, coalesce(related,'') AS related FROM ({_tech("lower(coalesce(title,'') || ' ' || coalesce(description,'') || ' ' || array_to_string(coalesce(tags,[]), ' '))", "job_id", "jobs")}) j LEFT JOIN n USING (label)""",
+    "posts_saved": "SELECT source, count(*) AS n, sum(length(raw_text))::BIGINT AS chars, sum(coalesce(len(comments),0))::BIGINT AS comments FROM posts GROUP BY 1",
+    "post_company_label": f"SELECT post_id, coalesce(CASE WHEN {S.company('company')} IS NOT NULL THEN CASE WHEN contains(lower({S.strip('company')}), '舟鹿') AND {S.alias_in(S.strip('company'))} IS NULL THEN '舟鹿智能' ELSE {S.company('company')} END WHEN contains({S.strip('company')}, '舟鹿') AND length({S.strip('company')}) >= 2 THEN '舟鹿智能' END, CASE WHEN contains(b, '舟鹿') AND coalesce({S.alias_len('b')}, 0) < 2 THEN '舟鹿智能' ELSE {S.alias_in('b')} END, '未标注') AS label FROM (SELECT *, concat_ws(chr(10), nullif(raw_text,''), nullif(content_text,''), nullif(locator_text,''), nullif(image_ocr_text,'')) AS b FROM posts)",
+    "question_rows": f"""WITH k AS (SELECT question_id, CASE WHEN contains(lower(u),'redleaf') THEN 'redleaf' WHEN contains(lower(u),'nookboard') OR contains(lower(u),'hallwaychat') THEN 'forum' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT question_id, unnest(source_refs) AS ref FROM questions) q LEFT JOIN (SELECT post_id::VARCHAR AS ref, coalesce(url,'') AS u FROM posts) p USING (ref) GROUP BY 1, 2)
+      SELECT question_id, coalesce(nullif({S.strip("coalesce(topic,'')")},''),'综合') AS topic, CASE WHEN coalesce(freq,1) >= 3 THEN '高频' WHEN freq = 2 THEN '中频' ELSE '低频' END AS confidence, coalesce(s,'') AS source_kinds FROM questions LEFT JOIN (SELECT question_id, string_agg(kind || ':' || n, ',' ORDER BY kind || ':' || n) AS s FROM k GROUP BY 1) USING (question_id)""",
+    "verdict_funnel": f"SELECT outcome, count(*) AS n, count(*) FILTER (fits) AS in_role FROM ({_VERDICTS}) JOIN ({_T['post_target_role']}) USING (post_id) GROUP BY 1",
+    "post_preset": f"SELECT post_id, coalesce({S.role_id('role')}, {S.role_id('h')}) AS role_id FROM (SELECT *, {_HEAD} AS h FROM posts)",
+    "job_activity_any": f"""SELECT job_id, CASE WHEN length(a) > 0 THEN CASE {' '.join(f'WHEN regexp_matches(a, {S.lit(w)}) THEN {s}' for s, w in ACTIVITY)} ELSE 0 END WHEN batch_no % 2 = 1 THEN 5 ELSE 0 END AS activity FROM (SELECT job_id, batch_no, {S.strip("coalesce(extra['boss_active_desc'],'')")} AS a FROM jobs)""",
+    "vision_queue": "SELECT post_id, array_to_string(asset_paths[1:4], ',') AS images FROM posts WHERE needs_vision_fallback AND len(asset_paths) > 0 ORDER BY post_id LIMIT 50",
     "role_ids": f"""WITH p AS (SELECT post_id, unnest([role, lower(replace(role,' ','_')), ['agent','数据开发','data','ai_data_engineer','data_analyst'][post_id % 5 + 1]]) AS r FROM posts)
       SELECT DISTINCT post_id, r, id, CASE WHEN id = 'ai_app' THEN 'ai_app,agent' ELSE id END AS ids, coalesce({_case("id", _TERMS)}, nullif({S.strip("coalesce(r,'')")},''), '数据开发') AS label, {_focus("r")} AS focus FROM (SELECT *, {_canon("r")} AS id FROM p)""",
     "post_annotated": f"SELECT post_id, role, company FROM ({_ANNOTATED})",
@@ -341,8 +413,7 @@ ORACLES = {
     "report_clusters": f"SELECT rank, r.text, least(m.n_variants, 3)::INT AS n_variants, string_split(nullif(m.source_refs,''), chr(9))[1] AS ref FROM ({B.ORACLES['bank_rank']}) r JOIN ({B.ORACLES['bank_merge']}) m USING (seq) WHERE rank <= 50",
     "pending_answers": f"SELECT question_id FROM ({_ANSWERS}) JOIN (SELECT question_id FROM questions ORDER BY freq DESC, question_id LIMIT 40) USING (question_id) WHERE answer IS NULL",
     "question_answers": _ANSWERS,
-    "post_verdicts": f"""WITH p AS (SELECT g.post_id, g.drop_reason, p.source, p.raw_text, coalesce(nullif(p.url,''), sha256(coalesce(p.raw_text,''))) AS key FROM posts p JOIN ({_T["post_gate"]}) g USING (post_id)), v AS (SELECT key, arg_max(length(raw_text) > 200, post_id) AS keep FROM p WHERE source IN ('redleaf','pondtalk') AND raw_text IS NOT NULL GROUP BY 1)
-      SELECT post_id, CASE WHEN drop_reason = 'junk' THEN 'junk' WHEN keep THEN 'kept' WHEN NOT keep THEN 'ai_dropped' ELSE coalesce(drop_reason,'kept') END AS outcome FROM p LEFT JOIN v USING (key)""",
+    "post_verdicts": _VERDICTS,
     "clusters_rejoined": f"""WITH q AS (SELECT question_id, text, topic, freq, {_norm} AS norm, count(*) OVER (PARTITION BY {_norm}) AS k FROM questions), g AS (SELECT min(question_id) AS question_id, arg_min(coalesce(text,chr(0)), question_id) AS first, arg_min(coalesce(topic,chr(0)), question_id) AS own, max(substr(norm,1,12)) AS c, arg_max(text, (length(coalesce(text,'')), -question_id)) AS longest, sum(freq)::BIGINT AS freq, count(*) AS members FROM q WHERE k > 1 GROUP BY norm)
       SELECT question_id, text, topic, freq, 1::BIGINT AS members FROM q WHERE k = 1 UNION ALL SELECT question_id, CASE WHEN length(canon) < 10 OR canon = '后端八股' THEN longest ELSE canon END, coalesce(nullif({S.strip("nullif(own,chr(0))")},''),'综合'), freq, members FROM (SELECT *, coalesce(nullif({S.strip("c")},''), nullif(first,chr(0))) AS canon FROM g)""",
     "sources_union": f"""WITH u AS (SELECT 0 AS source_rank, post_id AS id, coalesce(nullif({S.strip("url")},''), substr(raw_text,1,240)) AS key FROM posts UNION ALL SELECT 1, export_row, nullif({S.strip("note_url")},'') FROM xhs_mediacrawler_export), f AS (SELECT key, min((source_rank, id)) AS f FROM u WHERE length(key) > 0 GROUP BY 1)

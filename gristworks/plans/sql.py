@@ -78,6 +78,11 @@ def alias_in(x: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({x}), {lit(a.lower())}) THEN {lit(COMPANY_ALIASES[a])}" for a in sorted(COMPANY_ALIASES, key=lambda a: -len(a))) + " END"
 
 
+def alias_len(x: str) -> str:
+    """Length of the longest alias in a text; null without one."""
+    return "CASE " + " ".join(f"WHEN contains(lower({x}), {lit(a.lower())}) THEN {len(a)}" for a in sorted(COMPANY_ALIASES, key=lambda a: -len(a))) + " END"
+
+
 def role_id(x: str) -> str:
     hint = "CASE " + " ".join(f"WHEN {has(x, p)} THEN {lit(r)}" for r, p in ROLE_HINTS) + " END"
     words: dict[str, str] = {}

@@ -39,6 +39,11 @@ def posts_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
     return defaults(texts.select(F.explode(got).alias("p")).select("p.*"))
 
 
+def save_json(rows: DataFrame, path: str) -> None:
+    """Posts or questions as JSON files, one object a line, in place of what was there; ``posts_from_json`` reads them line by line."""
+    rows.write.mode("overwrite").json(path)
+
+
 def questions_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
     """Questions of JSON lists; freq defaults to 1."""
     q = texts.select(F.explode(F.from_json(column, f"array<struct<{_ddl(QUESTION)}>>")).alias("q")).select("q.*")
@@ -414,7 +419,15 @@ def resume_text(content: Column, least: int = 10) -> Column:
     return X.let(F.coalesce(t, F.lit("")), lambda v: F.struct(v.alias("text"), (F.length(v) < least).alias("needs_vision")))
 
 
-def newest_files(spark: SparkSession, path: str, pattern: str, since: str | None = None, n: int | None = None) -> DataFrame:
-    """Files by falling modification time, ``n`` at most where it is given (the newest exports): value, path, modified."""
-    files = whole_files(spark, path, pattern, since).orderBy(F.desc("modified"), "path")
+def newest_files(spark: SparkSession, path: str | list[str], pattern: str | list[str], since: str | None = None, n: int | None = None) -> DataFrame:
+    """Files by falling modification time, ``n`` at most where it is given (the newest exports): value, path, modified.
+
+    Several folders and patterns may be given; a file that several of them find is one.
+    """
+    files = None
+    for folder in [path] if isinstance(path, str) else path:
+        for p in [pattern] if isinstance(pattern, str) else pattern:
+            part = whole_files(spark, folder, p, since)
+            files = part if files is None else files.unionByName(part)
+    files = files.groupBy("path").agg(F.first("value").alias("value"), F.first("modified").alias("modified")).select("value", "path", "modified").orderBy(F.desc("modified"), "path")
     return files.limit(n) if n else files
