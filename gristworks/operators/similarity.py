@@ -255,6 +255,105 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "hit_id", "score")
 
 
+#: Rows from which the cells of an index are fitted; every row is put into a cell.
+INDEX_SAMPLE = 20_000
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def build_index(rows: DataFrame, key: str, vector: str, cells: int | None = None, rounds: int = 10, k: int = 10, share: float = 0.95) -> tuple[DataFrame, np.ndarray, int]:
+    """(``key``, ``vector``, cell of every row with a vector, written in order of the cells; centres of the cells; cells to probe).
+
+    Cells are fitted by spherical k-means on ``INDEX_SAMPLE`` rows at most (those with the smallest hashes of their keys); there are
+    about as many as the square root of the rows, 4,096 at most, unless ``cells`` says otherwise.  So many cells are probed as hold
+    ``share`` of the ``k`` nearest rows of 200 rows within the sample: few where the vectors form groups, most where they are random.
+    """
+    r = rows.filter(F.col(vector).isNotNull()).select(key, vector)
+    sample = [x["v"] for x in r.select(F.col(vector).alias("v"), F.xxhash64(key).alias("h")).orderBy("h").limit(INDEX_SAMPLE).collect()]
+    if not sample:
+        return r.withColumn("cell", F.lit(0)), np.zeros((1, 1)), 1
+    x = _unit(np.array(sample, dtype=np.float64))
+    n = min(cells or max(1, min(4096, int(r.count() ** 0.5))), len(x))
+    centres = x[np.random.default_rng(0).choice(len(x), n, replace=False)]
+    for _ in range(rounds):
+        at = np.argmax(x @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, at, x)
+        centres = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 0, _unit(total), centres)
+    at = np.argmax(x @ centres.T, axis=1)
+    s = x[:200] @ x.T
+    s[np.arange(len(s)), np.arange(len(s))] = -np.inf
+    hits = np.argsort(-s, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(x[:200] @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell, in order of nearness
+    probes = int(np.quantile(np.take_along_axis(place, at[hits], axis=1), share)) + 1
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def cell(v: pd.Series) -> pd.Series:
+        return pd.Series(np.argmax(_unit(np.stack(v.to_numpy()).astype(np.float64)) @ sent.value.T, axis=1).astype("int32")) if len(v) else pd.Series([], dtype="int32")
+
+    # a hot cell is spread over several files, since nothing needs it in one place
+    placed = r.withColumn("cell", cell(vector)).repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("cell")
+    return cut(placed, "vector-index"), centres, probes
+
+
+def search_index(index: tuple[DataFrame, np.ndarray, int], queries: DataFrame, key: str, vector: str, k: int = 10, probes: int | None = None, block: int = 2000) -> DataFrame:
+    """As ``search``, but a query meets only the rows of its ``probes`` nearest cells (as many as the index says, unless given).
+
+    Hits that stand in other cells are missed; ``recall_of`` measures how many.
+    """
+    rows, centres, needed = index
+    spark = rows.sparkSession
+    probes = min(probes or needed, len(centres))
+    ids = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    splits = max(1, -(-ids.count() // block))
+    out = None
+    for i in range(splits):
+        part = ids.filter(F.pmod(F.xxhash64("k"), F.lit(splits)) == i).collect()
+        if not part:
+            continue
+        q_ids, q = np.array([r["k"] for r in part]), _unit(np.array([r["v"] for r in part], dtype=np.float64))
+        near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+        asks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        sent = spark.sparkContext.broadcast((q_ids, q, asks))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            q_ids, q, asks = sent.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                for c, x in b.groupby("cell", sort=False):
+                    on = asks.get(int(c))
+                    if on is None:
+                        continue
+                    keys = x["k"].to_numpy()
+                    s = q[on] @ _unit(np.stack(x["v"].to_numpy()).astype(np.float64)).T
+                    s[q_ids[on][:, None] == keys[None, :]] = -np.inf
+                    for j, row in zip(on, s):
+                        have = best.get(int(j))
+                        all_s, all_k = (row, keys) if have is None else (np.concatenate([have[0], row]), np.concatenate([have[1], keys]))
+                        order = np.lexsort((all_k, -all_s))[:k]
+                        best[int(j)] = all_s[order], all_k[order]
+            for j, (s, hit) in best.items():
+                m = np.isfinite(s)
+                yield pd.DataFrame({"query_id": q_ids[j], "hit_id": hit[m], "score": s[m]})
+
+        hits = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), "cell").filter(F.col("cell").isin([int(c) for c in asks])).mapInPandas(run, "query_id long, hit_id long, score double")
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank int, hit_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "hit_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "hit_id", "score")
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact hits that were found."""
+    both = exact.select("query_id", "hit_id").join(found.select("query_id", "hit_id", F.lit(1).alias("_f")), ["query_id", "hit_id"], "left")
+    return float(both.agg(F.coalesce(F.avg(F.coalesce("_f", F.lit(0))), F.lit(1.0))).first()[0])
+
+
 def interview_progress(turns: DataFrame, session: str, order: list[str], wants_more: Column, most: int = 2) -> DataFrame:
     """``session``, turns, answered, open_followups: at most ``most`` follow-ups to a question, then the next one.
 

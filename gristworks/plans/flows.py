@@ -19,6 +19,12 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return Sim.search(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding").select("query_id", "rank", "hit_id", F.round("score", 4).alias("score"))
 
 
+def vector_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an index: rows that stand in far cells may be missed."""
+    e = table(spark, d, "embeddings")
+    return Sim.search_index(Sim.build_index(e, "vec_id", "embedding"), e.filter("vec_id % 100 = 0"), "vec_id", "embedding").select("query_id", "rank", "hit_id", F.round("score", 4).alias("score"))
+
+
 def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each vector with that of the smallest id."""
     e = table(spark, d, "embeddings")
@@ -77,7 +83,7 @@ def stream_new_posts(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(log)
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_cosine, fuzzy_clusters, session_progress, source_joblist, source_posts, source_notes, stream_event_counts, stream_new_posts)}
+QUERIES = {f.__name__: f for f in (vector_search, vector_indexed, vector_cosine, fuzzy_clusters, session_progress, source_joblist, source_posts, source_notes, stream_event_counts, stream_new_posts)}
 
 _s = S.strip
 ORACLES = {
