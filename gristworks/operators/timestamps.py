@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import table
+from ..session import cut, table
 from .skew import join_unique
 
 # Offsets in minutes of zone abbreviations; one with two meanings has two.
@@ -230,6 +230,7 @@ def normalise(df: DataFrame, key: str, value: str, source: str, seen: str, zones
     # sources without a zone share one mixture, so there are no more mixtures than zones
     own = F.when(F.col("_tz").isNotNull(), F.col("_source")).otherwise(F.lit(""))
     parsed = rows.withColumn("_c", _candidates("_value", "_seen", "_tz")).select("_key", "_source", "_seen", "_c", own.alias("_ms"))
+    parsed = cut(parsed, "times")  # read for the counts and again for the choice, parsed once
     marks = F.transform("_c", lambda c: F.concat_ws("|", c["rule"], _bucket(c["ms"], F.col("_seen"))))
     counts = (
         parsed.filter(F.size("_c") > 0)
