@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -61,8 +62,20 @@ def pages(text: str) -> list[list[tuple[int, str]]]:
     return [p for p in out if any(x.strip() for _, x in p)]
 
 
-_FOLD = str.maketrans("015862cеi", "olsbbzeel")
-_SENTENCE = re.compile(f"[。！？!?；;，]|[.,:：—]\\s*$|[a-z], |[a-z]\\.\\s+[A-Z]|{HYPHEN.pattern}")
+# Common misreadings, folded onto one sign (lower case, after all other signs are gone).
+_FOLD = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("0", "o"), ("1", "l"), ("5", "s"), ("c", "e"), ("i", "l")]
+_STOPS = re.compile("[。！？!?；;，]")
+_COMMA, _FULL_STOP = re.compile("[a-z], "), re.compile(r"[a-z]\.\s+[A-Z]")
+
+
+def is_sentence(line: str) -> bool:
+    """Whether a line has the signs of a sentence: a stop or comma within, a sign at its end that leads on, a divided word."""
+    if _STOPS.search(line):
+        return True
+    last = line.rstrip()[-1:]
+    if last and (last in ".,:：—" or last in HYPHENS and HYPHEN.search(line)):
+        return True
+    return ", " in line and bool(_COMMA.search(line)) or "." in line and bool(_FULL_STOP.search(line))
 
 
 _OTHER = re.compile(r"[^a-z一-鿿015]+")
@@ -76,9 +89,15 @@ def title_key(line: str) -> str:
     """A line without what differs between repetitions: figures, signs, blanks, roman numbers and common misreadings."""
     s = _OTHER.sub(" ", line.lower())
     if _FOLDED.search(s):
-        s = _FIGURE.sub(" ", s).replace("rn", "m").replace("vv", "w").replace("cl", "d").translate(_FOLD)
+        s = _FIGURE.sub(" ", s)
+        for seen, one in _FOLD:
+            s = s.replace(seen, one)
     s = s.replace(" ", "")
-    return SENTENCE_MARK + s if s and _SENTENCE.search(line) else s
+    return SENTENCE_MARK + s if s and is_sentence(line) else s
+
+
+#: The same, remembered: short lines come again.
+_key = lru_cache(maxsize=100_000)(title_key)
 
 
 #: Edits in which a line may differ from a title: one for so many characters of its key.
@@ -232,7 +251,7 @@ def _count(text: str, counts: dict[str, Counter]) -> Iterator[str]:
     """Counts lines, edges, words and compounds of a text; gives its paragraphs with Chinese characters, in lower case."""
     all_pages = pages(text)
     for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
-        keys = {n: title_key(x) for n, x in page if n not in numbers}
+        keys = {n: _key(x) if len(x) <= 100 else title_key(x) for n, x in page if n not in numbers}
         counts["line"].update(_hash(k) for k in keys.values() if k)
         counts["edge"].update(k for n in edges if (k := keys.get(n)))
         for _, x in page:
