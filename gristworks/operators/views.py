@@ -54,7 +54,7 @@ def company_role(df: DataFrame, title: str, tags: str, text: str) -> DataFrame:
     """``df`` with found_company and found_role: from the title, else the tags, else aliases anywhere; the role hint of the title wins."""
     t = title_parts(F.coalesce(title, F.lit("")))
     tag_list = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.regexp_replace(X.strip(x), "^#+", ""))
-    named = F.get(F.filter(F.transform(tag_list, X.alias_in), lambda x: x.isNotNull()), F.lit(0))
+    named = F.get(F.filter(F.transform(tag_list, lambda x: X.alias_in(x)), lambda x: x.isNotNull()), F.lit(0))
     role_tag = F.get(F.filter(tag_list, lambda x: X.has(x, ROLE_SIGN) & X.alias_in(x).isNull()), F.lit(0))
     labels = F.create_map(*[F.lit(x) for rid, _, term, _ in ROLES for x in (rid, term)])
     d = df.withColumn("_t", t).withColumn("_r", F.coalesce(F.col("_t.role"), _clean_role(role_tag)))

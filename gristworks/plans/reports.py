@@ -137,7 +137,19 @@ _esc = lambda x: f"replace(replace(replace(replace(replace({x},'&','&amp;'),'<',
 _n = lambda c: f"lower({S.strip(f'''coalesce({c},'')''')})"
 _round_role = lambda x: S.strip(S.sub(S.sub(S.strip(x), V.ROUND_END, "", "i"), r"[_\-—|｜][^\n]*$", "", ""))
 
+_form = lambda p, i: f"regexp_extract(t, {S.lit('(?i)' + p)}, {i})"
+_parts = "".join(f", {_form(p, 1)} AS w{n}, {_round_role(_form(p, 2))} AS o{n}" for n, p in enumerate((V.TITLE_FORM, V.LOOSE_FORM)))
+_is = lambda n: f"length(w{n}) > 0 AND length(o{n}) > 0 AND {S.has(f'o{n}', V.ROLE_SIGN)}"
+_named = lambda n: f"CASE WHEN NOT regexp_full_match(w{n}, '20[0-9][0-9]') THEN {S.company(f'w{n}')} END"
+_terms = lambda x: "CASE " + x + " " + " ".join(f"WHEN {S.lit(r[0])} THEN {S.lit(r[2])}" for r in ROLES) + " END"
+
 ORACLES = {
+    "note_company_role": f"""WITH n AS (SELECT export_row, title, desc_text, {S.strip(S.sub(S.strip("coalesce(title,'')"), rf"^【[^】]*】{WS}*", "", ""))} AS t, {S.each("coalesce(tags,[])", lambda v: S.sub(S.strip(v), "^#+", "", ""), "g")} AS g FROM xhs_mediacrawler_export),
+      p AS (SELECT *, length(t) >= 4 AS long {_parts} FROM n),
+      k AS (SELECT *, CASE WHEN long AND {_is(0)} THEN {_named(0)} WHEN long AND {_is(1)} THEN {_named(1)} END AS c, CASE WHEN long AND {_is(0)} THEN o0 WHEN long AND {_is(1)} THEN o1 END AS o, (SELECT arg_min(a, i) FROM (SELECT {S.alias_in("x")} AS a, i FROM (SELECT unnest(g) AS x, generate_subscripts(g,1) AS i)) WHERE a IS NOT NULL) AS tag_company,
+        (SELECT arg_min(x, i) FROM (SELECT unnest(g) AS x, generate_subscripts(g,1) AS i) WHERE {S.has("x", V.ROLE_SIGN)} AND {S.alias_in("x")} IS NULL) AS tag_role FROM p),
+      m AS (SELECT *, coalesce(o, {_round_role("tag_role")}) AS role FROM k)
+      SELECT export_row, coalesce(c, tag_company, {S.alias_in("title")}, {S.alias_in("desc_text")}) AS found_company, coalesce({_terms(f"coalesce({S.role_id('title')}, {S.role_id('role')})")}, nullif(role,'')) AS found_role FROM m""",
     "post_lines": f"SELECT post_id, array_to_string({_LINES}, chr(12)) AS lines FROM posts",
     "post_html": f"""SELECT post_id, array_to_string({S.each(_LINES, lambda v: f"CASE WHEN length({v}) = 0 THEN '<br>' ELSE '<p class=\"' || CASE WHEN regexp_matches({v}, {S.lit(rf'^{WS}*(?:[0-9]+[.、)）]|[-•●▪]{WS}+)')}) THEN 'post-line bullet' ELSE 'post-line' END || '\">' || {_esc(v)} || '</p>' END", "w")}, chr(10)) AS html FROM posts""",
     "title_forms": f"""SELECT job_id, CASE WHEN length(raw) > 0 AND length(r) > 0 AND {S.has("r", V.ROLE_SIGN)} THEN r WHEN length(raw2) > 0 AND length(r2) > 0 AND {S.has("r2", V.ROLE_SIGN)} THEN r2 END AS role FROM (SELECT job_id, regexp_extract(t, {S.lit('(?i)' + V.TITLE_FORM)}, 1) AS raw, {_round_role(f"regexp_extract(t, {S.lit('(?i)' + V.TITLE_FORM)}, 2)")} AS r,
