@@ -85,6 +85,12 @@ def speaks_of(hint: Column, role: str) -> Column:
     return (F.length(h) > 0) & F.exists(F.array(*map(F.lit, names)), lambda a: h.contains(a) | a.contains(h))
 
 
+def first_corpus(hints: DataFrame, role: str) -> DataFrame:
+    """corpus, place: of saved corpora (``hints``: corpus, place, hint) the first that speaks of a role; no row where none does."""
+    fit = hints.filter(speaks_of(F.col("hint"), role)).groupBy("corpus").agg(F.min("place").alias("place"))
+    return fit.orderBy("place", "corpus").limit(1)
+
+
 def with_verdicts(posts: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """``posts`` (with drop_reason of the gate) with outcome: a saved verdict (key, keep) decides, the gate where there is none; junk is junk."""
     v = verdicts.groupBy(F.col("key").alias("_key")).agg(F.max_by("keep", "at").alias("_keep"))

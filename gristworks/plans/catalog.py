@@ -211,6 +211,12 @@ def corpus_hints(spark: SparkSession, d: str) -> DataFrame:
     return p.agg(*[F.count_if(K.speaks_of(F.col("h"), r)).alias(n) for r, n in (("数据开发", "data"), ("Agent 开发", "agent"), ("硬件测评", "other"))])
 
 
+def fallback_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The first of the saved corpora (here: the posts of a batch, latest first) that speaks of Agent development."""
+    p = spread(table(spark, d, "posts")).select(F.col("batch_no").alias("corpus"), (-F.col("batch_no")).alias("place"), F.substring(F.coalesce(F.nullif(F.col("raw_text"), F.lit("")), F.col("content_text")), 1, 120).alias("hint"))
+    return K.first_corpus(p, "Agent 开发")
+
+
 def bank_clean(spark: SparkSession, d: str) -> DataFrame:
     return K.clean(table(spark, d, "questions").select("question_id", "text"))
 
@@ -344,7 +350,7 @@ def vision_queue(spark: SparkSession, d: str) -> DataFrame:
     return p.select("post_id", F.array_join(F.slice("asset_paths", 1, 4), ",").alias("images"))
 
 
-QUERIES = {f.__name__: f for f in (jd_coverage, posts_saved, post_company_label, question_rows, verdict_funnel, post_preset, job_activity_any, vision_queue, role_ids, post_annotated, post_role_set, post_fits_roles, post_off_bank, company_presets, topic_options, company_order, job_order, post_order, question_order, snapshot_list, snapshot_jobs, bank_list, banks_for_role, report_taxonomy, report_clusters, pending_answers, question_answers, post_verdicts, clusters_rejoined, sources_union, keyword_union, tag_union, job_queries, portal_types, corpus_hints, bank_clean, source_diagnosis, role_batches, dates_coerced, payload_dates, uploads, search_in_label, queue_due, queue_stalest, known_ids, notes_last)}
+QUERIES = {f.__name__: f for f in (jd_coverage, posts_saved, post_company_label, question_rows, verdict_funnel, post_preset, job_activity_any, vision_queue, role_ids, post_annotated, post_role_set, post_fits_roles, post_off_bank, company_presets, topic_options, company_order, job_order, post_order, question_order, snapshot_list, snapshot_jobs, bank_list, banks_for_role, report_taxonomy, report_clusters, pending_answers, question_answers, post_verdicts, clusters_rejoined, sources_union, keyword_union, tag_union, job_queries, portal_types, corpus_hints, fallback_corpus, bank_clean, source_diagnosis, role_batches, dates_coerced, payload_dates, uploads, search_in_label, queue_due, queue_stalest, known_ids, notes_last)}
 
 _case = lambda x, pairs: f"CASE {x} {' '.join(f'WHEN {S.lit(a)} THEN {S.lit(b)}' for a, b in pairs)} END"
 _LABELS = [(x, r[0]) for r in ROLES for x in dict.fromkeys((r[1], r[2]))]
@@ -424,6 +430,7 @@ ORACLES = {
       SELECT role_id, query, min(i)::INT AS place FROM q WHERE NOT contains(query, '面经') AND length(query) > 0 GROUP BY 1, 2""",
     "portal_types": "SELECT job_id, CASE WHEN contains(lower(coalesce(CASE WHEN batch_no % 3 = 0 THEN url || '/Campus/x' ELSE url END,'')), '/campus/') THEN 3 ELSE 2 END AS portal FROM jobs",
     "corpus_hints": "SELECT " + ", ".join(f"count(*) FILTER (length(h) > 0 AND {_spoken(r)}) AS {n}" for r, n in (("数据开发", "data"), ("Agent 开发", "agent"), ("硬件测评", "other"))) + f" FROM (SELECT lower({S.squeezed('''coalesce(substr(coalesce(nullif(raw_text,''),content_text),1,120),'')''')}) AS h FROM posts)",
+    "fallback_corpus": f"SELECT batch_no AS corpus, -batch_no AS place FROM (SELECT batch_no, lower({S.squeezed('''coalesce(substr(coalesce(nullif(raw_text,''),content_text),1,120),'')''')}) AS h FROM posts) WHERE length(h) > 0 AND {_spoken('Agent 开发')} GROUP BY batch_no ORDER BY place LIMIT 1",
     "bank_clean": f"SELECT question_id, t AS text FROM (SELECT question_id, {S.clean_question('''coalesce(text,'')''')} AS t FROM questions) WHERE {B._isq('t')}",
     "source_diagnosis": f"SELECT source, count(*) AS merged, count(*) FILTER (f) AS in_role, count(*) FILTER (NOT f) AS dropped, count(*) FILTER (f AND {_within(90)}) AS recent_90, count(*) FILTER (f AND {_within(365)}) AS recent_365, count(*) FILTER (f) >= 100 AS enough FROM (SELECT source, posted_at, {_fits('data')} AS f FROM ({_roled(f'(SELECT * EXCLUDE (h, b) FROM ({_ANNOTATED}))')})) GROUP BY 1",
     "role_batches": f"WITH p AS (SELECT post_id, coalesce({S.role_id('role')},'') AS role_id, coalesce(nullif(url,''), substr(raw_text,1,80)) AS key FROM posts WHERE length({S.strip('''coalesce(raw_text,'')''')}) > 0) SELECT role_id, count(*) AS post_count, min(f) AS first FROM (SELECT role_id, key, min(post_id) AS f FROM p GROUP BY 1, 2) GROUP BY 1",
