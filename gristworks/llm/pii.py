@@ -3,8 +3,8 @@
 Method: weak supervision.  Generous patterns propose spans; labelers (strict pattern, gazetteer, checks of the value, words around
 it) vote for or against each.  Expectation-maximisation over the counts of equal vote patterns of all spans
 estimates how reliable each labeler is; its posteriors are the soft labels on which a final logistic span
-classifier is trained, which also sees the shape of the span.  Every span of the corpus enters through the counts, so nothing is
-sampled, and the driver sees only distinct patterns, of which there are a bounded number.
+classifier is trained, which weighs them with the characters around a span.  Every span of the corpus enters the
+estimation through the counts; the classifier is fitted on a bounded part of them (``TRAINED_ON`` a type) and judges all.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,22 +249,54 @@ def label_model(patterns: list[tuple[str, int]], rounds: int = 60) -> np.ndarray
     return q
 
 
-def span_classifier(patterns: list[tuple[str, int]], q: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Probability of each pattern by a logistic model over votes and shape, trained on the soft labels."""
-    shapes = sorted({p.split("|")[1] for p, _ in patterns})
-    x = np.array([[1.0] + [float(_sign(c) == v) for c in p.split("|")[0] for v in (1, -1)] + [float(p.split("|")[1] == s) for s in shapes] for p, _ in patterns])
-    w = np.log1p([k for _, k in patterns])  # a frequent pattern counts more, but not alone
-    w = w / w.sum()
-    b = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ b))
-        b -= 4.0 * (x.T @ (w * (p - q)) + 0.0005 * b)
-    return 1 / (1 + np.exp(-x @ b))
+#: Spans of a type on which its classifier is fitted at most (those with the smallest hashes).
+TRAINED_ON = 20_000
+#: Features of the words around a span: one to three characters on each side, hashed.
+AROUND, BUCKETS = 3, 16_384
+
+
+def around(left: str, right: str) -> list[int]:
+    """Buckets of what stands before and after a span."""
+    ends = [f"l{left[-n:]}" for n in range(1, AROUND + 1)] + [f"r{right[:n]}" for n in range(1, AROUND + 1)]
+    return [xxhash.xxh32_intdigest(e) % BUCKETS for e in ends]
+
+
+class SpanClassifier:
+    """A logistic model over the labelers' posterior and the characters around a span, fitted on the soft labels that are sure.
+
+    What stands around is fitted by itself, without the votes, so that it says what they do not; a span's odds are those of its votes
+    times those of what stands around it, and characters that were never seen change nothing.
+    """
+
+    def __init__(self) -> None:
+        self.base, self.context = 0.0, np.zeros(BUCKETS)
+
+    @classmethod
+    def fitted(cls, sides: list[tuple[str, str]], q: np.ndarray, n: np.ndarray, rounds: int = 300) -> SpanClassifier:
+        """``sides``: (left, right) of spans with soft label ``q``, ``n`` of each.  A label counts from 0.95 (or 0.05) on, by how sure it is."""
+        c = cls()
+        at = np.array([around(a, b) for a, b in sides])
+        w = n * np.maximum(np.abs(2 * q - 1) - 0.9, 0.0)
+        if not w.sum():
+            return c
+        w = w / w.sum()
+        for _ in range(rounds):
+            g = w * (1 / (1 + np.exp(-(c.base + c.context[at].sum(1)))) - q)
+            c.base -= 2.0 * g.sum()
+            c.context -= 2.0 * (np.bincount(at.ravel(), np.repeat(g, at.shape[1]), BUCKETS) + 0.003 * c.context)
+        return c
+
+    def __call__(self, q: np.ndarray, left: list[str], right: list[str]) -> np.ndarray:
+        if not len(q):
+            return np.zeros(0)
+        at = np.array([around(a, b) for a, b in zip(left, right)])
+        q = np.clip(q, 1e-6, 1 - 1e-6)
+        return 1 / (1 + np.exp(-(np.log(q / (1 - q)) + self.context[at].sum(1))))
 
 
 PATTERN_BOUND = 20_000
 GIVEN_BOUND = 200_000
-_SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("votes", T.StringType())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("votes", T.StringType()), T.StructField("l", T.StringType()), T.StructField("r", T.StringType())]))
 
 
 def given_names(texts: DataFrame, column: str, families: int = 2, least: int = 3) -> DataFrame:
@@ -278,8 +311,8 @@ def given_names(texts: DataFrame, column: str, families: int = 2, least: int = 3
     return cut(known.filter((F.col("f") >= families) & (F.col("n") >= least)).select("given"), "given-names")
 
 
-def _as_rows(found_: list[tuple[str, int, int, str]]) -> list[dict]:
-    return [{"type": t, "a": a, "b": b, "votes": v} for t, a, b, v in found_]
+def _as_rows(text: str, found_: list[tuple[str, int, int, str]]) -> list[dict]:
+    return [{"type": t, "a": a, "b": b, "votes": v, "l": text[max(0, a - AROUND) : a], "r": text[b : b + AROUND]} for t, a, b, v in found_]
 
 
 def maybe_given(text: str) -> set[str]:
@@ -307,14 +340,14 @@ def _spans_by_join(texts: DataFrame, column: str, given: DataFrame) -> DataFrame
 
     @F.pandas_udf(_SPANS)
     def run(t: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([_as_rows(spans(x, frozenset(y if y is not None else ()))) for x, y in zip(t, g)], dtype=object)
+        return pd.Series([_as_rows(x, spans(x, frozenset(y if y is not None else ()))) for x, y in zip(t, g)], dtype=object)
 
     done = each.join(mine, "_h", "left").select("_h", "_n", run.asNondeterministic()("_text", "_given").alias("_all"))
     return join_unique(marked, cut(done, "pii-found"), "_h", "_n").drop("_h")
 
 
 def proposals(texts: DataFrame, keys: list[str], column: str, held: int = GIVEN_BOUND) -> DataFrame:
-    """``keys``, type, a, b, votes of every proposed span, written to the shared folder.
+    """``keys``, type, a, b, votes, l, r (characters around) of every proposed span, written to the shared folder.
 
     The learned given names go out to the workers while they are at most ``held``; more are joined to what each text asks for.
     """
@@ -328,12 +361,12 @@ def proposals(texts: DataFrame, keys: list[str], column: str, held: int = GIVEN_
         @F.pandas_udf(_SPANS)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                yield pd.Series([_as_rows(spans(x, sent.value)) if x else [] for x in s], dtype=object)
+                yield pd.Series([_as_rows(x, spans(x, sent.value)) if x else [] for x in s], dtype=object)
 
         # nondeterministic for the optimiser: else it is computed again for the filter that the explode brings
         spotted = texts.withColumn("_all", run.asNondeterministic()(F.col(column)))
     rows = spotted.select(*keys, F.explode("_all").alias("_s"))
-    return cut(rows.select(*keys, "_s.type", "_s.a", "_s.b", "_s.votes"), "pii-spans")
+    return cut(rows.select(*keys, "_s.type", "_s.a", "_s.b", "_s.votes", "_s.l", "_s.r"), "pii-spans")
 
 
 def judged(spans_: DataFrame) -> DataFrame:
@@ -341,14 +374,37 @@ def judged(spans_: DataFrame) -> DataFrame:
     rows = spans_.groupBy("type", "votes").agg(F.count(F.lit(1)).alias("n")).limit(PATTERN_BOUND + 1).collect()
     if len(rows) > PATTERN_BOUND:
         raise ValueError("more vote patterns than labelers can give")
-    scored = []
+    soft: dict[tuple[str, str], float] = {}
+    total: dict[str, int] = {}
     for t in TYPES:
         patterns = sorted((r["votes"], r["n"]) for r in rows if r["type"] == t)
         if patterns:
-            p = span_classifier(patterns, label_model(patterns))
-            scored += [(t, v, float(x)) for (v, _), x in zip(patterns, p)]
-    model = spans_.sparkSession.createDataFrame(scored, "type string, votes string, p double")
-    return spans_.join(F.broadcast(model), ["type", "votes"])
+            soft |= {(t, v): float(x) for (v, _), x in zip(patterns, label_model(patterns))}
+            total[t] = sum(n for _, n in patterns)
+    # of a type with more spans than the classifier needs a part, even over their hashes
+    part = F.lit(1 << 30)
+    for t, n in total.items():
+        if n > TRAINED_ON:
+            part = F.when(F.col("type") == t, int((1 << 30) * TRAINED_ON / n)).otherwise(part)
+    h = F.pmod(F.xxhash64(*spans_.columns), F.lit(1 << 30))
+    some = spans_.filter(h < part).groupBy("type", "votes", "l", "r").agg(F.count(F.lit(1)).alias("n")).limit(2 * TRAINED_ON * len(TYPES)).collect()
+    models = {}
+    for t in total:
+        mine = sorted((r["votes"], r["l"], r["r"], r["n"]) for r in some if r["type"] == t)
+        if mine:
+            models[t] = SpanClassifier.fitted([m[1:3] for m in mine], np.array([soft[t, m[0]] for m in mine]), np.array([m[3] for m in mine], dtype=float))
+    sent = spans_.sparkSession.sparkContext.broadcast((models, soft))
+
+    @F.pandas_udf("double")
+    def p(kind: pd.Series, votes: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+        out = np.zeros(len(kind))
+        for t, model in sent.value[0].items():
+            on = np.flatnonzero(kind == t)
+            if len(on):
+                out[on] = model(np.array([sent.value[1][t, v] for v in votes.iloc[on]]), left.iloc[on].tolist(), right.iloc[on].tolist())
+        return pd.Series(out)
+
+    return spans_.withColumn("p", p.asNondeterministic()("type", "votes", "l", "r"))
 
 
 def found(texts: DataFrame, keys: list[str], column: str, least: float = 0.5) -> DataFrame:
