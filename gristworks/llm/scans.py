@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
-from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -38,7 +37,7 @@ PAGE_NO = re.compile(
 )
 # Marks that a scanner leaves where a word is divided.
 HYPHENS = "-‐‑¬­–—"
-HYPHEN = re.compile(f"[A-Za-z][{HYPHENS}]\\s*$")
+_HYPHEN, _LETTERS = frozenset(HYPHENS), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 # What a scanner reads -> what was printed (lower case).
 CONFUSIONS = [("c", "e"), ("e", "c"), ("0", "o"), ("1", "l"), ("1", "i"), ("i", "l"), ("l", "i"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("2", "z"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("h", "b"), ("nn", "m")]
 # Printed characters of which both may stand in a text and which a scanner takes for one another.
@@ -48,23 +47,31 @@ for _p in SIMILAR:
     _PAIRS.setdefault(_p[0], set()).add(_p[1])
     _PAIRS.setdefault(_p[1], set()).add(_p[0])
 WORD = re.compile(r"[A-Za-z0-9]+")
-HAN = re.compile(r"[一-鿿]")
+_WORD_SIGNS = _LETTERS | frozenset("0123456789")
 
 
 def pages(text: str) -> list[list[tuple[int, str]]]:
     """Pages of a text as (line number from 1, line); the project's marker lines part pages and belong to none."""
     out: list[list[tuple[int, str]]] = [[]]
-    for n, line in enumerate(text.split("\n"), 1):
-        if MARKER.fullmatch(line):
-            out.append([])
-        else:
-            out[-1].append((n, line))
+    lines = list(enumerate(text.split("\n"), 1))
+    first = 0
+    for n in [n for n, x in lines if x[:1] == "[" and MARKER.fullmatch(x)]:
+        out[-1] = lines[first : n - 1]
+        out.append([])
+        first = n
+    out[-1] = lines[first:]
     return [p for p in out if any(x.strip() for _, x in p)]
 
 
+def divides(line: str) -> bool:
+    """Whether a line, without blanks at its end, ends in a letter and a hyphen."""
+    return line[-1:] in _HYPHEN and line[-2:-1] in _LETTERS
+
+
 # Common misreadings, folded onto one sign (lower case, after all other signs are gone).
 _FOLD = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("0", "o"), ("1", "l"), ("5", "s"), ("c", "e"), ("i", "l")]
-_STOPS = re.compile("[。！？!?；;，]")
+_STOP_SIGNS, _LEADS_ON = "。！？!?；;，", frozenset(".,:：—")
+_STOPS = re.compile(f"[{_STOP_SIGNS}]")
 _COMMA, _FULL_STOP = re.compile("[a-z], "), re.compile(r"[a-z]\.\s+[A-Z]")
 
 
@@ -72,8 +79,8 @@ def is_sentence(line: str) -> bool:
     """Whether a line has the signs of a sentence: a stop or comma within, a sign at its end that leads on, a divided word."""
     if _STOPS.search(line):
         return True
-    last = line.rstrip()[-1:]
-    if last and (last in ".,:：—" or last in HYPHENS and HYPHEN.search(line)):
+    line = line.rstrip()
+    if line[-1:] in _LEADS_ON or divides(line):
         return True
     return ", " in line and bool(_COMMA.search(line)) or "." in line and bool(_FULL_STOP.search(line))
 
@@ -96,8 +103,61 @@ def title_key(line: str) -> str:
     return SENTENCE_MARK + s if s and is_sentence(line) else s
 
 
-#: The same, remembered: short lines come again.
-_key = lru_cache(maxsize=100_000)(title_key)
+def _of_signs(test) -> np.ndarray:
+    """``test`` of each code point of one unit of UTF-16; the last, which is no character, stands for all beyond."""
+    return np.array([test(chr(i)) for i in range(0xFFFF)] + [test("\uffff")])
+
+
+_KEPT = np.array([i if i == 10 or not _OTHER.match(chr(i)) else 32 for i in range(0x10000)], np.uint32)
+_STOP, _LEAD, _DIVIDE, _LETTER, _SPACE = (_of_signs(s) for s in (lambda x: x in _STOP_SIGNS, _LEADS_ON.__contains__, _HYPHEN.__contains__, _LETTERS.__contains__, str.isspace))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _sentences(lines: list[str], text: str) -> np.ndarray:
+    """Numbers of the lines for which ``is_sentence`` holds; ``text`` is all of them."""
+    c = np.concatenate([[10], np.minimum(_codes(text), 0xFFFF), [10, 10]])
+    ends = np.flatnonzero(c == 10)[:-1]  # line i lies between ends i and i + 1
+    found = [np.flatnonzero(_STOP[c])]
+    comma, stop = np.flatnonzero(c == 44), np.flatnonzero(c == 46)
+    small = lambda at: (c[at] >= 97) & (c[at] <= 122)
+    found.append(comma[small(comma - 1) & (c[comma + 1] == 32)])
+    filled = np.flatnonzero(~_SPACE[c])
+    before = np.searchsorted(filled, ends[1:])
+    last = filled[before[before > 0] - 1]
+    found.append(last[_LEAD[c[last]] | _DIVIDE[c[last]] & _LETTER[c[last - 1]]])
+    sure = np.unique(np.searchsorted(ends, np.concatenate(found)) - 1)
+    maybe = np.unique(np.searchsorted(ends, stop[small(stop - 1) & _SPACE[c[stop + 1]] & (c[stop + 1] != 10)]) - 1)
+    return np.union1d(sure, [i for i in maybe if _FULL_STOP.search(lines[i])]).astype(int)
+
+
+def title_keys(lines: list[str]) -> list[str]:
+    """``title_key`` of each line, computed for all signs of the lines at once."""
+    if not lines:
+        return []
+    text = "\n".join(lines)
+    k = _KEPT[np.minimum(_codes(text.lower()), 0xFFFF)]
+    letter, word, roman = np.zeros((3, len(k) + 2), bool)
+    letter[1:-1], word[1:-1] = (k >= 97) & (k <= 122), k > 32
+    roman[1:-1] = (k == 105) | (k == 118) | (k == 120)
+    # figures that touch no letter
+    k[(k >= 48) & (k <= 53) & ~letter[:-2] & ~letter[2:]] = 32
+    # roman numbers that touch no other sign: from a first sign to a last one
+    first = np.flatnonzero(roman[1:-1] & ~roman[:-2])
+    last = np.flatnonzero(roman[1:-1] & ~roman[2:])
+    alone = ~word[first] & ~word[last + 2]
+    for a, b in zip(first[alone].tolist(), last[alone].tolist()):
+        k[a : b + 1] = 32
+    s = k.tobytes().decode("utf-32-le")
+    for seen, one in _FOLD:
+        s = s.replace(seen, one)
+    keys = s.replace(" ", "").split("\n")
+    for i in _sentences(lines, text).tolist():
+        if keys[i]:
+            keys[i] = SENTENCE_MARK + keys[i]
+    return keys
 
 
 #: Edits in which a line may differ from a title: one for so many characters of its key.
@@ -164,19 +224,28 @@ def _number(line: str) -> int:
     return sum(-v if v < w else v for v, w in zip(values, [*values[1:], 0]))
 
 
+def line_of(page: list[tuple[int, str]], n: int) -> str:
+    """Line ``n`` of a page, whose lines are numbered without gaps."""
+    return page[n - page[0][0]][1]
+
+
 def _outer(page: list[tuple[int, str]]) -> tuple[set[int], list[int]]:
     """Line numbers of lines that may be page numbers, and of the outermost other lines (where a running title stands)."""
     numbers: set[int] = set()
     edges: list[int] = []
-    filled = [x for x in page if x[1].strip()]
-    for lines in (filled[:2], filled[:-3:-1]):
-        seen = False
+    for lines in (page, reversed(page)):
+        seen, left = False, 2
         for n, line in lines:
-            if PAGE_NO.fullmatch(line.strip()):
+            if not (line := line.strip()):
+                continue
+            if PAGE_NO.fullmatch(line):
                 numbers.add(n)
             elif not seen:
                 edges.append(n)
                 seen = True
+            left -= 1
+            if not left:
+                break
     return numbers, list(dict.fromkeys(edges))
 
 
@@ -187,13 +256,12 @@ def furniture(all_pages: list[list[tuple[int, str]]]) -> list[tuple[set[int], li
     has at most two pages, which is too few to show a sequence.
     """
     outer = [_outer(p) for p in all_pages]
-    lines = [dict(p) for p in all_pages]
-    values = [{n: _number(by[n]) for n in numbers} for by, (numbers, _) in zip(lines, outer)]
+    values = [{n: _number(line_of(p, n)) for n in numbers} for p, (numbers, _) in zip(all_pages, outer)]
     out = []
     for i, (numbers, edges) in enumerate(outer):
         kept = set()
         for n in numbers:
-            if _BARE.fullmatch(lines[i][n]):
+            if _BARE.fullmatch(line_of(all_pages[i], n)):
                 others = [(j, v) for j, vs in enumerate(values) if j != i for v in vs.values()]
                 if others and not any(v - values[i][n] == j - i for j, v in others) or not others and len(all_pages) > 2:
                     continue
@@ -224,13 +292,13 @@ def joined(page: list[tuple[int, str]], skip: set[int], compounds: Container[str
             continue
         if parts:
             last = parts[-1]
-            if HYPHEN.search(last) and line[0].isascii() and line[0].isalpha():
+            if last[-1] in _HYPHEN and line[0] in _LETTERS and divides(last):
                 cut_ = last.rstrip()[:-1]
                 if compounds and f"{_LAST.search(cut_)[0]}-{_NEXT.match(line)[0]}".lower() in compounds:
                     cut_ += "-"
                 size -= len(last) - len(cut_)
                 parts[-1] = cut_
-            elif last[-1].isascii() and line[0].isascii():
+            elif last[-1] < "\x80" and line[0] < "\x80":
                 parts.append(" ")
                 size += 1
         starts.append((size, n))
@@ -247,65 +315,82 @@ def _hash(key: str) -> int:
     return xxhash.xxh64_intdigest(key) - (1 << 63)
 
 
-def _count(text: str, counts: dict[str, Counter]) -> Iterator[str]:
-    """Counts lines, edges, words and compounds of a text; gives its paragraphs with Chinese characters, in lower case."""
-    all_pages = pages(text)
-    for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
-        keys = {n: _key(x) if len(x) <= 100 else title_key(x) for n, x in page if n not in numbers}
-        counts["line"].update(_hash(k) for k in keys.values() if k)
-        counts["edge"].update(k for n in edges if (k := keys.get(n)))
-        for _, x in page:
-            if "-" in x:
-                counts["compound"].update(_COMPOUND.findall(x.lower()))
-        for _, para in joined(page, numbers):
-            low = para.lower()
-            counts["word"].update(WORD.findall(low))
-            if HAN.search(low):
-                yield low
-
-
-def _triples(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of all characters in a row of three whose middle one is Chinese; 21 bits a character."""
-    c = np.frombuffer("\n".join(paragraphs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(c) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y, z = c[:-2], c[1:-1], c[2:]
-    ok = (y >= 0x4E00) & (y <= 0x9FFF) & (x != 10) & (z != 10)
-    return np.unique(x[ok] << 42 | y[ok] << 21 | z[ok], return_counts=True)
+def _triples(low: str) -> np.ndarray:
+    """Codes of all characters in a row of three whose middle one is Chinese; 21 bits a character."""
+    c = _codes(low)
+    at = np.flatnonzero((c >= 0x4E00) & (c <= 0x9FFF))
+    at = at[(at > 0) & (at < len(c) - 1)]
+    at = at[(c[at - 1] != 10) & (c[at + 1] != 10)]
+    x, y, z = (c[at + i].astype(np.int64) for i in (-1, 0, 1))
+    return x << 42 | y << 21 | z
+
+
+def _count(texts: list[str], counts: dict[str, Counter]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts edges, words and compounds of texts; gives hashes of their lines and codes of their triples, each as often as it stands there."""
+    lines: list[str] = []
+    edge: list[int] = []
+    dashed: list[str] = []
+    paragraphs: list[str] = []
+    for text in texts:
+        all_pages = pages(text)
+        for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
+            first = len(lines) - page[0][0]
+            edge += [first + n - sum(m < n for m in numbers) for n in edges]
+            lines += [x for n, x in page if n not in numbers]
+            paragraphs += [para for _, para in joined(page, numbers)]
+        if "-" in text:
+            dashed += [x for page in all_pages for _, x in page if "-" in x]
+    keys = title_keys(lines)
+    counts["edge"].update(k for i in edge if (k := keys[i]))
+    counts["compound"].update(_COMPOUND.findall("\n".join(dashed).lower()))
+    low = "\n".join(paragraphs).lower()
+    counts["word"].update(WORD.findall(low))
+    return np.array([_hash(k) for k in keys if k], np.int64), _triples(low)
 
 
 COUNTS = "kind string, item string, code long, n long"
-#: Characters of which a worker counts triples at a time, and entries it holds before it hands them on: bounds of memory, not of the counts.
-STRETCH, ENTRIES = 2_000_000, 400_000
+#: Signs of which a worker counts the lines at a time, triples or lines it holds before it counts them, and other entries: bounds of memory, not of the counts.
+SIGNS, STRETCH, ENTRIES = 200_000, 2_000_000, 400_000
 
 
 def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, Counter] = {k: Counter() for k in ("line", "edge", "word", "compound")}
-    paragraphs: list[str] = []
-    size = 0
+    counts: dict[str, Counter] = {k: Counter() for k in ("edge", "word", "compound")}
+    codes: dict[str, list[np.ndarray]] = {"line": [], "tri": []}
+    texts: list[str] = []
+
+    def count() -> None:
+        for k, c in zip(codes, _count(texts, counts)):
+            codes[k].append(c)
+        texts.clear()
 
-    def triples() -> pd.DataFrame:
-        codes, n = _triples(paragraphs)
-        paragraphs.clear()
-        return pd.DataFrame({"kind": "tri", "item": None, "code": codes, "n": n})
+    def coded(kind: str) -> pd.DataFrame:
+        code, n = np.unique(np.concatenate([np.zeros(0, np.int64), *codes[kind]]), return_counts=True)
+        codes[kind].clear()
+        return pd.DataFrame({"kind": kind, "item": None, "code": code, "n": n})
 
     def flush() -> pd.DataFrame:
-        rows = [(k, None, i, n) if k == "line" else (k, i, _hash(i) if k == "edge" else None, n) for k, c in counts.items() for i, n in c.items()]
+        rows = [(k, i, _hash(i) if k == "edge" else None, n) for k, c in counts.items() for i, n in c.items()]
         for c in counts.values():
             c.clear()
-        return pd.DataFrame(rows, columns=["kind", "item", "code", "n"]).astype({"code": "Int64"})
+        kind, item, code, n = zip(*rows) if rows else ((),) * 4
+        # beside nulls a column of numbers would be one of floats, which cannot hold a hash
+        return pd.DataFrame({"kind": kind, "item": item, "code": pd.array(code, "Int64"), "n": np.array(n, np.int64)})
 
+    size = 0
     for b in batches:
         for text in b["text"]:
-            for p in _count(text, counts):
-                paragraphs.append(p)
-                size += len(p)
-            if size > STRETCH:
-                yield triples()
+            texts.append(text)
+            size += len(text)
+            if size > SIGNS:
+                count()
                 size = 0
-        if sum(map(len, counts.values())) > ENTRIES:
-            yield flush()
-    yield triples()
+                for k, held in codes.items():
+                    if sum(map(len, held)) > STRETCH:
+                        yield coded(k)
+                if sum(map(len, counts.values())) > ENTRIES:
+                    yield flush()
+    count()
+    yield from map(coded, codes)
     yield flush()
 
 
@@ -405,31 +490,38 @@ class Repairer:
         for t in titles.values() if isinstance(titles, dict) else titles:
             for p in pieces(t or ""):
                 self.by_piece.setdefault(p, []).append(t)
-        marks = set(model["chars"]) | set(_PAIRS)
-        self.suspects = re.compile(f"[{''.join(sorted(marks))}]") if marks else None
+        #: What the pieces begin with: a line without any of it is close to no title.
+        self.begins = {p.split(":", 2)[2][: EDIT_EACH // 2] for p in self.by_piece}
+        marks = set(model["chars"]) | {p[1] for p in model["places"] if len(p) == 3}
+        self.suspects = re.compile(f"[{re.escape(''.join(sorted(marks)))}]") if marks else None
 
     def is_title(self, line: str) -> bool:
         """Whether a line at an edge is a learned title, or one misread in a few places."""
         key = title_key(line)
         if not key or key in self.m["titles"]:
             return bool(key)
-        near = {t for p in asked(key) for t in self.by_piece.get(p, ())} if self.by_piece else ()
+        g = EDIT_EACH // 2
+        if self.begins.isdisjoint([key[i : i + g] for i in range(len(key) - g + 1)]):
+            return False
+        near = {t for p in asked(key) for t in self.by_piece.get(p, ())}
         return any(within(key, t, _edits(t)) for t in near)
 
     def pages(self, text: str) -> Iterator[tuple[list[tuple[int, str]], set[int], set[int]]]:
         """(page, its page numbers, its titles) by line number."""
         all_pages = pages(text)
         for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
-            by = dict(page)
-            yield page, numbers, {n for n in edges if self.is_title(by[n])}
+            yield page, numbers, {n for n in edges if self.is_title(line_of(page, n))}
 
     def misreads(self, para: str) -> Iterator[tuple[int, int, str]]:
-        """(start, end, what was printed) of wrongly recognised words and characters."""
+        """(start, end, what was printed) of wrongly recognised words and characters, in no order."""
         low = para.lower()
-        for m in WORD.finditer(low):
-            right = self.m["words"].get(m[0])
-            if right:
-                yield m.start(), m.end(), _case(right, para[m.start() : m.end()])
+        for w in self.m["words"].keys() & WORD.findall(low):
+            a = low.find(w)
+            while a >= 0:
+                b = a + len(w)
+                if low[a - 1 : a] not in _WORD_SIGNS and low[b : b + 1] not in _WORD_SIGNS:
+                    yield a, b, _case(self.m["words"][w], para[a:b])
+                a = low.find(w, b)
         if self.suspects:
             for m in self.suspects.finditer(low):
                 i = m.start()
@@ -444,7 +536,7 @@ class Repairer:
         for page, numbers, heads in self.pages(text) if text and text.strip() else ():
             found += [(n, "page_no") for n in numbers] + [(n, "header") for n in heads]
             body = [(n, x) for n, x in page if n not in numbers and n not in heads]
-            found += [(n, "hyphen") for (n, x), (_, y) in zip(body, body[1:]) if HYPHEN.search(x) and y[:1].isascii() and y[:1].isalpha()]
+            found += [(n, "hyphen") for (n, x), (_, y) in zip(body, body[1:]) if y[:1] in _LETTERS and divides(x.rstrip())]
             bad = set()
             for starts, para in joined(page, numbers | heads, self.compounds):
                 for a, b, right in self.misreads(para):
@@ -471,7 +563,9 @@ class Repairer:
         return "\n\n".join(out)
 
 
-LINES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType())]))
+#: Kinds of noise; workers hand on a line and its kind as one number, which costs less than a structure.
+KINDS = ["header", "page_no", "hyphen", "misread"]
+LINES = T.ArrayType(T.LongType())
 
 
 def _asks(text: str) -> set[tuple[str, str]]:
@@ -479,8 +573,7 @@ def _asks(text: str) -> set[tuple[str, str]]:
     out: set[tuple[str, str]] = set()
     all_pages = pages(text)
     for page, (numbers, edges) in zip(all_pages, furniture(all_pages)):
-        by = dict(page)
-        heads = {n: k for n in edges if (k := title_key(by[n]))}
+        heads = {n: k for n in edges if (k := title_key(line_of(page, n)))}
         out |= {("titles", k) for k in heads.values()} | {("pieces", p) for k in heads.values() for p in asked(k)}
         # whether an edge is a title is not known yet: words at both sides of it may meet or not
         for skip in {frozenset(numbers), frozenset(numbers | set(heads)), *(frozenset(numbers | {n}) for n in heads)}:
@@ -488,7 +581,7 @@ def _asks(text: str) -> set[tuple[str, str]]:
                 low = para.lower()
                 out |= {("words", w) for w in WORD.findall(low)} | {("places", low[i - 1 : i + 2]) for i, c in enumerate(low) if i and c in _PAIRS}
         body = [x.strip() for _, x in page]
-        out |= {("compounds", f"{_LAST.search(a[:-1])[0]}-{_NEXT.match(b)[0]}".lower()) for i, a in enumerate(body) if HYPHEN.search(a) for b in body[i + 1 : i + 4] if _NEXT.match(b)}
+        out |= {("compounds", f"{_LAST.search(a[:-1])[0]}-{_NEXT.match(b)[0]}".lower()) for i, a in enumerate(body) if divides(a) for b in body[i + 1 : i + 4] if _NEXT.match(b)}
         out |= {("words", w) for c in [k for t, k in out if t == "compounds"] for w in c.split("-")}
     return out
 
@@ -560,5 +653,6 @@ def noisy_lines(df: DataFrame, keys: list[str], column: str, model: dict | None
     Null, empty and blank texts give no rows; repeated rows each give theirs; marker lines are no cases.
     """
     rows = df.filter(F.length(F.trim(column)) > 0).select(*keys, F.col(column).alias("_scan"))
-    found = _applied(rows, "_scan", model, held, lambda r, x: [{"line_no": n, "kind": k} for n, k in r.lines(x)], LINES)
-    return found.select(*keys, F.explode("_out").alias("_l")).select(*keys, "_l.line_no", "_l.kind")
+    found = _applied(rows, "_scan", model, held, lambda r, x: [n * len(KINDS) + KINDS.index(k) for n, k in r.lines(x)], LINES)
+    line, kind = F.floor(F.col("_l") / len(KINDS)).cast("int"), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("_l") % len(KINDS) + 1).cast("int"))
+    return found.select(*keys, F.explode("_out").alias("_l")).select(*keys, line.alias("line_no"), kind.alias("kind"))

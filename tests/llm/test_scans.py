@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 
 from gristworks.llm import scans
@@ -105,3 +107,61 @@ def test_joined_tables_give_what_tables_in_the_workers_give(spark, small):
     assert len(a) > 50 and a == b
     a = sorted(map(repr, scans.repair(df, "text").collect()))
     assert a == sorted(map(repr, scans.repair(df, "text", held=0).collect()))
+
+
+SIGNS = [*"aernclvmdwixIVOol015 2.,  :;?!？！；，-‐¬–\t\r\x0b\x85\u3000一二入已İΣςK\u00ad\U0001f600\n\n\n", "[图片 OCR 第 1 页]", " vi ", "Page 3 of 9", "back-\nl0g", ", a", "a. A", "rn", "10a", "项目i"]
+
+
+def odd(rng, most=60):
+    return "".join(rng.choice(SIGNS) for _ in range(rng.randint(0, most)))
+
+
+def test_keys_of_many_lines_at_once():
+    rng = random.Random(3)
+    for _ in range(300):
+        lines = [x for _ in range(8) for x in odd(rng).split("\n")]
+        assert scans.title_keys(lines) == [scans.title_key(x) for x in lines]
+    assert scans.title_keys([]) == [] and scans.title_keys([""]) == [""]
+
+
+def counted(texts, size):
+    got = Counter()
+    for f in scans._counting(iter(pd.DataFrame({"text": texts[i : i + size]}) for i in range(0, len(texts), size))):
+        for kind, item, code, n in zip(f["kind"], f["item"], f["code"], f["n"]):
+            got[kind, item, None if code is pd.NA else int(code)] += int(n)
+    return got
+
+
+def test_counts_are_those_of_each_text(monkeypatch):
+    rng = random.Random(4)
+    texts = [t for t in (odd(rng, 200) for _ in range(200)) if t.strip()]
+    want = Counter()
+    for text in texts:
+        for page, (numbers, edges) in zip(scans.pages(text), scans.furniture(scans.pages(text))):
+            for n, x in page:
+                if n not in numbers and (k := scans.title_key(x)):
+                    want["line", None, scans._hash(k)] += 1
+                    if n in edges:
+                        want["edge", k, scans._hash(k)] += 1
+                want.update(("compound", c, None) for c in scans._COMPOUND.findall(x.lower()))
+            for _, para in scans.joined(page, numbers):
+                low = para.lower()
+                want.update(("word", w, None) for w in scans.WORD.findall(low))
+                want.update(("tri", None, ord(x) << 42 | ord(y) << 21 | ord(z)) for x, y, z in zip(low, low[1:], low[2:]) if "一" <= y <= "\u9fff")
+    assert counted(texts, 1000) == want
+    for bound in ("SIGNS", "STRETCH", "ENTRIES"):
+        monkeypatch.setattr(scans, bound, 50)
+    assert counted(texts, 7) == want
+
+
+def test_only_lines_that_begin_a_piece_are_compared_with_titles(monkeypatch):
+    title = scans.title_key("Backend Handbook of Answers")
+    r = scans.Repairer({**MODEL, "titles": {title: title}})
+    assert r.is_title("Bqckend Hondbook of Answers") and not r.is_title("Backend Handbook of quite other things")
+    monkeypatch.setattr(scans, "asked", lambda key: pytest.fail("compared"))
+    assert not r.is_title("we put it into two queues")
+
+
+def test_a_misread_word_is_a_whole_word():
+    r = scans.Repairer(MODEL)
+    assert r.repair("xbackl0g Backl0g backl0gs,backl0g-backl0g9 backl0g") == "xbackl0g Backlog backl0gs,backlog-backl0g9 backlog"
