@@ -372,9 +372,8 @@ def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(k, i, _hash(i) if k == "edge" else None, n) for k, c in counts.items() for i, n in c.items()]
         for c in counts.values():
             c.clear()
-        kind, item, code, n = zip(*rows) if rows else ((),) * 4
-        # beside nulls a column of numbers would be one of floats, which cannot hold a hash
-        return pd.DataFrame({"kind": kind, "item": item, "code": pd.array(code, "Int64"), "n": np.array(n, np.int64)})
+        # as objects: beside nulls a column of numbers would be one of floats, which cannot hold a hash
+        return pd.DataFrame(rows, columns=["kind", "item", "code", "n"], dtype=object).astype({"code": "Int64", "n": "int64"})
 
     size = 0
     for b in batches:

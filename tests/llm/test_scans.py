@@ -154,6 +154,12 @@ def test_counts_are_those_of_each_text(monkeypatch):
     assert counted(texts, 7) == want
 
 
+def test_tasks_without_rows_count_nothing(spark):
+    assert not counted([], 1)
+    df = spark.range(0, 2, 1, 8).selectExpr("id AS k", "'the answer\n- 3 -' AS text")  # six of eight tasks are empty
+    assert found(df) == {(0, 2, "page_no"), (1, 2, "page_no")}
+
+
 def test_only_lines_that_begin_a_piece_are_compared_with_titles(monkeypatch):
     title = scans.title_key("Backend Handbook of Answers")
     r = scans.Repairer({**MODEL, "titles": {title: title}})
